@@ -100,7 +100,7 @@ def sql_clean(column: str) -> str:
 
 
 def sql_words(clean: str) -> str:
-    return f"greatest(len(list_filter(string_split({clean}, ' '), w -> w <> '')), 1)"
+    return f"greatest(len([w FOR w IN string_split({clean}, ' ') IF w <> '']), 1)"
 
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"

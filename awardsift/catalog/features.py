@@ -67,7 +67,7 @@ def one_hot_long(spark, folder):
 
 def _sql_buckets(source: str, size: int) -> str:
     return f"""words AS (
-  SELECT doc_id, unnest(list_filter(string_split({sql_clean("description")}, ' '), w -> w <> '')) AS w FROM {source}),
+  SELECT doc_id, unnest([w FOR w IN string_split({sql_clean("description")}, ' ') IF w <> '']) AS w FROM {source}),
 buckets AS (
   SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {size} AS INTEGER) AS feature, count(*)::DOUBLE AS n FROM words GROUP BY ALL),
 text_cells AS (

@@ -18,17 +18,16 @@ from ..sources import list_archives, parse_dump_names, read_zipped_csv
 GROUP = ["award_type", "department", "acronym"]
 
 
-def standard_columns(raw: DataFrame) -> DataFrame:
-    """Standard names and types for a mixed table of contracts and grants.
+def standard_columns(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Standard names and types for a mixed table of contracts and grants, next to the ``keep`` columns.
 
     ``award_type`` picks the id and value columns per row; the fallback columns fill in for end date and
     description where a file lacks the main one.
     """
     contract = F.col("award_type") == "contracts"
     whole = description_fallback(end_date_fallback(ensure_columns(raw, RAW_DUMP), "_end"), "_text")
-    keep = [c for c in (*GROUP, "path", "member", "row_no") if c in raw.columns]
     return whole.select(
-        *keep,
+        *[c for c in (*GROUP, *keep) if c in raw.columns],
         F.when(contract, F.col("award_id_piid")).otherwise(F.col("award_id_fain")).alias("piid"),
         F.col("_text").alias("description"),
         F.when(contract, F.col("current_total_value_of_award")).otherwise(F.col("total_obligated_amount"))
@@ -46,13 +45,16 @@ def award_etl(
     """Active awards, optionally only those with a keyword, one row per id within type and department.
 
     ``raw`` has the dump columns plus ``award_type`` and, if known, ``department`` and ``acronym``. ``order``
-    says which row comes first when texts differ. ``rollup=False`` keeps all rows.
+    says which row comes first when texts differ; it should tell the rows of an award apart. ``rollup=False`` keeps all rows.
     """
-    awards = keyword_match(active(standard_columns(raw), as_of), "description", words, mode)
+    missing = [c for c in order if c not in raw.columns]
+    if rollup and missing:
+        raise ValueError(f"cannot order the rows of an award: no columns {missing}")
+    awards = keyword_match(active(standard_columns(raw, order), as_of), "description", words, mode)
     if not rollup:
         return awards.drop(*order)
     keys = [c for c in GROUP if c in awards.columns]
-    return rollup_awards(awards, [*keys, "piid"], [c for c in order if c in awards.columns])
+    return rollup_awards(awards, [*keys, "piid"], list(order))
 
 
 def etl_dumps(spark: SparkSession, path: str, as_of: str, words: list[str] | None = None, mode: str = "substring") -> DataFrame:
