@@ -8,7 +8,7 @@ from ..constants import DEPARTMENTS
 from ..functions import dump_file_name
 from ..operators import joins as op
 from ..operators.fusion import FusionModel
-from ..session import measure
+from ..session import checkpoint, measure
 from ..sources.dumps import parse_dump_names, type_combos as combos
 from .base import AWARDS, awards, query, sql_standardize, table
 
@@ -120,5 +120,5 @@ SELECT piid, line_no, supp_no, part_no,
   CASE WHEN vendor_name IN (SELECT category FROM vendor_name_top) THEN vendor_name ELSE 'Unknown' END AS vendor
 FROM named""")
 def top_category_mapping(spark, folder):
-    rows = awards(spark, folder).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor")
+    rows = checkpoint(awards(spark, folder).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor"))
     return FusionModel.fit(rows, numeric=[]).map_categories(rows)

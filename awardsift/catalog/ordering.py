@@ -19,7 +19,7 @@ def category_counts(spark, folder):
 
 @query(f"WITH {AWARDS}, {SQL_NAMED}, {sql_top('vendor_name', 'named')} SELECT category, n FROM vendor_name_top")
 def top_categories(spark, folder):
-    return agg.top_categories(name_counts(awards(spark, folder), "vendor"))
+    return agg.top_categories(name_counts(awards(spark, folder), "vendor"))[0]
 
 
 @query(f"""

@@ -21,9 +21,14 @@ def keyword_pattern(words: list[str]) -> str:
     return r"(?iU)\b(?:" + "|".join(rf"\Q{word}\E" for word in words) + r")\b"
 
 
+# Long s, dotless i and dotted I match s and i when case is ignored.
+_FOLDS_FROM, _FOLDS_TO = "ſıİ", "sii"
+
+
 def _folded(text: Column) -> Column:
-    # Long s, dotless i and dotted I match s and i when case is ignored.
-    return F.lower(F.translate(text, "ſıİ", "sii"))
+    """Lower case plus the three special letters, which are replaced only in texts that have one."""
+    special = reduce(lambda a, b: a | b, [F.contains(text, F.lit(letter)) for letter in _FOLDS_FROM])
+    return F.lower(F.when(special, F.translate(text, _FOLDS_FROM, _FOLDS_TO)).otherwise(text))
 
 
 def any_keyword(text: Column, words: list[str], mode: str = "substring") -> Column:

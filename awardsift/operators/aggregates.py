@@ -34,23 +34,15 @@ def rollup_awards(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     )
 
 
-def category_counts(df: DataFrame, name: Column, mask: Column | None = None) -> DataFrame:
-    """Rows per category, the placeholder category left out: (category, n)."""
-    named = df.select(name.alias("category"), *([mask.alias("_keep")] if mask is not None else []))
-    if mask is not None:
-        named = named.where("_keep")
-    return named.where(F.lower("category") != "unknown").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-def top_categories(counts: DataFrame, share: float = 0.2) -> DataFrame:
-    """The most frequent ``share`` of the categories, at least one; ties by name.
+def top_categories(counts: DataFrame, share: float = 0.2) -> tuple[DataFrame, int]:
+    """The most frequent ``share`` of the categories, at least one, ties by name; and how many that is.
 
     Counts are stored first: the number of categories fixes how many are taken, and the list may be
     long, so it goes through ``first_n`` rather than a window over all categories.
     """
     stored = checkpoint(counts)
     n = max(1, int(stored.count() * share))
-    return first_n(stored, n, F.col("n").desc(), F.col("category"))
+    return first_n(stored, n, F.col("n").desc(), F.col("category")), n
 
 
 def agency_rates(scored: DataFrame, flag: str = "for_review", agency: str = "agency", top: int = 15) -> DataFrame:

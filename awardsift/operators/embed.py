@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 TEXT_SIZE = 768
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -42,6 +44,8 @@ def model_embedding(
     Texts arrive in Arrow batches and are handed to the model ``batch_size`` at a time.
     """
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()

@@ -40,23 +40,24 @@ class CategorySlots:
     """The categories of one column, each with its slot in the one-hot vector, in alphabetical order."""
 
     column: str
-    table: DataFrame          # category, slot
-    size: tuple[int, int]     # rows, bytes
+    table: DataFrame                # category, slot
+    size: tuple[int, int]           # rows, bytes
+    unknown: int | None = None      # slot of 'Unknown', if it is one of the categories
 
     @property
     def slots(self) -> int:
         return self.size[0]
 
     @classmethod
-    def learn(cls, column: str, categories: DataFrame) -> CategorySlots:
-        """Number the distinct categories; a long list is numbered by a distributed sort."""
-        distinct = checkpoint(categories)
-        size = measure(distinct)
-        return cls(column, checkpoint(positions(distinct, "slot", F.col("category"), rows=size[0])), size)
+    def learn(cls, column: str, categories: DataFrame, rows: int) -> CategorySlots:
+        """Number the distinct categories, at most ``rows``; a long list is numbered by a distributed sort."""
+        return cls.stored(column, checkpoint(positions(categories, "slot", F.col("category"), rows=rows)))
 
-    def unknown_slot(self) -> int | None:
-        row = self.table.where(F.col("category") == UNKNOWN).first()
-        return None if row is None else row["slot"]
+    @classmethod
+    def stored(cls, column: str, table: DataFrame) -> CategorySlots:
+        """Take a stored table of categories and slots as it is."""
+        rows, volume, unknown = measure(table, slot=F.max(F.when(F.col("category") == UNKNOWN, F.col("slot"))))
+        return cls(column, table, (rows, volume), unknown)
 
     def add_slot(self, df: DataFrame, name: Column, out: str, otherwise: int | None = None) -> DataFrame:
         """Slot of ``name``, else ``otherwise``, else null. Broadcast only within the measured bound."""
@@ -67,17 +68,18 @@ class CategorySlots:
 
 def encoder_categories(df: DataFrame, columns: list[str]) -> list[CategorySlots]:
     """Slots for all distinct values of each column that exists; null counts as 'Unknown'."""
-    return [
-        CategorySlots.learn(c, df.select(F.coalesce(F.col(c), F.lit(UNKNOWN)).alias("category")).distinct())
-        for c in columns if c in df.columns
-    ]
+    parts = []
+    for column in (c for c in columns if c in df.columns):
+        distinct = checkpoint(df.select(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("category")).distinct())
+        parts.append(CategorySlots.learn(column, distinct, distinct.count()))
+    return parts
 
 
-def one_hot(df: DataFrame, encoder: list[CategorySlots], otherwise: dict[str, int] | None = None) -> DataFrame:
-    """Add '<column>_vector' per encoded column; values the encoder has not seen give zeros."""
+def one_hot(df: DataFrame, encoder: list[CategorySlots], unseen_as_unknown: bool = False) -> DataFrame:
+    """Add '<column>_vector' per encoded column; values the encoder has not seen give zeros, or count as 'Unknown'."""
     for part in encoder:
         slot = f"_{part.column}_slot"
-        df = part.add_slot(df, F.coalesce(F.col(part.column), F.lit(UNKNOWN)), slot, (otherwise or {}).get(part.column))
+        df = part.add_slot(df, F.coalesce(F.col(part.column), F.lit(UNKNOWN)), slot, part.unknown if unseen_as_unknown else None)
         df = df.withColumn(slot, F.coalesce(slot, F.lit(part.slots)).cast("double"))
         df = one_hot_model(df.sparkSession, part.slots, slot, f"{part.column}_vector").transform(df).drop(slot)
     return df

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .forest import ForestArrays, IsolationForestModel, _dense
 
 ROWS_AT_A_TIME = 512
@@ -98,6 +99,7 @@ def shap_values(model: IsolationForestModel, df: DataFrame, names: DataFrame, ke
     The explained output is the mean path length: positive means "more like the labeled awards".
     Features the forest never uses have the value 0 and are not listed.
     """
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model.arrays)
     used = model.arrays.columns
 

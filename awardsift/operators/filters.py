@@ -53,7 +53,7 @@ def select_awards(
 
 
 def valid_vendor(vendor: Column) -> Column:
-    """True for vendors that count toward the top list."""
+    """True for vendors that are named: neither null nor a placeholder."""
     return F.lower(vendor_or_unknown(vendor)) != UNKNOWN.lower()
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from .ranks import percentile
 
 # Fixed value: the Euler-Mascheroni constant, from the average depth of an unsuccessful tree search.
@@ -134,6 +134,7 @@ def build_trees(draws: DataFrame, seed: int) -> DataFrame:
         ]
         return pa.Table.from_pylist([{"tree_id": tree, **node} for node in nodes], schema=pa.schema(fields))
 
+    ship_package(draws.sparkSession)
     return draws.groupBy("tree_id").applyInArrow(build, schema.FOREST)
 
 
@@ -189,6 +190,7 @@ class ForestArrays:
 
 def mean_path_length(spark: SparkSession, forest: ForestArrays, features: Column) -> Column:
     """Mean path length per vector. Only the vector goes to Python, other columns stay in the JVM."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(forest)
 
     @F.arrow_udf("double")

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN
 from ..functions import standardize_name, vendor_or_unknown
-from .aggregates import category_counts, top_categories
+from .aggregates import top_categories
 from .encoding import CategorySlots, combine, one_hot, scaled, scaler_statistics
-from .filters import valid_vendor
 
 NUMERIC_COLUMNS = ["normalized_value"]
 CATEGORICAL_COLUMNS = ["agency", "vendor"]
@@ -29,15 +28,17 @@ def category_name(column: str, source: str | None = None) -> Column:
 def name_counts(df: DataFrame, column: str, literal_unknown: bool = False) -> DataFrame:
     """Rows per standardised name, unknown names left out.
 
+    Spellings are counted first, so the name rules run once per spelling and not once per row.
     ``literal_unknown`` leaves out only the exact text 'Unknown', so a name standardised to 'unknown'
     competes for a place in the top list.
     """
-    if literal_unknown:
-        valid = vendor_or_unknown(F.col(column)) != UNKNOWN if column == "vendor" else F.lit(True)
-        named = df.where(valid).select(category_name(column).alias("category"))
-        return named.where(F.col("category") != UNKNOWN).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    mask = valid_vendor(F.col(column)) if column == "vendor" else None
-    return category_counts(df, category_name(column), mask)
+    raw = vendor_or_unknown(F.col(column)) if column == "vendor" else F.coalesce(F.col(column), F.lit(UNKNOWN))
+    counts = df.groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+    if column == "vendor":
+        counts = counts.where(F.col("raw") != UNKNOWN if literal_unknown else F.lower("raw") != UNKNOWN.lower())
+    named = counts.select(standardize_name(F.col("raw")).alias("category"), "n")
+    summed = named.groupBy("category").agg(F.sum("n").alias("n"))
+    return summed.where(F.col("category") != UNKNOWN if literal_unknown else F.lower("category") != UNKNOWN.lower())
 
 
 @dataclass
@@ -46,7 +47,6 @@ class FusionModel:
 
     numeric: list[tuple[str, float, float]] = field(default_factory=list)   # column, mean, std
     categories: list[CategorySlots] = field(default_factory=list)
-    unknown: dict[str, int] = field(default_factory=dict)                   # column -> slot of 'Unknown'
     share: float = 0.2
 
     @classmethod
@@ -60,20 +60,13 @@ class FusionModel:
         model = cls(numeric=[(c, stats[c]["mean"] or 0.0, stats[c]["std"] or 0.0) for c in numeric], share=share)
         total = df.count()
         for column in (c for c in categorical if c in df.columns):
-            top = top_categories(name_counts(df, column, literal_unknown), share)
-            covered = top.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            names = top.select("category")
-            if covered < total:
-                names = names.union(df.sparkSession.createDataFrame([(UNKNOWN,)], "category string"))
-            model.add(CategorySlots.learn(column, names))
+            top, rows = top_categories(name_counts(df, column, literal_unknown), share)
+            # Rows that no top name covers make 'Unknown' a category of its own.
+            rest = top.agg((F.lit(total) - F.coalesce(F.sum("n"), F.lit(0))).alias("rest")).where("rest > 0")
+            names = top.select("category").union(rest.select(F.lit(UNKNOWN)))
+            model.categories.append(CategorySlots.learn(column, names, rows + 1))
         return model
 
-    def add(self, slots: CategorySlots) -> None:
-        self.categories.append(slots)
-        unknown = slots.unknown_slot()
-        if unknown is not None:
-            self.unknown[slots.column] = unknown
-
     def map_categories(self, df: DataFrame) -> DataFrame:
         """Each category column as the name the encoder knows it by: a top name or 'Unknown'."""
         for part in self.categories:
@@ -93,7 +86,7 @@ class FusionModel:
         present = [c for c in self.categories if c.column in df.columns and c.slots]
         original = {c.column: f"_raw_{c.column}" for c in present}
         df = df.withColumnsRenamed(original).withColumns({c: category_name(c, raw) for c, raw in original.items()})
-        df = one_hot(df, present, self.unknown)
+        df = one_hot(df, present, unseen_as_unknown=True)
         parts += [f"{c.column}_vector" for c in present]
         if not parts:
             raise ValueError("the model has no features: fit it on a table with feature columns")
@@ -103,7 +96,7 @@ class FusionModel:
 
     def fit_transform(self, df: DataFrame, text: str | None = "text_vector") -> DataFrame:
         fitted = FusionModel.fit(df, self.share)
-        self.numeric, self.categories, self.unknown = fitted.numeric, fitted.categories, fitted.unknown
+        self.numeric, self.categories = fitted.numeric, fitted.categories
         return self.transform(df, text)
 
     def size(self, text_size: int) -> int:

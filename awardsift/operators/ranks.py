@@ -114,8 +114,8 @@ def percentile(df: DataFrame, column: str, share: float, small: int = SMALL) ->
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
     n = values.count()
-    if n == 0:
-        return None
+    if n <= small:
+        return values.agg(F.percentile("x", F.lit(share))).first()[0]
     place = (n - 1) * share
     k = min(math.floor(place), n - 1)
     low = _kth(values, k, n, small)

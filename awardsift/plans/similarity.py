@@ -67,8 +67,11 @@ class AwardModel:
         return self.forest.flags(scored.drop("features", "text_vector"), threshold)
 
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
-        """``score`` sorted by falling score."""
-        return by_score(self.score(df, threshold))
+        """``score`` sorted by falling score.
+
+        A global sort reads its input twice, to find the ranges and to sort, so the scores are stored first.
+        """
+        return by_score(checkpoint(self.score(df, threshold)))
 
     def feature_names(self, spark: SparkSession) -> DataFrame:
         return self.fusion.feature_names(spark, self.text_size)
@@ -112,7 +115,7 @@ def load_model(spark: SparkSession, path: str, embed: Embed | None = None) -> Aw
     categories = _table(spark, f"{path}/categories", CATEGORIES)
     for row in categories.select("position", "column").distinct().orderBy("position").collect():
         part = categories.where(F.col("position") == row["position"]).select("category", "slot")
-        fusion.add(CategorySlots(row["column"], part, measure(part)))
+        fusion.categories.append(CategorySlots.stored(row["column"], part))
     forest = IsolationForestModel(nodes, params["samples"], params["offset"], params["threshold"], ForestArrays.collect(nodes))
     ids = _table(spark, f"{path}/labeled_ids", "piid string")
     size = params["text_size"]

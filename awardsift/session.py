@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is hinted as a broadcast only after it was counted and found within both bounds.
@@ -28,6 +30,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Needed wherever a task runs Python code of the package and the package is not installed on the workers.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_awardsift_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="awardsift-package-")) / "awardsift.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._awardsift_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back without lineage.
 
@@ -46,13 +65,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Row count and an upper estimate of the bytes of a table, in one aggregate."""
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan over all cores when it has fewer splits than cores.
+
+    Meant for a few files that cannot be split in front of work that is heavy per row. A large table has
+    more splits than the cluster has cores and is returned as it is. Only for plain scans, whose splits
+    are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def measure(df: DataFrame, **more: Column) -> tuple:
+    """Row count and an upper estimate of the bytes of a table, then ``more`` aggregates, in one pass."""
     width = F.lit(0)
     for name, kind in df.dtypes:
         width = width + (F.coalesce(F.octet_length(F.col(name)), F.lit(0)) + 16 if kind == "string" else F.lit(16))
-    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    return row["rows"], row["bytes"]
+    extra = [value.alias(name) for name, value in more.items()]
+    return tuple(df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), *extra).first())
 
 
 def broadcast_if_small(df: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:

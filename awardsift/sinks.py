@@ -34,7 +34,10 @@ def stamp(df: DataFrame) -> str:
 
 
 def write_predictions(df: DataFrame, path: str, run_ts: str | None = None, kind: str = "parquet") -> str:
-    """All scored awards by falling score, in a folder named after the run. Returns the folder."""
+    """All scored awards by falling score, in a folder named after the run. Returns the folder.
+
+    The sort reads ``df`` twice: give it ``AwardModel.predict``'s result or another stored table.
+    """
     run_ts = run_ts or stamp(df)
     folder = f"{path}/anomaly_predictions_{run_ts}"
     _write(by_score(df).withColumn("run_ts", F.lit(run_ts)), folder, kind, "errorifexists")

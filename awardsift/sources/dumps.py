@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..constants import AWARD_TYPES
 from ..operators.joins import add_acronym
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from .paths import open_path
 
 log = logging.getLogger(__name__)
@@ -124,6 +124,7 @@ def read_zipped_csv(spark: SparkSession, files: DataFrame, columns: T.StructType
     Columns: path, member, row_no (position in the member), file_name and the wanted columns as text, null where a
     member lacks them.
     """
+    ship_package(spark)
     listed = files.select("path").repartition("path")
     members = checkpoint(listed.mapInPandas(_members, "path string, member string, member_size long"))
     shape = T.StructType([

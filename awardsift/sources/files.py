@@ -18,6 +18,7 @@ from .. import schema
 from ..operators.aggregates import page_cutoff
 from ..operators.filters import drop_placeholders
 from ..operators.ranks import exact_sample
+from ..session import ship_package
 from .paths import open_path
 
 log = logging.getLogger(__name__)
@@ -91,6 +92,7 @@ def _headers(spark: SparkSession, files: list[str]) -> list[tuple[str, tuple[str
                     found.append((path, next(csv.reader(text), [])))
             yield pd.DataFrame(found, columns=["p", "header"])
 
+    ship_package(spark)
     listed = spark.createDataFrame([(p,) for p in files], "p string").repartition(max(1, min(len(files), 1000)))
     return [(r["p"], tuple(r["header"])) for r in listed.mapInPandas(first_rows, "p string, header array<string>").collect()]
 
