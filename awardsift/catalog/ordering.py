@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import SORT_COLUMN
 from ..operators import aggregates as agg
 from ..operators import ranks as op
 from ..operators.fusion import name_counts
@@ -95,5 +96,5 @@ def page_cutoff(spark, folder):
 SELECT o_orderkey, CAST(ceil(r / 100.0) AS INTEGER) AS page FROM (
   SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r <= 300""")
 def newest_first_page(spark, folder):
-    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias("date"))
-    return agg.page(rows, "date", "o_orderkey", size=100, max_pages=3).select("o_orderkey", "page")
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias(SORT_COLUMN["savings"]))
+    return agg.page(rows, SORT_COLUMN["savings"], "o_orderkey", size=100, max_pages=3).select("o_orderkey", "page")

@@ -94,4 +94,10 @@ UNKNOWN = "Unknown"
 REVIEW_COLUMNS = ["piid", "description", "value", "vendor", "agency", "end_date", "anomaly_score", "for_review"]
 ESSENTIAL_COLUMNS = ["piid", "agency", "vendor", "value", "description", "clean_description", "normalized_value"]
 
+# --- fixed values: texts that stand for "no value" in a CSV file -------------------------------
+NULL_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+]
+
 SORT_COLUMN = {"savings": "date", "payments": "post_date"}

@@ -242,9 +242,16 @@ def top_n(
     return ranked(df, n, score).withColumns(labels)
 
 
-def by_score(df: DataFrame, score: str = "anomaly_score", tie: str = "piid") -> DataFrame:
-    """All rows by falling score: a range sort over all tasks; the id spreads equal scores."""
-    return df.orderBy(F.desc(score), F.col(tie))
+def by_score(df: DataFrame, score: str = "anomaly_score", tie: str = "piid", stored: bool = False) -> DataFrame:
+    """All rows by falling score: a range sort over all tasks; the id spreads equal scores.
+
+    Very many rows may share both, say copies of one award. In a ``stored`` table a row's number does not
+    change between the passes of the sort, so it can spread those as well.
+    """
+    keys = [F.desc(score), F.col(tie)]
+    if not stored:
+        return df.orderBy(*keys)
+    return df.withColumn("_row", F.monotonically_increasing_id()).orderBy(*keys, "_row").drop("_row")
 
 
 def page(df: DataFrame, order: str, key: str, size: int = 100, max_pages: int = 1) -> DataFrame:

@@ -71,7 +71,7 @@ class AwardModel:
 
         A global sort reads its input twice, to find the ranges and to sort, so the scores are stored first.
         """
-        return by_score(checkpoint(self.score(df, threshold)))
+        return by_score(checkpoint(self.score(df, threshold)), stored=True)
 
     def feature_names(self, spark: SparkSession) -> DataFrame:
         return self.fusion.feature_names(spark, self.text_size)

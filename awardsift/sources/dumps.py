@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,32 +91,29 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _row_reader(columns: list[str]):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, member in zip(batch["path"], batch["member"]):
-                with open_path(path) as stream, zipfile.ZipFile(stream) as archive:
-                    encoding = _encoding(archive, member)
-                    with archive.open(member) as data:
-                        yield from _chunks(data, encoding, path, member, columns)
+            for row in batch.to_pylist():
+                with open_path(row["path"]) as stream, zipfile.ZipFile(stream) as archive:
+                    encoding = _encoding(archive, row["member"])
+                    with archive.open(row["member"]) as data:
+                        yield from _chunks(data, encoding, row["path"], row["member"], columns)
     return read
 
 
-def _chunks(data, encoding: str, path: str, member: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+def _chunks(data, encoding: str, path: str, member: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     try:
-        chunks = pd.read_csv(
-            data, dtype=str, chunksize=CHUNK_ROWS, encoding=encoding, usecols=lambda c: c in columns,
-        )
+        chunks = pd.read_csv(data, dtype=object, chunksize=CHUNK_ROWS, encoding=encoding, usecols=lambda c: c in columns)
     except pd.errors.EmptyDataError:
         return
-    row = 0
+    at = 0
     with chunks:
         for chunk in chunks:
-            frame = chunk.reindex(columns=columns)
-            frame.insert(0, "row_no", range(row, row + len(frame)))
-            frame.insert(0, "member", member)
-            frame.insert(0, "path", path)
-            row += len(frame)
-            yield frame
+            n = len(chunk)
+            texts = [pa.array(chunk[c].to_numpy(), pa.string(), from_pandas=True) if c in chunk else pa.nulls(n, pa.string()) for c in columns]
+            place = [pa.array([path] * n), pa.array([member] * n), pa.array(range(at, at + n), pa.int64())]
+            at += n
+            yield pa.RecordBatch.from_arrays([*place, *texts], ["path", "member", "row_no", *columns])
 
 
 def read_zipped_csv(spark: SparkSession, files: DataFrame, columns: T.StructType = schema.RAW_DUMP) -> DataFrame:
@@ -132,5 +130,5 @@ def read_zipped_csv(spark: SparkSession, files: DataFrame, columns: T.StructType
         *[T.StructField(name, T.StringType()) for name in columns.names],
     ])
     spread = members.repartition(min(max(members.count(), 1), MAX_TASKS))
-    rows = spread.mapInPandas(_row_reader(columns.names), shape)
+    rows = spread.mapInArrow(_row_reader(columns.names), shape)
     return rows.withColumn("file_name", F.element_at(F.split("path", "/"), -1))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from ..constants import NULL_TEXTS
 from ..operators.aggregates import page_cutoff
 from ..operators.filters import drop_placeholders
 from ..operators.ranks import exact_sample
@@ -60,7 +61,7 @@ def read_csv_awards(
     """CSV files with a header, matched by column name; UTF-8, or latin1 for files that are not.
 
     Files are grouped by header, since Spark takes one header per read. All columns are text: no
-    inference pass, and casts are explicit later.
+    inference pass, and casts are explicit later. Texts that mean "no value" are null.
     """
     files = sorted(row["p"] for row in _listing(spark, _as_list(paths), "*.csv").collect())
     latin1 = set(_latin1_files(spark, files)) if files else set()
@@ -71,10 +72,12 @@ def read_csv_awards(
     for (encoding, header), members in sorted(groups.items()):
         kinds = {f.name: f.dataType for f in fields.fields}
         shape = T.StructType([T.StructField(name, kinds.get(name, T.StringType()), True) for name in header])
-        frames.append(spark.read.schema(shape).csv(
+        read = spark.read.schema(shape).csv(
             members, header=True, enforceSchema=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding,
             mode="PERMISSIVE", ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False,
-        ))
+        )
+        texts = {f.name: F.when(~F.col(f"`{f.name}`").isin(NULL_TEXTS), F.col(f"`{f.name}`")) for f in shape.fields}
+        frames.append(read.withColumns(texts))
     return _union(spark, frames, fields)
 
 
