@@ -149,8 +149,8 @@ def threshold_metrics(spark, folder):
 
 
 @query(f"""
-WITH {SCORED}, ends AS (SELECT min(anomaly_score) AS lo, (max(anomaly_score) - min(anomaly_score)) / 30.0::DOUBLE AS w FROM scored),
-counts AS (SELECT CAST(least(floor((anomaly_score - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM scored, ends GROUP BY 1)
+WITH {SCORED}, ends AS (SELECT min(anomaly_score) AS lo, (max(anomaly_score) - min(anomaly_score)) / 30.0::DOUBLE AS w, max(anomaly_score) AS hi FROM scored),
+counts AS (SELECT CAST(least(floor((anomaly_score - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS n FROM scored, ends GROUP BY 1)
 SELECT CAST(i AS INTEGER) AS bin, round(lo + i * w, 9) AS bin_start, round(lo + (i + 1) * w, 9) AS bin_end, coalesce(n, 0) AS n
 FROM ends, range(30) r(i) LEFT JOIN counts ON counts.bin = i""")
 def score_histogram(spark, folder):

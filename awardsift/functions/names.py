@@ -19,7 +19,7 @@ def standardize_name(name: Column) -> Column:
     bare = F.translate(F.lower(name), ".,", "")
     short = F.regexp_replace(bare, rf"(?d){_SPACE}+(?:inc|llc|ngo|co)$", "")
     tidy = F.trim(F.regexp_replace(short, f"{_SPACE}+", " "))
-    return F.when(tidy != "", tidy).otherwise(F.lit(UNKNOWN))
+    return F.coalesce(F.nullif(tidy, F.lit("")), F.lit(UNKNOWN))  # nullif evaluates the name once
 
 
 def vendor_or_unknown(vendor: Column) -> Column:

@@ -14,7 +14,7 @@ NUMBER = rf"^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_
 def normalize_value(value: Column, kind: str = "string") -> Column:
     """Amount as a double; null, NaN and texts that are no number give 0."""
     if kind == "string":
-        bare = F.regexp_replace(value, "[$,]", "")
+        bare = F.translate(value, "$,", "")
         number = F.when(bare.rlike(NUMBER), F.replace(F.trim(bare), F.lit("_"), F.lit("")).try_cast("double"))
     else:
         number = value.cast("double")

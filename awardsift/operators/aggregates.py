@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,50 +134,54 @@ def score_range(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
     return df.agg(F.min(score).alias("min_score"), F.max(score).alias("max_score"))
 
 
+def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, each as a scalar subquery named once."""
+    return df.withColumns({name: stats.select(name).scalar() for name in stats.columns})
+
+
 def sweep(df: DataFrame, score: str = "anomaly_score", steps: int = SWEEP_STEPS) -> DataFrame:
     """Rows above each of ``steps`` equally spaced thresholds between the lowest and highest score.
 
     A row's place in the grid is computed from its score, so the table shrinks to ``steps`` + 1 counts
     on the map side; counts above a threshold are running sums over those.
     """
-    ends = score_range(df, score)
-    low, high = ends.select("min_score").scalar(), ends.select("max_score").scalar()
+    values = df.select(F.col(score).alias("s")).where("s is not null")
+    ends = values.agg(F.min("s").alias("low"), F.max("s").alias("high"))
     last = steps - 1
+    low, high, width = F.col("low"), F.col("high"), (F.col("high") - F.col("low")) / F.lit(float(last))
 
     def threshold(i: Column) -> Column:
-        return F.when(i == last, high).otherwise(low + i * ((high - low) / F.lit(float(last))))
+        return F.when(i == last, high).otherwise(low + i * width)
 
-    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("s") - low, (high - low) / F.lit(float(last))), F.lit(0.0))), F.lit(last))
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("s") - low, width), F.lit(0.0))), F.lit(last))
     # Rounding can put the computed place off by one: compare with the thresholds around it.
     around = [F.when((i >= 0) & (i <= last) & (threshold(i) < F.col("s")), 1).otherwise(0)
               for i in (F.col("i") - 1, F.col("i"), F.col("i") + 1)]
     exceeded = F.greatest(F.col("i") - 1, F.lit(0)) + around[0] + around[1] + around[2]
-    counts = (
-        df.select(F.col(score).alias("s")).where("s is not null")
-        .withColumn("i", place)
-        .groupBy(exceeded.cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _with_stats(values, ends).withColumn("i", place).groupBy(exceeded.cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("bigint").alias("n"))
     filled = counts.union(every).groupBy("k").agg(F.sum("n").alias("n"))
     flagged = F.sum("n").over(W.orderBy(F.desc("k")))  # at most steps + 1 rows
-    return (
-        filled.select("k", flagged.alias("flagged"))
-        .where("k > 0")
-        .select((F.col("k") - 1).alias("step"), threshold(F.col("k") - 1).alias("threshold"), "flagged")
-    )
+    grid = _with_stats(filled.select("k", flagged.alias("flagged")).where("k > 0"), ends)
+    return grid.select((F.col("k") - 1).alias("step"), threshold(F.col("k") - 1).alias("threshold"), "flagged")
+
+
+def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """0-based equal-width bin; the last one includes the maximum, everything is in bin 0 when low = high."""
+    place = F.floor(F.coalesce(F.try_divide((x - low) * bins, high - low), F.lit(0.0)))
+    return F.least(place, F.lit(bins - 1)).cast("int")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts per equal-width bin; the last bin includes the maximum, empty bins are kept."""
-    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    width = (high - low) / F.lit(float(bins))
-    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - low, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    counts = df.select(F.col(column).alias("x")).where("x is not null").groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(F.col(column).alias("x")).where("x is not null")
+    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    low, high = F.col("low"), F.col("high")
+    counts = _with_stats(values, ends).groupBy(_bin(F.col("x"), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n"))
-    return counts.union(every).groupBy("bin").agg(F.sum("n").alias("n")).select(
-        "bin", (low + F.col("bin") * width).alias("bin_start"), (low + (F.col("bin") + 1) * width).alias("bin_end"), "n"
-    )
+    filled = _with_stats(counts.union(every).groupBy("bin").agg(F.sum("n").alias("n")), ends)
+    width = (high - low) / F.lit(float(bins))
+    return filled.select("bin", (low + F.col("bin") * width).alias("bin_start"), (low + (F.col("bin") + 1) * width).alias("bin_end"), "n")
 
 
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
@@ -185,20 +191,18 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     stats = values.agg(
-        F.min("x").alias("low"), F.max("x").alias("high"), F.stddev_samp("x").alias("sd"),
-        F.count(F.lit(1)).cast("double").alias("n"),
+        F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).cast("double").alias("count"),
+        (F.stddev_samp("x") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("width"),
     )
-    low, high, sd, n = (stats.select(c).scalar() for c in ("low", "high", "sd", "n"))
-    width = sd * F.pow(n, F.lit(-0.2))
-    grid = low + F.col("i") * ((high - low) / F.lit(float(points - 1)))
-    bump = F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("point") - F.col("x")) / width, F.lit(2.0)))
-    return (
-        values.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-        .select("x", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-        .withColumn("point", grid)
-        .groupBy("i").agg(F.sum(bump).alias("s"))
-        .select("i", grid.alias("point"), (F.col("s") / (n * width * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+    point = F.col("low") + F.col("i") * ((F.col("high") - F.col("low")) / F.lit(float(points - 1)))
+    distance = (point - F.col("x")) / F.col("width")
+    sums = (
+        _with_stats(values.groupBy("x").agg(F.count(F.lit(1)).alias("w")), stats)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .groupBy("i").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * distance * distance)).alias("s"))
     )
+    scale = F.col("count") * F.col("width") * F.lit((2 * math.pi) ** 0.5)
+    return _with_stats(sums, stats).select("i", point.alias("point"), (F.col("s") / scale).alias("density"))
 
 
 def value_score_grid(
@@ -206,25 +210,18 @@ def value_score_grid(
     log_scale: bool = True,
 ) -> DataFrame:
     """Awards per (score bin, value bin, flag). Values are on a log scale only if all are above 0."""
-    base = df.select(F.col(score).alias("s"), F.col(value).alias("v"), F.col(flag).alias("flag"))
+    base = df.select(F.col(score).alias("s"), F.col(value).alias("v"), F.col(flag).alias(flag))
+    use_log = F.lit(log_scale) & F.bool_and(F.col("v") > 0)
+    low, high = F.min("v"), F.max("v")
     ends = base.agg(
-        F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("v").alias("v0"), F.max("v").alias("v1"),
-        F.bool_and(F.col("v") > 0).alias("positive"),
+        F.min("s").alias("s0"), F.max("s").alias("s1"), use_log.alias("log_scale"),
+        F.when(use_log, F.ln(low)).otherwise(low).alias("v0"), F.when(use_log, F.ln(high)).otherwise(high).alias("v1"),
     )
-    s0, s1, v0, v1, positive = (ends.select(c).scalar() for c in ("s0", "s1", "v0", "v1", "positive"))
-    use_log = F.lit(log_scale) & positive
-
-    def scaled(v: Column) -> Column:
-        return F.when(use_log, F.ln(v)).otherwise(v)
-
-    def place(x: Column, low: Column, high: Column) -> Column:
-        return F.least(F.floor(F.coalesce(F.try_divide((x - low) * bins, high - low), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-
-    return base.groupBy(
-        place(F.col("s"), s0, s1).alias("score_bin"),
-        place(scaled(F.col("v")), scaled(v0), scaled(v1)).alias("value_bin"),
-        F.col("flag").alias(flag),
-    ).agg(F.count(F.lit(1)).alias("n"), F.first(use_log).alias("log_scale"))
+    scaled = F.when(F.col("log_scale"), F.ln("v")).otherwise(F.col("v"))
+    return _with_stats(base, ends).groupBy(
+        _bin(F.col("s"), F.col("s0"), F.col("s1"), bins).alias("score_bin"),
+        _bin(scaled, F.col("v0"), F.col("v1"), bins).alias("value_bin"), flag, "log_scale",
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ranked(df: DataFrame, n: int, score: str = "anomaly_score", tie: str = "piid") -> DataFrame:

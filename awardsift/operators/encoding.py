@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN
@@ -29,12 +30,6 @@ def scaled(value: Column, mean: float, std: float) -> Column:
     return (filled - F.lit(float(mean))) / F.lit(float(std) if std else 1.0)
 
 
-def one_hot_model(spark: SparkSession, size: int, index: str, out: str) -> OneHotEncoderModel:
-    """Encoder for slots 0..size-1; the index ``size`` stands for "none of them" and gives a zero vector."""
-    known = spark.createDataFrame([(float(size - 1),)], f"`{index}` double")
-    return OneHotEncoder(inputCol=index, outputCol=out, handleInvalid="keep", dropLast=True).fit(known)
-
-
 @dataclass
 class CategorySlots:
     """The categories of one column, each with its slot in the one-hot vector, in alphabetical order."""
@@ -48,6 +43,13 @@ class CategorySlots:
     def slots(self) -> int:
         return self.size[0]
 
+    @cached_property
+    def encoder(self) -> OneHotEncoderModel:
+        """Slot column -> vector; the slot after the last one stands for "none of them" and gives zeros."""
+        index = f"_{self.column}_slot"
+        known = self.table.sparkSession.createDataFrame([(float(self.slots - 1),)], f"`{index}` double")
+        return OneHotEncoder(inputCol=index, outputCol=f"{self.column}_vector", handleInvalid="keep", dropLast=True).fit(known)
+
     @classmethod
     def learn(cls, column: str, categories: DataFrame, rows: int) -> CategorySlots:
         """Number the distinct categories, at most ``rows``; a long list is numbered by a distributed sort."""
@@ -81,7 +83,7 @@ def one_hot(df: DataFrame, encoder: list[CategorySlots], unseen_as_unknown: bool
         slot = f"_{part.column}_slot"
         df = part.add_slot(df, F.coalesce(F.col(part.column), F.lit(UNKNOWN)), slot, part.unknown if unseen_as_unknown else None)
         df = df.withColumn(slot, F.coalesce(slot, F.lit(part.slots)).cast("double"))
-        df = one_hot_model(df.sparkSession, part.slots, slot, f"{part.column}_vector").transform(df).drop(slot)
+        df = part.encoder.transform(df).drop(slot)
     return df
 
 
