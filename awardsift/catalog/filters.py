@@ -83,6 +83,17 @@ def review_only(spark, folder):
     return rows.withColumns({"end_date": F.date_format("end_date", "yyyy-MM-dd"), "anomaly_score": F.round("anomaly_score", 9)})
 
 
+@query(f"""
+WITH {AWARDS} SELECT agency, count(*) FILTER (WHERE v IS NOT NULL AND lower(v) <> 'unknown' AND v <> 'Unavailable') AS named, count(*) AS total
+FROM (SELECT agency, CASE supp_no % 6 WHEN 0 THEN 'Unavailable' WHEN 1 THEN NULL WHEN 2 THEN 'UNKNOWN' ELSE vendor END AS v FROM awards)
+GROUP BY agency""")
+def vendor_validity(spark, folder):
+    case = F.col("supp_no") % 6
+    vendor = F.when(case == 0, "Unavailable").when(case == 1, F.lit(None)).when(case == 2, "UNKNOWN").otherwise(F.col("vendor"))
+    rows = awards(spark, folder).select("agency", op.valid_vendor(vendor).alias("valid"))
+    return rows.groupBy("agency").agg(F.count_if("valid").alias("named"), F.count(F.lit(1)).alias("total"))
+
+
 @query(f"""
 WITH {AWARDS} SELECT 'active' AS step, count(*) AS rows_in, count(*) FILTER (WHERE end_date > TIMESTAMP '2000-01-01') AS rows_out
 FROM awards""")

@@ -8,7 +8,7 @@ from ..constants import SORT_COLUMN
 from ..operators import aggregates as agg
 from ..operators import ranks as op
 from ..operators.fusion import name_counts
-from .base import AWARDS, SCORED, awards, docs, query, scored, table
+from .base import AWARDS, DOCS, SCORED, awards, docs, query, scored, table
 from .joins import SQL_NAMED, sql_top
 
 
@@ -51,6 +51,21 @@ def exact_sample(spark, folder):
     return op.exact_sample(table(spark, folder, "documents").select("doc_id"), 200, "doc_id")
 
 
+@query(f"""
+WITH {SCORED}, best AS (SELECT *, row_number() OVER (ORDER BY anomaly_score DESC, piid) AS rank FROM scored)
+SELECT CAST(rank AS INTEGER) AS rank, round(anomaly_score, 9) AS anomaly_score, piid, agency, normalized_value FROM best WHERE rank <= 5""")
+def top_summary(spark, folder):
+    return agg.top_summary(scored(spark, folder)).withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
+@query(f"""
+WITH {DOCS} SELECT piid, agency FROM (SELECT nullif(piid, '1') AS piid, agency FROM docs)
+WHERE piid IS NULL OR piid NOT IN ('Unavailable', 'Charge Card Purchase') ORDER BY md5(concat_ws('|', '42', piid)), piid NULLS FIRST LIMIT 200""")
+def fixture_sample(spark, folder):
+    rows = docs(spark, folder).select(F.nullif("piid", F.lit("1")).alias("piid"), "agency")
+    return op.fixture_sample(rows)
+
+
 @query("""
 SELECT event_id FROM events ORDER BY md5('7|' || event_id), event_id LIMIT 5000""")
 def exact_sample_large(spark, folder):

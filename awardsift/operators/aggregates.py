@@ -239,6 +239,11 @@ def top_n(
     return ranked(df, n, score).withColumns(labels)
 
 
+def top_summary(df: DataFrame, n: int = 5) -> DataFrame:
+    """The closing summary of a run: rank, score, id, agency and value of the best awards."""
+    return ranked(df, n).select("rank", "anomaly_score", "piid", "agency", "normalized_value")
+
+
 def by_score(df: DataFrame, score: str = "anomaly_score", tie: str = "piid", stored: bool = False) -> DataFrame:
     """All rows by falling score: a range sort over all tasks; the id spreads equal scores.
 

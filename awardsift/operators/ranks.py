@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hash01
 from ..session import broadcast_if_small, checkpoint
+from .filters import drop_placeholders
 
 # Rows that one task may order or the driver may hold.
 SMALL = 100_000
@@ -163,6 +163,11 @@ def exact_sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42, sm
     return below.union(edge).drop("_hash")
 
 
+def fixture_sample(df: DataFrame, n: int = 200, key: str | list[str] = "piid", seed: int = 42) -> DataFrame:
+    """A test fixture: ``n`` awards that are not placeholders."""
+    return exact_sample(drop_placeholders(df), n, key, seed)
+
+
 def stratified_split(df: DataFrame, strata: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``is_train``: per stratum, the first floor(share * rows) rows in the order of md5(seed|key).
 
@@ -190,7 +195,3 @@ def stratified_split(df: DataFrame, strata: str, key: str, share: float = 0.8, s
     edge = placed.where(F.col("_bucket") == F.col("_cut")).withColumn("is_train", rank <= F.col("_left"))
     return settled.unionByName(edge).drop("_hash", "_bucket", "_cut", "_left")
 
-
-def sample_fraction(seed: int, key: str) -> Column:
-    """The row's place in [0, 1) in the sampling order."""
-    return hash01(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import rollup_awards
+from ..operators.aggregates import rollup_awards, run_summary
 from ..operators.filters import active, keyword_match, lenient_timestamp
 from ..operators.schema_ops import description_fallback, end_date_fallback, ensure_columns
 from ..schema import RAW_DUMP
+from ..sinks import write_awards, write_summary
 from ..sources import list_archives, parse_dump_names, read_zipped_csv
 
 GROUP = ["award_type", "department", "acronym"]
@@ -63,3 +64,18 @@ def etl_dumps(spark: SparkSession, path: str, as_of: str, words: list[str] | Non
     rows = read_zipped_csv(spark, files)
     named = parse_dump_names(rows)
     return award_etl(named, as_of, words, mode)
+
+
+def process_dumps(
+    spark: SparkSession, path: str, out: str, as_of: str, words: list[str] | None = None, mode: str = "substring",
+) -> DataFrame:
+    """Run the ETL, write the awards and a summary, and return the summary: department -> {type -> folder}.
+
+    Departments and types without any award have no folder and are left out.
+    """
+    write_awards(etl_dumps(spark, path, as_of, words, mode), f"{out}/awards")
+    written = spark.read.parquet(f"{out}/awards").select("award_type", "department", "acronym").distinct()
+    folder = F.concat(F.lit(f"{out}/awards/award_type="), "award_type", F.lit("/department="), "department")
+    outputs = written.select(F.col("acronym").alias("department"), "award_type", folder.alias("path"))
+    write_summary(outputs, f"{out}/summary")
+    return run_summary(outputs)

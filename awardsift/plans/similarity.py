@@ -17,6 +17,8 @@ from ..operators.forest import MAX_SAMPLES, ForestArrays, IsolationForestModel
 from ..operators.fusion import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, FusionModel
 from ..operators.joins import distinct_ids
 from ..session import checkpoint, measure
+from ..sinks import write_predictions, write_review
+from ..sources import read_awards, read_labeled
 from .prepare import prepare_labeled, prepare_unlabeled
 
 log = logging.getLogger(__name__)
@@ -77,6 +79,20 @@ class AwardModel:
         return self.fusion.feature_names(spark, self.text_size)
 
 
+def run(
+    spark: SparkSession, labeled_path: str, unlabeled_paths: str | list[str], out: str, threshold: float | None = None,
+    sample_size: int | None = None, save: bool = True, **settings,
+) -> DataFrame:
+    """Fit on a labeled file, save the model, score award files, write all results and those for review."""
+    model = AwardModel.fit(read_labeled(spark, labeled_path), **settings)
+    if save:
+        save_model(model, f"{out}/model")
+    scored = model.predict(read_awards(spark, unlabeled_paths, sample_size), threshold)
+    folder = write_predictions(scored, out)
+    write_review(scored, out)
+    return by_score(spark.read.parquet(folder))
+
+
 def save_model(model: AwardModel, path: str) -> None:
     """Write the model as small Parquet tables under ``path``."""
     spark = model.forest.nodes.sparkSession

@@ -6,6 +6,7 @@ import csv
 import io
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -30,22 +31,28 @@ def _as_list(paths: str | list[str]) -> list[str]:
 
 
 def read_json_awards(
-    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.LABELED, multi_line: bool = True,
+    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.LABELED, multi_line: bool = True, strict: bool = False,
 ) -> DataFrame:
     """Awards from JSON: ``{"data": [...]}``, a bare array, or (``multi_line=False``) one object per line.
 
     All three are read with one schema. An envelope is a row whose ``data`` is set; every other row is
-    an award itself. A multi-line file is one task, so large inputs should come as JSON lines.
+    an award itself. A multi-line file is one task, so large inputs should come as JSON lines. What is no
+    JSON is left out, or raises when ``strict``.
     """
-    envelope = T.StructType([*fields.fields, T.StructField("data", T.ArrayType(fields), True)])
-    raw = spark.read.schema(envelope).json(_as_list(paths), multiLine=multi_line)
+    extra = [T.StructField("data", T.ArrayType(fields), True), T.StructField("_bad", T.StringType(), True)]
+    envelope = T.StructType([*fields.fields, *extra])
+    raw = spark.read.schema(envelope).json(_as_list(paths), multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    # A value of another type only empties its field; a row that is no JSON has nothing but the bad text.
+    nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in ("data", *fields.names)])
+    good = ~(F.col("_bad").isNotNull() & nothing)
+    raw = raw.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("not a JSON award file")).cast("boolean")) if strict else good)
     itself = F.array(F.struct(*fields.names))
     return raw.select(F.explode(F.coalesce("data", itself)).alias("award")).select("award.*")
 
 
 def read_labeled(spark: SparkSession, path: str, fields: T.StructType = schema.LABELED, multi_line: bool = True) -> DataFrame:
-    """Labeled awards without placeholder ids. A missing path raises."""
-    return drop_placeholders(read_json_awards(spark, path, fields, multi_line))
+    """Labeled awards without placeholder ids. A missing path or a file that is no JSON raises."""
+    return drop_placeholders(read_json_awards(spark, path, fields, multi_line, strict=True))
 
 
 def _latin1_files(spark: SparkSession, paths: list[str]) -> list[str]:

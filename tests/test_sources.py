@@ -7,7 +7,8 @@ import zipfile
 import pytest
 
 from awardsift import schema, sinks, sources
-from awardsift.plans.etl import etl_dumps
+from awardsift.plans.etl import etl_dumps, process_dumps
+from awardsift.plans.similarity import run
 
 HEADER = ("award_id_piid,award_id_fain,prime_award_base_transaction_description,current_total_value_of_award,total_obligated_amount,"
           "period_of_performance_current_end_date,recipient_name,awarding_agency_name,ignored\n")
@@ -158,3 +159,35 @@ def test_sinks(spark, dumps, tmp_path):
     outputs = spark.createDataFrame([("DOE", "grants", "x"), ("DOE", "contracts", ""), ("VA", "grants", None)], "department string, award_type string, path string")
     sinks.write_summary(outputs, f"{out}/summary")
     assert [r.asDict(True) for r in spark.read.json(f"{out}/summary").collect()] == [{"department": "DOE", "paths": {"grants": "x"}}]
+
+
+def test_bad_json(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"data": [')
+    (tmp_path / "good.json").write_text(json.dumps([{"piid": "g", "savings": 1.5}]))
+    assert ids(sources.read_awards(spark, str(tmp_path))) == ["g"]
+    assert ids(sources.read_labeled(spark, str(tmp_path / "good.json"))) == ["g"]
+    with pytest.raises(Exception):
+        sources.read_labeled(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_process_dumps(spark, dumps, tmp_path):
+    summary = {r["department"]: r["paths"] for r in process_dumps(spark, dumps, str(tmp_path / "out"), "2024-06-01").collect()}
+    assert {k: set(v) for k, v in summary.items()} == {"DOE": {"contracts", "grants"}, "SBA": {"contracts"}}
+    assert ids(spark.read.parquet(summary["DOE"]["grants"])) == ["g1", "g2"]
+    assert spark.read.json(str(tmp_path / "out" / "summary")).count() == 2
+
+
+def test_run_from_files(spark, tmp_path):
+    words = ["support", "training", "software", "road", "bridge"]
+    rows = [{"piid": f"p{i}", "description": f"{words[i % 5]} {words[i % 3]}", "value": i * 100, "vendor": f"V{i % 4}", "agency": f"A{i % 2}"} for i in range(60)]
+    (tmp_path / "labeled.json").write_text(json.dumps({"data": rows[:40]}))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "new.json").write_text(json.dumps(rows[30:]))
+    out = str(tmp_path / "out")
+    got = run(spark, str(tmp_path / "labeled.json"), str(tmp_path / "in"), out, text_size=16, n_estimators=10)
+    assert ids(got) == sorted(f"p{i}" for i in range(40, 60))
+    scores = [r["anomaly_score"] for r in got.collect()]
+    assert scores == sorted(scores, reverse=True)
+    review = spark.read.csv(f"{out}/anomaly_predictions", header=True)
+    assert review.count() == got.where("for_review").count()
+    assert set(os.listdir(f"{out}/model")) == {"forest", "params", "scaler", "categories", "labeled_ids"}
