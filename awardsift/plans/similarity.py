@@ -16,7 +16,7 @@ from ..operators.encoding import CategorySlots
 from ..operators.forest import MAX_SAMPLES, ForestArrays, IsolationForestModel
 from ..operators.fusion import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, FusionModel
 from ..operators.joins import distinct_ids
-from ..session import checkpoint, measure
+from ..session import checkpoint, measure, store
 from ..sinks import write_predictions, write_review
 from ..sources import read_awards, read_labeled
 from .prepare import prepare_labeled, prepare_unlabeled
@@ -48,7 +48,7 @@ class AwardModel:
         # Only the columns the features need; stored once, read by every statistic below.
         prepared = prepare_labeled(labeled)
         wanted = [c for c in ("piid", "clean_description", *NUMERIC_COLUMNS, *CATEGORICAL_COLUMNS) if c in prepared.columns]
-        stored = checkpoint(prepared.select(*wanted))
+        stored = store(prepared.select(*wanted))
         fusion = FusionModel.fit(stored, share)
         features = fusion.transform(embed(stored))
         forest = IsolationForestModel.fit(
@@ -73,7 +73,7 @@ class AwardModel:
 
         A global sort reads its input twice, to find the ranges and to sort, so the scores are stored first.
         """
-        return by_score(checkpoint(self.score(df, threshold)), stored=True)
+        return by_score(store(self.score(df, threshold)), stored=True)
 
     def feature_names(self, spark: SparkSession) -> DataFrame:
         return self.fusion.feature_names(spark, self.text_size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,11 +35,14 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application.
 
     Needed wherever a task runs Python code of the package and the package is not installed on the workers.
+    The archive is a file of the driver that Spark itself hands to every executor.
     """
     context = spark.sparkContext
     if getattr(context, "_awardsift_shipped", False):
         return
     package = Path(__file__).resolve().parent
+    if not package.is_dir():
+        return  # imported from an archive, which the application has shipped already
     archive = Path(tempfile.mkdtemp(prefix="awardsift-package-")) / "awardsift.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):
@@ -47,13 +51,11 @@ def ship_package(spark: SparkSession) -> None:
     context._awardsift_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back without lineage.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The application's folder inside the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. A folder of our own is made only for a
-    local master, where every task runs on this machine.
+    A folder of our own is made only for a local master, where every task runs on this machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,9 +64,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="awardsift-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back without lineage, partition by partition.
+
+    For small tables, and for tables whose partitions or row numbers must stay as they are.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the checkpoint folder and read it back without lineage.
+
+    For wide tables that several jobs read: compressed, and each job reads only the columns it needs.
+    """
+    path = f"{_checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a file scan over all cores when it has fewer splits than cores.
 
