@@ -24,7 +24,7 @@ WITH {AWARDS}, gaps AS (
 SELECT piid, {_first("description")}, max(value) AS value, strftime(max(end_date), '%Y-%m-%d') AS end_day, {_first("vendor")}, {_first("agency")}
 FROM gaps WHERE piid IS NOT NULL GROUP BY piid""")
 def award_rollup(spark, folder):
-    rows = awards(spark, folder).select(
+    rows = awards(spark, folder, heavy=True).select(
         F.nullif("piid", F.lit("5")).alias("piid"), F.when(F.col("part_no") % 3 > 0, F.col("description")).alias("description"),
         "value", "end_date", F.when(F.col("line_no") > 1, F.col("vendor")).alias("vendor"),
         F.when(F.col("supp_no") % 2 == 0, F.col("agency")).alias("agency"), *ORDER,
@@ -35,7 +35,7 @@ def award_rollup(spark, folder):
 
 def _raw_dump(spark, folder):
     """The award view as raw dump rows of both types, with text dates, some bad, and fallback columns in use."""
-    a, line = awards(spark, folder), F.col("line_no")
+    a, line = awards(spark, folder, heavy=True), F.col("line_no")
     day = F.date_format("end_date", "yyyy-MM-dd")
     contract = F.col("return_flag") != "A"
     return a.select(
@@ -166,7 +166,7 @@ SELECT CAST(i AS INTEGER) AS i, round(point, 9) AS point,
   round(sum(exp(-0.5::DOUBLE * pow((point - anomaly_score) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 8) AS density
 FROM grid, scored GROUP BY i, point""")
 def score_density(spark, folder):
-    points = op.density(scored(spark, folder), "anomaly_score", 100)
+    points = op.density(scored(spark, folder, heavy=True), "anomaly_score", 100)
     return points.withColumns({"point": F.round("point", 9), "density": F.round("density", 8)})
 
 

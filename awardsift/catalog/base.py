@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,11 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; the two that feed the heavy jobs come as one row group and are spread over the cores."""
+    """A test table; its schema is read once per session. Documents feed text work and are spread over the cores."""
     scan = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(scan) if name in ("documents", "lineitem") else scan
+    return spread(scan) if name == "documents" else scan
 
 
 # Awards: order lines with their supplier as vendor and its nation as agency.
@@ -40,8 +42,10 @@ AWARDS = """awards AS (
        JOIN part ON l_partkey = p_partkey)"""
 
 
-def awards(spark: SparkSession, folder: str) -> DataFrame:
+def awards(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """The award view; ``heavy`` spreads the order lines over the cores for work that is slow per row."""
     lines, suppliers = table(spark, folder, "lineitem"), table(spark, folder, "supplier")
+    lines = spread(lines) if heavy else lines
     nations, parts = table(spark, folder, "nation"), table(spark, folder, "part")
     suffix = (
         F.when(F.col("s_suppkey") % 4 == 0, ", Inc.").when(F.col("s_suppkey") % 4 == 1, " LLC")
@@ -71,9 +75,9 @@ SCORED = AWARDS + """, scored AS (
   FROM awards)"""
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def scored(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     score = F.col("value") / F.lit(100000.0) - F.col("discount") * F.lit(5.0)
-    return awards(spark, folder).withColumns({
+    return awards(spark, folder, heavy).withColumns({
         "normalized_value": F.col("value"), "clean_description": F.col("description"), "anomaly_score": score,
         "is_anomalous_by_contamination": score >= 0, "for_review": score > F.lit(0.4),
     })

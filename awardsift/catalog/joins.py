@@ -120,5 +120,5 @@ SELECT piid, line_no, supp_no, part_no,
   CASE WHEN vendor_name IN (SELECT category FROM vendor_name_top) THEN vendor_name ELSE 'Unknown' END AS vendor
 FROM named""")
 def top_category_mapping(spark, folder):
-    rows = checkpoint(awards(spark, folder).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor"))
+    rows = checkpoint(awards(spark, folder, heavy=True).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor"))
     return FusionModel.fit(rows, numeric=[]).map_categories(rows)

@@ -50,7 +50,7 @@ def forest_score_fixed(spark, folder):
 
 @query(f"WITH {SCORED} SELECT round(quantile_cont(anomaly_score, 0.1), 9) AS score_offset, count(*) AS n FROM scored")
 def contamination_offset(spark, folder):
-    rows = checkpoint(scored(spark, folder).select("anomaly_score"))
+    rows = checkpoint(scored(spark, folder, heavy=True).select("anomaly_score"))
     at = percentile(rows, "anomaly_score", 0.1)
     return rows.agg(F.round(F.lit(at), 9).alias("score_offset"), F.count(F.lit(1)).alias("n"))
 
@@ -58,7 +58,7 @@ def contamination_offset(spark, folder):
 @query(f"WITH {SCORED} SELECT round(quantile_cont(anomaly_score, 0.9), 9) AS threshold, count(*) AS n FROM scored")
 def score_threshold(spark, folder):
     """The narrowing path of the percentile, forced by a small bound."""
-    rows = checkpoint(scored(spark, folder).select("anomaly_score"))
+    rows = checkpoint(scored(spark, folder, heavy=True).select("anomaly_score"))
     at = percentile(rows, "anomaly_score", 0.9, small=50)
     return rows.agg(F.round(F.lit(at), 9).alias("threshold"), F.count(F.lit(1)).alias("n"))
 
@@ -77,7 +77,7 @@ def review_flags(spark, folder):
 
 # Labeled lines: returned at a high discount. All other orders are scored.
 def award_model(spark, folder, **settings) -> AwardModel:
-    labeled = awards(spark, folder).where("return_flag = 'R' and discount >= 0.09")
+    labeled = awards(spark, folder, heavy=True).where("return_flag = 'R' and discount >= 0.09")
     return AwardModel.fit(labeled, text_size=64, **settings)
 
 
@@ -86,7 +86,7 @@ def forest_fit_score(spark, folder):
     """Fit on the labeled order lines, score every line of the other orders."""
     model = award_model(spark, folder)
     columns = ["piid", "line_no", "supp_no", "part_no", "anomaly_score", "is_anomalous_by_contamination", "for_review"]
-    return model.score(awards(spark, folder)).select(*columns)
+    return model.score(awards(spark, folder, heavy=True)).select(*columns)
 
 
 @query()
@@ -132,4 +132,4 @@ def projected_scores(spark, folder):
 def fitted_threshold_sweep(spark, folder):
     """Sweep over the scores of a fitted model; the scores are stored, since two passes read them."""
     model = award_model(spark, folder)
-    return agg.sweep(checkpoint(model.score(awards(spark, folder)).select("anomaly_score")))
+    return agg.sweep(checkpoint(model.score(awards(spark, folder, heavy=True)).select("anomaly_score")))

@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query runs once to warm up and then $BENCH_RUNS times (default 3) with its whole result written to
+Every query runs once to warm up and then $BENCH_RUNS times (default 2) with its whole result written to
 a sink that discards it; the time reported per query is the median.
 """
 
@@ -17,7 +17,7 @@ from awardsift.session import local_session
 HEADLINES = [
     "award_etl", "award_rollup", "active_awards", "labeled_anti_join", "agency_review_rate", "clean_text", "keyword_substring",
     "prepare_unlabeled", "top_category_mapping", "hashing_embedding", "fused_features", "forest_fit_score",
-    "forest_fit_predict_documents", "threshold_sweep", "score_histogram", "score_density", "score_threshold", "exact_sample",
+    "forest_fit_predict_documents", "threshold_sweep", "score_histogram", "score_density", "contamination_offset", "exact_sample",
     "stratified_split", "sorted_scores", "correlation_pairs", "pca_cumulative_variance", "shap_importance",
 ]
 
@@ -31,7 +31,7 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cores)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

@@ -80,6 +80,24 @@ def test_sweep_matches_direct_counts(spark):
     assert len(flat) == 50 and all(r["threshold"] == 2.0 and r["flagged"] == 0 for r in flat)
 
 
+def test_density_against_numpy(spark):
+    # The outlier leaves most points out of reach of most rows.
+    for x in (np.random.default_rng(8).normal(size=400), np.append(np.random.default_rng(9).normal(size=3000) * 1e-3, 50.0)):
+        got = aggregates.density(spark.createDataFrame(pd.DataFrame({"x": x})), "x", 40).orderBy("i").collect()
+        width = x.std(ddof=1) * len(x) ** -0.2
+        grid = np.linspace(x.min(), x.max(), 40)
+        expected = np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2).sum(axis=1) / (len(x) * width * np.sqrt(2 * np.pi))
+        assert [r["point"] for r in got] == pytest.approx(list(grid))
+        assert [r["density"] for r in got] == pytest.approx(list(expected), rel=1e-9, abs=1e-15)
+
+
+def test_histogram_and_grid_of_equal_values(spark):
+    rows = spark.createDataFrame([(2.0, 0.0, True)] * 3, "anomaly_score double, normalized_value double, for_review boolean")
+    assert [(r["bin"], r["n"]) for r in aggregates.histogram(rows, "anomaly_score", 3).orderBy("bin").collect()] == [(0, 3), (1, 0), (2, 0)]
+    assert aggregates.value_score_grid(rows).first().asDict() == {
+        "score_bin": 0, "value_bin": 0, "for_review": True, "log_scale": False, "n": 3}
+
+
 def test_metrics_without_flagged_rows_are_zero(spark):
     rows = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.2)], "y int, p int, s double")
     assert aggregates.evaluate(rows, "y", "p").first().asDict() == {"precision": 0.0, "recall": 0.0, "f1_score": 0.0}
