@@ -1,6 +1,6 @@
 """Operators for training data at scale, with their queries and SQL; nothing else in the library imports them."""
 
-from . import decontaminate  # noqa: F401
+from . import decontaminate, langid, mixing, sharding  # noqa: F401
 from .data import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
