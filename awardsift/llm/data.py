@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import measure, ship_package, store
+from ..session import _checkpoint_folder, measure, ship_package, store
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -15,7 +16,7 @@ LLM_ORACLES: dict[str, str] = {}
 #: Most bytes of text that one broadcast may hold; larger tables go in blocks or through a shuffle.
 BLOCK_BYTES = 16 * 1024 * 1024
 
-__all__ = ["BLOCK_BYTES", "LLM_ORACLES", "LLM_QUERIES", "measure", "only", "query", "ship_package", "store", "table"]
+__all__ = ["BLOCK_BYTES", "LLM_ORACLES", "LLM_QUERIES", "folder", "measure", "only", "query", "ship_package", "store", "table"]
 
 
 def query(sql: str | None = None):
@@ -42,3 +43,8 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 SQL_SPACED = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 SQL_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_ALNUM = r"regexp_extract_all(" + SQL_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for an index or a result in the application's shared checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -239,3 +239,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learned(docs)
     found = identify(only(docs, "doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents with a dominant known language, with their own columns; learned from their own labels."""
+    found = identify(docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(docs.columns)], F.col("text")), learned(docs))
+    passed = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= DOMINANT))
+    return passed.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
