@@ -11,6 +11,8 @@ from ..plans.etl import award_etl as run_etl
 from .base import AWARDS, SCORED, awards, query, scored, table
 
 ORDER = ["line_no", "supp_no", "part_no"]
+# The whole default list, and words that the part names hold.
+_ETL_WORDS = [*main_keywords(), "gear", "anvil"]
 
 
 def _first(column: str) -> str:
@@ -59,10 +61,10 @@ WITH {AWARDS}, standard AS (
     CASE WHEN line_no <> 3 THEN end_date END AS end_date, vendor, agency, line_no, supp_no, part_no FROM awards)
 SELECT award_type, department, piid, {_first("description")}, max(value) AS value, strftime(max(end_date), '%Y-%m-%d') AS end_day,
   {_first("vendor")}, {_first("agency")}
-FROM standard WHERE end_date > TIMESTAMP '2000-01-01' AND regexp_matches(description, '{sql_pattern(["support", "gear", "anvil"], "substring")}', 'i')
+FROM standard WHERE end_date > TIMESTAMP '2000-01-01' AND regexp_matches(description, '{sql_pattern(_ETL_WORDS, "substring")}', 'i')
 GROUP BY award_type, department, piid""")
 def award_etl(spark, folder):
-    rolled = run_etl(_raw_dump(spark, folder), "2000-01-01", ["support", "gear", "anvil"], order=ORDER)
+    rolled = run_etl(_raw_dump(spark, folder), "2000-01-01", _ETL_WORDS, order=ORDER)
     return rolled.withColumn("end_day", F.date_format("end_date", "yyyy-MM-dd")).drop("end_date")
 
 
@@ -161,12 +163,12 @@ def score_histogram(spark, folder):
 @query(f"""
 WITH {SCORED}, s AS (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi, count(*)::DOUBLE AS n,
   stddev_samp(anomaly_score) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS h FROM scored),
-grid AS (SELECT i, lo + i * ((hi - lo) / 99.0::DOUBLE) AS point, n, h FROM s, range(100) r(i))
+grid AS (SELECT i, lo + i * ((hi - lo) / 199.0::DOUBLE) AS point, n, h FROM s, range(200) r(i))
 SELECT CAST(i AS INTEGER) AS i, round(point, 9) AS point,
   round(sum(exp(-0.5::DOUBLE * pow((point - anomaly_score) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 8) AS density
 FROM grid, scored GROUP BY i, point""")
 def score_density(spark, folder):
-    points = op.density(scored(spark, folder, heavy=True), "anomaly_score", 100)
+    points = op.density(scored(spark, folder, heavy=True), "anomaly_score", 200)
     return points.withColumns({"point": F.round("point", 9), "density": F.round("density", 8)})
 
 

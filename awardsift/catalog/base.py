@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 @lru_cache(maxsize=64)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; its schema is read once per session. Documents feed text work and are spread over the cores."""
+    """A test table; its schema is read once per session. Documents feed text work and are spread if the session says so."""
     scan = spark.read.parquet(f"{folder}/{name}.parquet")
     return spread(scan) if name == "documents" else scan
 

@@ -10,7 +10,7 @@ from ..operators import analysis, encoding
 from ..operators.embed import hashing_embedding as embed
 from ..operators.fusion import FusionModel
 from ..plans.prepare import prepare_labeled
-from ..session import checkpoint
+from ..session import broadcast_if_small, checkpoint
 from ..functions import clean_text
 from .base import AWARDS, DOCS, awards, docs, labeled_docs, query, sql_clean, table
 from .joins import sql_top
@@ -86,7 +86,7 @@ s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM train), {sql_top("agen
 known AS (
   SELECT doc_id, value, CASE WHEN agency IN (SELECT category FROM agency_top) THEN agency ELSE 'Unknown' END AS agency,
     CASE WHEN vendor IN (SELECT category FROM vendor_top) THEN vendor ELSE 'Unknown' END AS vendor FROM docs),
-{_sql_buckets("docs", 64)}
+{_sql_buckets("docs", 768)}
 SELECT doc_id, 'text_' || feature AS name, round(value, 9) AS value FROM text_cells
 UNION ALL SELECT doc_id, 'num_normalized_value', round((value - m) / d, 9) FROM docs, s WHERE value <> m
 UNION ALL SELECT doc_id, 'agency_' || agency, 1.0::DOUBLE FROM known
@@ -95,8 +95,8 @@ def fused_features(spark, folder):
     """Model fitted on the labeled documents, applied to all; long form with feature names."""
     model = FusionModel.fit(checkpoint(prepare_labeled(labeled_docs(spark, folder)).drop("description")))
     prepared = prepare_labeled(docs(spark, folder)).drop("description")
-    fused = model.transform(embed(prepared, size=64))
-    names = F.broadcast(model.feature_names(spark, 64))  # 64 + 1 + a fifth of the labeled agencies and vendors: counted on fit
+    fused = model.transform(embed(prepared))
+    names = broadcast_if_small(checkpoint(model.feature_names(spark, 768)))
     cells = long_form(fused, "doc_id", "features").join(names, "feature")
     return cells.select("doc_id", "name", F.round("value", 9).alias("value"))
 

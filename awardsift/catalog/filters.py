@@ -98,7 +98,6 @@ def vendor_validity(spark, folder):
 WITH {AWARDS} SELECT 'active' AS step, count(*) AS rows_in, count(*) FILTER (WHERE end_date > TIMESTAMP '2000-01-01') AS rows_out
 FROM awards""")
 def rows_removed(spark, folder):
-    before, seen_in = op.observed(awards(spark, folder).select("end_date"), "in")
-    after, seen_out = op.observed(op.active(before, "2000-01-01"), "out")
-    after.write.format("noop").mode("overwrite").save()
-    return spark.createDataFrame([("active", seen_in.get["rows"], seen_out.get["rows"])], "step string, rows_in bigint, rows_out bigint")
+    rows = awards(spark, folder).select("end_date")
+    kept = op.is_active(dict(rows.dtypes)["end_date"], "2000-01-01")
+    return rows.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(kept).alias("rows_out")).select(F.lit("active").alias("step"), "rows_in", "rows_out")

@@ -23,7 +23,7 @@ WITH {AWARDS} SELECT piid, line_no, supp_no, part_no FROM awards
 WHERE piid NOT IN (SELECT piid FROM awards WHERE return_flag = 'R' AND line_no = 1)""")
 def labeled_anti_join(spark, folder):
     everything = awards(spark, folder)
-    ids = op.distinct_ids(everything.where("return_flag = 'R' and line_no = 1"))
+    ids = checkpoint(op.distinct_ids(everything.where("return_flag = 'R' and line_no = 1")))
     return op.exclude_labeled(everything, ids, measure(ids)).select("piid", "line_no", "supp_no", "part_no")
 
 
@@ -120,5 +120,5 @@ SELECT piid, line_no, supp_no, part_no,
   CASE WHEN vendor_name IN (SELECT category FROM vendor_name_top) THEN vendor_name ELSE 'Unknown' END AS vendor
 FROM named""")
 def top_category_mapping(spark, folder):
-    rows = checkpoint(awards(spark, folder, heavy=True).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor"))
-    return FusionModel.fit(rows, numeric=[]).map_categories(rows)
+    rows = awards(spark, folder).select("piid", "line_no", "supp_no", "part_no", "agency", "vendor")
+    return FusionModel.fit(rows.select("agency", "vendor"), numeric=[]).map_categories(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import schema
 from ..operators import aggregates as agg
 from ..operators import analysis
 from ..operators import forest as op
-from ..operators.explain import shap_importance as importance
+from ..operators.explain import importance
 from ..operators.explain import shap_summary as summary
 from ..operators.explain import shap_values as explain
 from ..operators.ranks import percentile
@@ -48,6 +50,114 @@ def forest_score_fixed(spark, folder):
     return rows.select("vec_id", F.round(op.score_from_path(path, 16), 9).alias("raw"))
 
 
+# Every leaf of the small forest with the conditions on its path: tree, leaf, path length; and per condition the feature, the split,
+# whether it is the left side, and the share of the sample that went there.
+def _leaves() -> tuple[list[tuple], list[tuple]]:
+    nodes = {(row[0], row[1]): row for row in SMALL_FOREST}
+    leaves, conditions, todo = [], [], [(tree, 0, ()) for tree in sorted({row[0] for row in SMALL_FOREST})]
+    while todo:
+        tree, node, path = todo.pop()
+        _, _, leaf, feature, split, left, right, _, cover, length = nodes[tree, node]
+        if leaf:
+            leaves.append((tree, node, length))
+            conditions += [(tree, node, *step) for step in path]
+            continue
+        for child, is_left in ((left, True), (right, False)):
+            todo.append((tree, child, (*path, (feature, split, is_left, nodes[tree, child][8] / cover))))
+    return leaves, conditions
+
+
+_LEAVES, _CONDITIONS = _leaves()
+_SPLIT_ON = sorted({row[2] for row in _CONDITIONS})
+_SHARES = {k: math.factorial(k) * math.factorial(len(_SPLIT_ON) - k - 1) / math.factorial(len(_SPLIT_ON)) for k in range(len(_SPLIT_ON))}
+
+
+@query(f"""
+WITH leaves(tree, leaf, length) AS (VALUES {", ".join(f"({t}, {n}, {v!r}::DOUBLE)" for t, n, v in _LEAVES)}),
+conditions(tree, leaf, feature, split, is_left, share) AS (VALUES {", ".join(f"({t}, {n}, {f}, {s}::DOUBLE, {str(c).lower()}, {p!r}::DOUBLE)" for t, n, f, s, c, p in _CONDITIONS)}),
+features(feature, bit) AS (VALUES {", ".join(f"({f}, {1 << i})" for i, f in enumerate(_SPLIT_ON))}),
+sets AS (SELECT s FROM range({1 << len(_SPLIT_ON)}) t(s)),
+weights AS (
+  SELECT vec_id, s, tree, leaf, any_value(length) AS length,
+    product(CASE WHEN c.feature IS NULL THEN 1 WHEN s & bit = 0 THEN share WHEN (embedding[c.feature + 1] <= split) = is_left THEN 1 ELSE 0 END) AS w
+  FROM embeddings, sets, leaves LEFT JOIN conditions c USING (tree, leaf) LEFT JOIN features USING (feature) GROUP BY ALL),
+worth AS (SELECT vec_id, s, sum(w * length) / 3.0::DOUBLE AS v FROM weights GROUP BY ALL)
+SELECT a.vec_id, CAST(feature AS INTEGER) AS feature, round(sum((b.v - a.v) * CASE bit_count(a.s) {" ".join(f"WHEN {k} THEN {v!r}::DOUBLE" for k, v in _SHARES.items())} END), 9) AS phi
+FROM worth a, features JOIN worth b ON b.vec_id = a.vec_id AND b.s = a.s + bit WHERE a.s & bit = 0 GROUP BY ALL""")
+def shap_fixed(spark, folder):
+    """Shapley values on the hand-made forest; the check goes through all sets of features."""
+    nodes = spark.createDataFrame(SMALL_FOREST, schema.FOREST)
+    model = op.IsolationForestModel(nodes, 16, 0.0, 0.0, op.ForestArrays.collect(nodes))
+    names = spark.range(64).select(F.col("id").cast("int").alias("feature"), F.concat(F.lit("f"), "id").alias("name"))
+    rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    return explain(model, rows, names, "vec_id").select("vec_id", "feature", F.round("phi", 9).alias("phi"))
+
+
+# The fit itself in SQL: draws, splits and levels from the md5 of seed, tree, row and node.
+TREES, SAMPLES, SEED = 100, op.MAX_SAMPLES, 42
+LEVELS = 8
+
+
+def _sql_fraction(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _sql_level(k: int) -> str:
+    return f"""
+r{k} AS MATERIALIZED (SELECT tree, node, f, min(x) AS lo, max(x) AS hi, count(*) AS c FROM m{k} JOIN cells USING (vec_id) GROUP BY ALL),
+v{k} AS (SELECT tree, node, any_value(c) AS c, list({{'f': f, 'lo': lo, 'hi': hi}} ORDER BY f) FILTER (hi > lo + {op.FLAT!r}::DOUBLE) AS v FROM r{k} GROUP BY tree, node),
+p{k} AS (SELECT tree, node, c, CASE WHEN {k} < deepest AND c >= 2 THEN
+    v[1 + CAST(floor({_sql_fraction(str(SEED), "tree", "node", "'feature'")} * len(v)) AS INTEGER)] END AS p FROM v{k}, size),
+n{k} AS MATERIALIZED (SELECT tree, node, {k} AS depth, c, p IS NULL AS is_leaf, coalesce(p.f, -1) AS f,
+    CASE WHEN p IS NULL THEN 0 WHEN s >= p.hi THEN p.lo ELSE s END AS split
+  FROM (SELECT *, p.lo + {_sql_fraction(str(SEED), "tree", "node", "'split'")} * (p.hi - p.lo) AS s FROM p{k})),
+m{k + 1} AS MATERIALIZED (SELECT tree, vec_id, CASE WHEN x <= split THEN 2 * node + 1 ELSE 2 * node + 2 END AS node
+  FROM m{k} JOIN n{k} USING (tree, node) JOIN cells USING (vec_id, f) WHERE NOT is_leaf)"""
+
+
+SQL_FIT = f"""
+size AS (SELECT least({SAMPLES}, count(*)) AS s, ceil(log2(greatest(2, least({SAMPLES}, count(*))))) AS deepest FROM embeddings),
+cells AS MATERIALIZED (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS f, unnest(embedding)::DOUBLE AS x FROM embeddings),
+draws AS (SELECT CAST(t AS INTEGER) AS tree, vec_id, {_sql_fraction(str(SEED), "t", "vec_id")} AS draw FROM embeddings, range({TREES}) r(t)),
+m0 AS MATERIALIZED (SELECT tree, vec_id, 0 AS node FROM (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY draw, CAST(vec_id AS VARCHAR)) AS r FROM draws), size WHERE r <= s),
+{", ".join(_sql_level(k) for k in range(LEVELS + 1))},
+nodes AS MATERIALIZED (SELECT *, CASE WHEN NOT is_leaf THEN 0 ELSE depth + CASE WHEN c <= 1 THEN 0 WHEN c = 2 THEN 1
+    ELSE 2 * (ln(c - 1) + {op.EULER!r}::DOUBLE) - 2 * (c - 1) / c::DOUBLE END END AS path_len
+  FROM ({" UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(LEVELS + 1))}))"""
+SQL_WALK = ", ".join(f"""
+w{k + 1} AS (SELECT vec_id, tree, CASE WHEN is_leaf THEN node WHEN e.embedding[f + 1] <= split THEN 2 * node + 1 ELSE 2 * node + 2 END AS node
+  FROM w{k} JOIN nodes USING (tree, node) JOIN embeddings e USING (vec_id))""" for k in range(LEVELS))
+SQL_FITTED = f"""{SQL_FIT}, w0 AS (SELECT vec_id, tree, 0 AS node FROM embeddings, (SELECT DISTINCT tree FROM nodes)), {SQL_WALK},
+fitted_raw AS MATERIALIZED (SELECT vec_id, -pow(2.0::DOUBLE, -avg(path_len) / (SELECT 2 * (ln(s - 1) + {op.EULER!r}::DOUBLE) - 2 * (s - 1) / s::DOUBLE FROM size)) AS raw
+  FROM w{LEVELS} JOIN nodes USING (tree, node) GROUP BY vec_id),
+fitted AS (SELECT vec_id, raw - (SELECT quantile_cont(raw, 0.1) FROM fitted_raw) AS score FROM fitted_raw)"""
+
+
+def _fitted(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    return op.IsolationForestModel.fit(rows, n_estimators=TREES, seed=SEED, key=["vec_id"]), rows
+
+
+@query(f"""
+WITH {SQL_FIT} SELECT tree AS tree_id, CAST(node AS INTEGER) AS node_id, is_leaf, CAST(f AS INTEGER) AS feature, round(split::DOUBLE, 9) AS split,
+  CAST(depth AS INTEGER) AS depth, c AS n_samples, round(path_len::DOUBLE, 9) AS path_len FROM nodes""")
+def forest_fit_nodes(spark, folder):
+    """A forest fitted on the embeddings, node by node."""
+    nodes = _fitted(spark, folder)[0].nodes
+    return nodes.select("tree_id", "node_id", "is_leaf", "feature", F.round("split", 9).alias("split"), "depth", "n_samples", F.round("path_len", 9).alias("path_len"))
+
+
+@query(f"""
+WITH {SQL_FITTED} SELECT vec_id, round(score, 9) AS anomaly_score, score >= 0 AS is_anomalous_by_contamination,
+  score > (SELECT quantile_cont(score, 0.9) FROM fitted) AS for_review FROM fitted""")
+def forest_fit_predict(spark, folder):
+    """Fit, score and flag the embeddings."""
+    model, rows = _fitted(spark, folder)
+    scored_rows = model.flags(model.score(rows)).drop("features")
+    return scored_rows.withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
 @query(f"WITH {SCORED} SELECT round(quantile_cont(anomaly_score, 0.1), 9) AS score_offset, count(*) AS n FROM scored")
 def contamination_offset(spark, folder):
     rows = checkpoint(scored(spark, folder, heavy=True).select("anomaly_score"))
@@ -78,7 +188,7 @@ def review_flags(spark, folder):
 # Labeled lines: returned at a high discount. All other orders are scored.
 def award_model(spark, folder, **settings) -> AwardModel:
     labeled = awards(spark, folder, heavy=True).where("return_flag = 'R' and discount >= 0.09")
-    return AwardModel.fit(labeled, text_size=64, **settings)
+    return AwardModel.fit(labeled, **settings)
 
 
 @query()
@@ -99,24 +209,27 @@ def forest_fit_predict_documents(spark, folder):
 
 def _explained(spark, folder):
     labeled = labeled_docs(spark, folder)
-    model = AwardModel.fit(labeled, n_estimators=50)
+    model = AwardModel.fit(labeled)
     rows = model.features(prepare_labeled(labeled).drop("description"))
-    return model, rows, explain(model.forest, rows.select("doc_id", "features"), model.feature_names(spark), "doc_id")
+    return model, rows.select("doc_id", "features")
 
 
 @query()
 def shap_values(spark, folder):
-    return _explained(spark, folder)[2]
+    model, rows = _explained(spark, folder)
+    return explain(model.forest, rows, model.feature_names(spark), "doc_id")
 
 
 @query()
 def shap_importance(spark, folder):
-    return importance(_explained(spark, folder)[2])
+    model, rows = _explained(spark, folder)
+    return importance(model.forest, rows, model.feature_names(spark))
 
 
 @query()
 def shap_summary(spark, folder):
-    return summary(checkpoint(_explained(spark, folder)[2]))
+    model, rows = _explained(spark, folder)
+    return summary(checkpoint(explain(model.forest, rows, model.feature_names(spark), "doc_id")))
 
 
 @query()

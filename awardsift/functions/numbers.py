@@ -11,13 +11,15 @@ _DIGITS = r"\d(?:_?\d)*"
 NUMBER = rf"^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?))\s*$"
 
 
+def amount(text: Column) -> Column:
+    """A text as a double, "$" and "," left out; null where it is no number."""
+    bare = F.translate(text, "$,", "")
+    return F.when(bare.rlike(NUMBER), F.replace(F.trim(bare), F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def normalize_value(value: Column, kind: str = "string") -> Column:
     """Amount as a double; null, NaN and texts that are no number give 0."""
-    if kind == "string":
-        bare = F.translate(value, "$,", "")
-        number = F.when(bare.rlike(NUMBER), F.replace(F.trim(bare), F.lit("_"), F.lit("")).try_cast("double"))
-    else:
-        number = value.cast("double")
+    number = amount(value) if kind == "string" else value.cast("double")
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, percentage, truncate
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from .ranks import first_n, positions
 
 SWEEP_STEPS = 50
@@ -187,9 +189,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density at equally spaced points from minimum to maximum, Scott's bandwidth.
 
-    Range and bandwidth are fetched first. A row then meets only the points within 39 bandwidths; beyond,
-    its term is 0 in double precision. The more rows, the narrower the bandwidth, so this bounds the work
-    per row. Sums combine on the map side and one row per task and point is shuffled.
+    Range and bandwidth are fetched first. Tasks then add up the kernels of their rows at every point, a block of rows at
+    a time, and send one row per point.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     low, high, n, spread = values.agg(F.min("x"), F.max("x"), F.count(F.lit(1)), F.stddev_samp("x")).first()
@@ -197,21 +198,27 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     if not spread:
         return grid.select("i", F.lit(low).cast("double").alias("point"), F.lit(None).cast("double").alias("density"))
     width, step = spread * n**-0.2, (high - low) / (points - 1)
-    reach, x = 39.0 * width, F.col("x")
-
-    def nearest(place: Column) -> Column:
-        return F.least(F.greatest(F.floor((place - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(points - 1)).cast("int")
-
-    distance = (F.lit(low) + F.col("i") * F.lit(step) - x) / F.lit(width)
-    sums = (
-        values.select("x", F.explode(F.sequence(nearest(x - F.lit(reach)), nearest(x + F.lit(reach + step)))).alias("i"))
-        .groupBy("i").agg(F.sum(F.exp(F.lit(-0.5) * distance * distance)).alias("s"))
-    )
+    ship_package(df.sparkSession)
+    sums = values.mapInArrow(kernel_sums(low, step, width, points), "i int, s double")
     filled = sums.union(grid.select("i", F.lit(0.0))).groupBy("i").agg(F.sum("s").alias("s"))
     scale = n * width * (2 * math.pi) ** 0.5
     return filled.select("i", (F.lit(low) + F.col("i") * F.lit(step)).alias("point"), (F.col("s") / F.lit(scale)).alias("density"))
 
 
+def kernel_sums(low: float, step: float, width: float, points: int, block: int = 4096):
+    def add(batches):
+        place = low + np.arange(points) * step
+        total, seen = np.zeros(points), False
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), block):
+                distance = (place[None, :] - x[at : at + block, None]) / width
+                total, seen = total + np.exp(-0.5 * distance * distance).sum(axis=0), True
+        if seen:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(points), pa.int32()), "s": pa.array(total)})
+    return add
+
+
 def value_score_grid(
     df: DataFrame, bins: int = 20, score: str = "anomaly_score", value: str = "normalized_value", flag: str = "for_review",
     log_scale: bool = True,
@@ -235,7 +242,7 @@ def ranked(df: DataFrame, n: int, score: str = "anomaly_score", tie: str = "piid
     """The ``n`` best scores with their rank from 1; only those n rows are numbered."""
     order = [F.desc(score), F.col(tie)]
     best = positions(first_n(df, n, *order), "rank", *order, rows=n)
-    return best.withColumn("rank", F.col("rank") + 1)
+    return best.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def top_n(

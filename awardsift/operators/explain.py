@@ -8,6 +8,7 @@ the others. The Shapley value of such a product is an integral over the multilin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -19,6 +20,7 @@ from ..session import ship_package
 from .forest import ForestArrays, IsolationForestModel, _dense
 
 ROWS_AT_A_TIME = 512
+CELLS = 1 << 20  # rows x used features made dense at a time
 TABLE_WIDTH = 9  # longest path for which all patterns of met conditions are tabulated
 
 
@@ -89,8 +91,35 @@ class TreePaths:
 
 def base_value(model: IsolationForestModel) -> float:
     """Mean path length when no feature is known; a row's Shapley values add up to its own minus this."""
-    trees = len(model.arrays.path)
-    return sum(TreePaths(model.arrays, t).base for t in range(trees)) / trees
+    paths = tree_paths(model.arrays)
+    return sum(tree.base for tree in paths) / len(paths)
+
+
+def _blocks(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches (key, vector) with the vectors' used columns and their Shapley values, both dense, a bounded number of cells at a time."""
+    forest = shared.value
+    step = max(1, CELLS // max(1, len(forest.columns)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            x = _dense(part.column(part.num_columns - 1), forest.columns)
+            phi = np.zeros_like(x)
+            for tree in tree_paths(forest):
+                tree.add(x, phi)
+            yield part, x, phi / len(forest.path)
+
+
+def tree_paths(forest: ForestArrays) -> list[TreePaths]:
+    """Built once for each copy of a forest, that is once per worker."""
+    if not hasattr(forest, "_paths"):
+        forest._paths = [TreePaths(forest, tree) for tree in range(len(forest.path))]
+    return forest._paths
+
+
+def _named(model: IsolationForestModel, names: DataFrame) -> DataFrame:
+    """(_at, feature, name) of the features the forest uses: at most trees * (max_samples - 1) rows."""
+    wanted = names.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(model.arrays.columns)], "_at int, feature int")
+    return F.broadcast(wanted.join(names, "feature", "left"))
 
 
 def shap_values(model: IsolationForestModel, df: DataFrame, names: DataFrame, key: str, features: str = "features") -> DataFrame:
@@ -101,31 +130,38 @@ def shap_values(model: IsolationForestModel, df: DataFrame, names: DataFrame, ke
     """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model.arrays)
-    used = model.arrays.columns
-
-    @F.arrow_udf("struct<phi: array<double>, x: array<double>>")
-    def explain(vectors: pa.Array) -> pa.Array:
-        forest = shared.value
-        x = _dense(vectors, forest.columns)
-        phi = np.zeros_like(x)
-        for tree in range(len(forest.path)):
-            TreePaths(forest, tree).add(x, phi)
-        phi /= len(forest.path)
-        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32())
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(offsets, pa.array(part.ravel())) for part in (phi, x)], ["phi", "x"]
-        )
-
-    # One row per feature the forest uses, so at most trees * (max_samples - 1) rows.
-    wanted = df.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(used)], "_at int, feature int")
-    named = F.broadcast(wanted.join(names, "feature", "left"))
-    explained = df.select(key, explain(F.unwrap_udt(features)).alias("_e"))
-    long = explained.select(key, F.posexplode(F.arrays_zip("_e.phi", "_e.x")).alias("_at", "_v"))
-    return long.join(named, "_at").select(key, "feature", "name", F.col("_v.phi").alias("phi"), F.col("_v.x").alias("x"))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, phi in _blocks(shared, batches):
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (phi, x)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["key", "phi", "x"])
+
+    rows = df.select(F.col(key).alias("key"), F.unwrap_udt(features).alias("v"))
+    explained = rows.mapInArrow(explain, f"key {dict(df.dtypes)[key]}, phi array<double>, x array<double>")
+    long = explained.select(F.col("key").alias(key), F.posexplode(F.arrays_zip("phi", "x")).alias("_at", "_v"))
+    return long.join(_named(model, names), "_at").select(key, "feature", "name", F.col("_v.phi").alias("phi"), F.col("_v.x").alias("x"))
+
+
+def importance(model: IsolationForestModel, df: DataFrame, names: DataFrame, top: int = 20, features: str = "features") -> DataFrame:
+    """``shap_importance`` without the long table: tasks add up absolute values and send one row per feature and task."""
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model.arrays)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(shared.value.columns)), 0
+        for _, x, phi in _blocks(shared, batches):
+            total, rows = total + np.abs(phi).sum(axis=0), rows + len(x)
+        if rows:
+            yield pa.RecordBatch.from_pydict({"_at": pa.array(range(len(total)), pa.int32()), "s": pa.array(total), "n": pa.array([rows] * len(total), pa.int64())})
+
+    sums = df.select(F.unwrap_udt(features).alias("v")).mapInArrow(add, "_at int, s double, n long")
+    means = sums.groupBy("_at").agg((F.sum("s") / F.sum("n")).alias("mean_abs_phi"))
+    return means.join(_named(model, names), "_at").select("feature", "name", "mean_abs_phi").orderBy(F.desc("mean_abs_phi"), "feature").limit(top)
 
 
 def shap_importance(values: DataFrame, top: int = 20) -> DataFrame:
-    """Features with the largest mean absolute Shapley value."""
+    """Features with the largest mean absolute Shapley value, from a long table."""
     return (
         values.groupBy("feature", "name").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
         .orderBy(F.desc("mean_abs_phi"), "feature").limit(top)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import AWARD_TYPE_CODES, PLACEHOLDER_IDS, UNKNOWN
-from ..functions import any_keyword, vendor_or_unknown
+from ..functions import rows_with_keyword, vendor_or_unknown
 
 
 def drop_placeholders(df: DataFrame) -> DataFrame:
@@ -23,17 +23,20 @@ def lenient_timestamp(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("M/d/yyyy")))
 
 
+def is_active(kind: str, as_of: str | datetime.date, column: str = "end_date") -> Column:
+    """Whether an award ends strictly after ``as_of``; ``kind`` is the column's type."""
+    moment = lenient_timestamp(F.col(column)) if kind == "string" else F.col(column)
+    return moment > F.lit(str(as_of)).cast("timestamp_ntz" if "ntz" in kind else "timestamp")
+
+
 def active(df: DataFrame, as_of: str | datetime.date, column: str = "end_date") -> DataFrame:
     """Awards that end strictly after ``as_of``; texts that are no date are dropped."""
-    moment = F.col(column)
-    if dict(df.dtypes)[column] == "string":
-        moment = lenient_timestamp(moment)
-    return df.where(moment > F.lit(str(as_of)).cast("timestamp_ntz" if "ntz" in dict(df.dtypes)[column] else "timestamp"))
+    return df.where(is_active(dict(df.dtypes)[column], as_of, column))
 
 
 def keyword_match(df: DataFrame, column: str, words: list[str] | None, mode: str = "substring") -> DataFrame:
     """Rows with a keyword in the text; no list means no filter."""
-    return df if words is None else df.where(any_keyword(F.col(column), words, mode))
+    return df if words is None else rows_with_keyword(df, column, words, mode)
 
 
 def department(df: DataFrame, name: str) -> DataFrame:

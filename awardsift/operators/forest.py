@@ -8,6 +8,7 @@ is a map over Arrow batches with the node table broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 from math import ceil, log, log2, sqrt
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..session import checkpoint, ship_package
-from .ranks import percentile
+from ..session import broadcast_if_small, checkpoint, ship_package, store
+from .ranks import percentile, positions
 
 # Fixed value: the Euler-Mascheroni constant, from the average depth of an unsuccessful tree search.
 EULER = 0.5772156649015329
@@ -36,19 +37,48 @@ def average_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
+def fraction(*parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the parts: the same on every machine, in Python and in SQL."""
+    text = F.concat_ws("|", *[part.cast("string") for part in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") * F.lit(2.0**-52)
+
+
+def _fraction(*parts: object) -> float:
+    return int(md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) * 2.0**-52
+
+
+def numbered_rows(df: DataFrame, features: str, key: list[str] | None) -> tuple[DataFrame, int]:
+    """A stored table (row_id, features) and its row count; ids follow from the data alone.
+
+    An id is the ``key``, which has to tell rows apart, or the md5 of the feature vector. Copies of a vector are
+    numbered, and since they are equal it does not matter which copy gets which number.
+    """
+    own = F.concat_ws("|", *[F.col(k).cast("string") for k in key]) if key else F.md5(F.unwrap_udt(features).cast("string"))
+    rows = store(df.select(own.alias("row_id"), F.col(features).alias("features")))
+    if key:
+        return rows, rows.count()
+    n, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct("row_id")).first()
+    if n == distinct:
+        return rows, n
+    placed = positions(rows.withColumn("_row", F.monotonically_increasing_id()), "_at", F.col("row_id"), F.col("_row"), rows=n)
+    first = broadcast_if_small(checkpoint(placed.groupBy("row_id").agg(F.min("_at").alias("_first"))))
+    copy = F.when(F.col("_at") > F.col("_first"), F.concat_ws("#", "row_id", (F.col("_at") - F.col("_first")).cast("string")))
+    return store(placed.join(first, "row_id").select(F.coalesce(copy, "row_id").alias("row_id"), "features")), n
+
+
 def tree_draws(rows: DataFrame, n: int, trees: int, samples: int, seed: int) -> DataFrame:
     """``samples`` rows per tree without replacement: (tree_id, draw, features).
 
     Row and tree hash to a fraction. Only fractions below a bound that leaves a few more rows than
-    needed (8 standard deviations) are kept, so about ``trees * samples`` rows are shuffled, never
-    ``trees * n``, and the ranking per tree sees a few hundred rows.
+    needed (8 standard deviations) are kept, inside the row, so about ``trees * samples`` rows are made and
+    shuffled, never ``trees * n``, and the ranking per tree sees a few hundred rows.
     """
     bound = min(1.0, (samples + 8.0 * sqrt(samples) + 16.0) / n)
-    fraction = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("tree_id"), F.col("row_id")), 11) * F.lit(2.0**-53)
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), fraction(F.lit(seed), t, F.col("row_id")).alias("draw")))
     return (
-        rows.select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-        .withColumn("draw", fraction)
-        .where(F.col("draw") < bound)
+        rows.select("row_id", "features", F.explode(F.filter(every, lambda x: x["draw"] < F.lit(bound))).alias("_d"))
+        .select("row_id", "features", "_d.tree_id", "_d.draw")
         .withColumn("_rank", F.row_number().over(W.partitionBy("tree_id").orderBy("draw", "row_id")))
         .where(F.col("_rank") <= samples)
         .select("tree_id", "draw", "row_id", F.unwrap_udt("features").alias("features"))
@@ -87,16 +117,17 @@ def _used_columns(vectors: pa.StructArray) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int64)
 
 
-def _grow(x: np.ndarray, columns: np.ndarray, random: np.random.Generator) -> list[dict]:
-    """Node rows of one tree over a small matrix: random column, uniform split, limited depth."""
+def _grow(x: np.ndarray, columns: np.ndarray, seed: int, tree: int) -> list[dict]:
+    """Node rows of one tree over a small matrix: random column, uniform split, limited depth.
+
+    Nodes are numbered as in a heap (children of i: 2i + 1 and 2i + 2). Both choices of a node come from the md5 of
+    seed, tree and node, so neither the order of rows nor the number of tasks matters.
+    """
     limit = ceil(log2(max(len(x), 2)))
     nodes: list[dict] = []
-    todo = [(np.arange(len(x)), 0, -1, "")]
+    todo = [(np.arange(len(x)), 0, 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        node = len(nodes)
-        if parent >= 0:
-            nodes[parent][side] = node
+        rows, depth, node = todo.pop()
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
         varied = np.flatnonzero(high > low + FLAT)
         leaf = depth >= limit or len(rows) < 2 or not len(varied)
@@ -105,14 +136,14 @@ def _grow(x: np.ndarray, columns: np.ndarray, random: np.random.Generator) -> li
         nodes.append(entry)
         if leaf:
             continue
-        pick = varied[random.integers(len(varied))]
-        split = random.uniform(low[pick], high[pick])
+        pick = varied[int(_fraction(seed, tree, node, "feature") * len(varied))]
+        split = low[pick] + _fraction(seed, tree, node, "split") * (high[pick] - low[pick])
         if split >= high[pick]:
             split = low[pick]
-        entry["feature"], entry["split"] = int(columns[pick]), float(split)
+        entry |= {"feature": int(columns[pick]), "split": float(split), "left": 2 * node + 1, "right": 2 * node + 2}
         goes_left = x[rows, pick] <= split
-        todo.append((rows[~goes_left], depth + 1, node, "right"))
-        todo.append((rows[goes_left], depth + 1, node, "left"))
+        todo.append((rows[~goes_left], depth + 1, 2 * node + 2))
+        todo.append((rows[goes_left], depth + 1, 2 * node + 1))
     return nodes
 
 
@@ -126,7 +157,7 @@ def build_trees(draws: DataFrame, seed: int) -> DataFrame:
         if isinstance(vectors, pa.ChunkedArray):
             vectors = vectors.chunk(0)
         columns = _used_columns(vectors)
-        nodes = _grow(_dense(vectors, columns), columns, np.random.default_rng([seed, tree]))
+        nodes = _grow(_dense(vectors, columns), columns, seed, tree)
         fields = [
             ("tree_id", pa.int32()), ("node_id", pa.int32()), ("is_leaf", pa.bool_()), ("feature", pa.int32()),
             ("split", pa.float64()), ("left", pa.int32()), ("right", pa.int32()), ("depth", pa.int32()),
@@ -155,10 +186,13 @@ class ForestArrays:
     @classmethod
     def collect(cls, nodes: DataFrame) -> ForestArrays:
         """Bring the forest to the driver: at most 2 * max_samples - 1 rows per tree, whatever the data."""
-        table = nodes.toPandas()
-        trees = {t: i for i, t in enumerate(sorted(table["tree_id"].unique()))}
-        t, n = table["tree_id"].map(trees).to_numpy(), table["node_id"].to_numpy()
-        shape = (len(trees), int(n.max()) + 1)
+        table = nodes.toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
+        t = np.unique(table["tree_id"], return_inverse=True)[1]
+        starts = np.searchsorted(t, np.arange(t[-1] + 1))
+        n = np.arange(len(t)) - starts[t]  # node numbers may have gaps: a node's place among its tree's
+        number = table["node_id"].to_numpy(np.int64)
+        wide = int(number.max()) + 1
+        shape = (len(starts), int(n.max()) + 1)
         inner = ~table["is_leaf"].to_numpy(dtype=bool)
         columns = np.unique(table["feature"].to_numpy()[inner]).astype(np.int64)
         stay = np.broadcast_to(np.arange(shape[1]), shape)
@@ -166,8 +200,9 @@ class ForestArrays:
                   "path": np.zeros(shape), "cover": np.zeros(shape), "leaf": np.zeros(shape, bool)}
         ti, ni = t[inner], n[inner]
         arrays["feature"][ti, ni] = np.searchsorted(columns, table["feature"].to_numpy()[inner])
-        for name in ("split", "left", "right"):
-            arrays[name][ti, ni] = table[name].to_numpy()[inner]
+        arrays["split"][ti, ni] = table["split"].to_numpy()[inner]
+        for name in ("left", "right"):
+            arrays[name][ti, ni] = np.searchsorted(t * wide + number, ti * wide + table[name].to_numpy(np.int64)[inner]) - starts[ti]
         arrays["path"][t, n] = table["path_len"]
         arrays["cover"][t, n] = table["n_samples"]
         arrays["leaf"][t, n] = ~inner
@@ -232,15 +267,13 @@ class IsolationForestModel:
     @classmethod
     def fit(
         cls, df: DataFrame, features: str = "features", n_estimators: int = 100, max_samples: int = MAX_SAMPLES,
-        contamination: float = 0.1, seed: int = 42,
+        contamination: float = 0.1, seed: int = 42, key: list[str] | None = None,
     ) -> IsolationForestModel:
         """Forest, offset (``contamination`` percentile of the raw scores) and review threshold (90th percentile).
 
-        The feature rows are checkpointed with a row number, so that copies of a row are still
-        separate rows for the draws and a lost executor does not change them.
+        The result depends on the rows and the seed alone, not on their order or partitioning (see ``numbered_rows``).
         """
-        rows = checkpoint(df.select(F.monotonically_increasing_id().alias("row_id"), F.col(features).alias("features")))
-        n = rows.count()
+        rows, n = numbered_rows(df, features, key)
         if n == 0:
             raise ValueError("cannot fit a forest on an empty table")
         samples = min(max_samples, n)

@@ -17,6 +17,8 @@ from .filters import drop_placeholders
 
 # Rows that one task may order or the driver may hold.
 SMALL = 100_000
+# Rows that every task may send to one task.
+FEW = 1_000
 
 
 def _sorted_parts(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -29,8 +31,11 @@ def _sorted_parts(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[t
     return stored, sorted((row["_part"], row["count"]) for row in sizes)
 
 
-def first_n(df: DataFrame, n: int, *order: Column, small: int = SMALL) -> DataFrame:
-    """The first ``n`` rows in the given order, whatever the size of ``n``."""
+def first_n(df: DataFrame, n: int, *order: Column, small: int = FEW) -> DataFrame:
+    """The first ``n`` rows in the given order, whatever the size of ``n``.
+
+    A plain limit sends ``n`` rows of every task to one task, so it is used for a few rows only.
+    """
     order = list(order)
     if n <= small:
         return df.orderBy(*order).limit(n)
@@ -57,7 +62,7 @@ def positions(df: DataFrame, name: str, *order: Column, rows: int | None = None,
     order = list(order)
     rows = df.count() if rows is None else rows
     if rows <= small:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)) - 1)
+        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint"))
     stored, sizes = _sorted_parts(df, order)
     start, starts = 0, []
     for part, count in sizes:
@@ -65,7 +70,7 @@ def positions(df: DataFrame, name: str, *order: Column, rows: int | None = None,
         start += count
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start bigint"))  # one row per partition
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return stored.join(offsets, "_part").withColumn(name, (rank + F.col("_start")).cast("int")).drop("_part", "_start")
+    return stored.join(offsets, "_part").withColumn(name, (rank + F.col("_start")).cast("bigint")).drop("_part", "_start")
 
 
 def _kth(values: DataFrame, k: int, n: int, small: int) -> float:
@@ -114,8 +119,8 @@ def percentile(df: DataFrame, column: str, share: float, small: int = SMALL) ->
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
     n = values.count()
-    if n <= small:
-        return values.agg(F.percentile("x", F.lit(share))).first()[0]
+    if not n:
+        return None
     place = (n - 1) * share
     k = min(math.floor(place), n - 1)
     low = _kth(values, k, n, small)
@@ -124,7 +129,7 @@ def percentile(df: DataFrame, column: str, share: float, small: int = SMALL) ->
         return low
     after = values.agg(F.count_if(F.col("x") <= low).alias("c"), F.min(F.when(F.col("x") > low, F.col("x"))).alias("m")).first()
     high = low if after["c"] > k + 1 else after["m"]
-    return low + (high - low) * weight if weight < 0.5 else high - (high - low) * (1 - weight)
+    return low + (high - low) * weight
 
 
 # --- samples and splits by hash --------------------------------------------------------------
@@ -137,30 +142,25 @@ def _hash(seed: int, key: str | list[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def exact_sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42, small: int = SMALL) -> DataFrame:
+def exact_sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42, small: int = FEW) -> DataFrame:
     """Exactly ``n`` rows (all rows when there are fewer), the same ones on every run.
 
-    ``key`` should tell rows apart. Rows are taken in the order of md5(seed|key). A large sample is cut
-    by counting rows per hash bucket: whole buckets below the cut pass a filter, and only the bucket
-    on the cut is ordered.
+    ``key`` should tell rows apart. Rows are taken in the order of md5(seed|key). Rows are counted, and a bound on the
+    hash leaves ``n`` rows and a few more (8 standard deviations), of which the last ones are cut off by an ordering of
+    these alone. Where keys repeat so much that the bound leaves too few, all rows are ordered.
     """
     keys = [key] if isinstance(key, str) else key
     hashed = df.withColumn("_hash", _hash(seed, keys))
     order = [F.col("_hash"), *[F.col(k) for k in keys]]
-    if n <= small:
-        return hashed.orderBy(*order).limit(n).drop("_hash")
-    bucket = F.conv(F.substring("_hash", 1, _DIGITS), 16, 10).cast("int")
-    counts = sorted((r["b"], r["count"]) for r in hashed.groupBy(bucket.alias("b")).count().collect())
-    left = n
-    for cut, count in counts:
-        if count > left:
-            break
-        left -= count
-    else:
+    total = hashed.count()
+    if total <= n:
         return df
-    below = hashed.where(bucket < cut)
-    edge = first_n(hashed.where(bucket == cut), left, *order, small=small)
-    return below.union(edge).drop("_hash")
+    bound = (n + 8.0 * math.sqrt(n) + 16.0) / total
+    if bound < 1:
+        near = hashed.where(F.col("_hash") < F.lit(f"{int(bound * 2**52):013x}"))
+        if near.count() >= n:
+            hashed = near
+    return first_n(hashed, n, *order, small=small).drop("_hash")
 
 
 def fixture_sample(df: DataFrame, n: int = 200, key: str | list[str] = "piid", seed: int = 42) -> DataFrame:

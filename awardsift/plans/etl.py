@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import amount
 from ..operators.aggregates import rollup_awards, run_summary
 from ..operators.filters import active, keyword_match, lenient_timestamp
 from ..operators.schema_ops import description_fallback, end_date_fallback, ensure_columns
 from ..schema import RAW_DUMP
-from ..sinks import write_awards, write_summary
-from ..sources import list_archives, parse_dump_names, read_zipped_csv
+from ..sinks import write_awards, write_records, write_summary
+from ..sources import archive_members, list_archives, parse_dump_names, read_zipped_csv, rejected_archives, select_dumps
 
 GROUP = ["award_type", "department", "acronym"]
 
@@ -31,8 +32,7 @@ def standard_columns(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
         *[c for c in (*GROUP, *keep) if c in raw.columns],
         F.when(contract, F.col("award_id_piid")).otherwise(F.col("award_id_fain")).alias("piid"),
         F.col("_text").alias("description"),
-        F.when(contract, F.col("current_total_value_of_award")).otherwise(F.col("total_obligated_amount"))
-        .try_cast("double").alias("value"),
+        amount(F.when(contract, F.col("current_total_value_of_award")).otherwise(F.col("total_obligated_amount")).cast("string")).alias("value"),
         lenient_timestamp(F.col("_end")).alias("end_date"),
         F.col("recipient_name").alias("vendor"),
         F.col("awarding_agency_name").alias("agency"),
@@ -58,22 +58,36 @@ def award_etl(
     return rollup_awards(awards, [*keys, "piid"], list(order))
 
 
-def etl_dumps(spark: SparkSession, path: str, as_of: str, words: list[str] | None = None, mode: str = "substring") -> DataFrame:
-    """All archives under ``path`` whose names give a known department and an award type."""
-    files = parse_dump_names(list_archives(spark, path))
-    rows = read_zipped_csv(spark, files)
-    named = parse_dump_names(rows)
+def etl_dumps(
+    spark: SparkSession, path: str, as_of: str, words: list[str] | None = None, mode: str = "substring",
+    departments: list[str] | None = None, award_types: list[str] | None = None, members: DataFrame | None = None,
+) -> DataFrame:
+    """The archives under ``path`` whose names give a known department and an award type, or only the named ones.
+
+    Other archives are never opened. ``members`` is ``dump_members``' table, if the caller has it.
+    """
+    members = dump_members(spark, path, departments, award_types) if members is None else members
+    named = parse_dump_names(read_zipped_csv(spark, members, members=members))
     return award_etl(named, as_of, words, mode)
 
 
+def dump_members(spark: SparkSession, path: str, departments: list[str] | None = None, award_types: list[str] | None = None) -> DataFrame:
+    """CSV members of the selected archives, and the archives that cannot be read."""
+    return archive_members(spark, select_dumps(parse_dump_names(list_archives(spark, path)), departments, award_types))
+
+
 def process_dumps(
     spark: SparkSession, path: str, out: str, as_of: str, words: list[str] | None = None, mode: str = "substring",
+    departments: list[str] | None = None, award_types: list[str] | None = None,
 ) -> DataFrame:
-    """Run the ETL, write the awards and a summary, and return the summary: department -> {type -> folder}.
+    """Run the ETL, write the awards, a summary and the rejected archives, and return the summary: department -> {type -> folder}.
 
-    Departments and types without any award have no folder and are left out.
+    Departments and types without any award have no folder and are left out. Archives that cannot be read are in
+    ``<out>/rejected`` with their errors.
     """
-    write_awards(etl_dumps(spark, path, as_of, words, mode), f"{out}/awards")
+    members = dump_members(spark, path, departments, award_types)
+    write_awards(etl_dumps(spark, path, as_of, words, mode, members=members), f"{out}/awards")
+    write_records(rejected_archives(members), f"{out}/rejected")
     written = spark.read.parquet(f"{out}/awards").select("award_type", "department", "acronym").distinct()
     folder = F.concat(F.lit(f"{out}/awards/award_type="), "award_type", F.lit("/department="), "department")
     outputs = written.select(F.col("acronym").alias("department"), "award_type", folder.alias("path"))

@@ -15,10 +15,11 @@ from ..operators.embed import TEXT_SIZE, hashing_embedding
 from ..operators.encoding import CategorySlots
 from ..operators.forest import MAX_SAMPLES, ForestArrays, IsolationForestModel
 from ..operators.fusion import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, FusionModel
+from ..operators.filters import department as by_department
 from ..operators.joins import distinct_ids
 from ..session import checkpoint, measure, store
 from ..sinks import write_predictions, write_review
-from ..sources import read_awards, read_labeled
+from ..sources import read_awards, read_labeled, sampled
 from .prepare import prepare_labeled, prepare_unlabeled
 
 log = logging.getLogger(__name__)
@@ -81,13 +82,26 @@ class AwardModel:
 
 def run(
     spark: SparkSession, labeled_path: str, unlabeled_paths: str | list[str], out: str, threshold: float | None = None,
-    sample_size: int | None = None, save: bool = True, **settings,
+    sample_size: int | None = None, save: bool = True, department: str | None = None, load_from: str | None = None, embed: Embed | None = None, **settings,
 ) -> DataFrame:
-    """Fit on a labeled file, save the model, score award files, write all results and those for review."""
-    model = AwardModel.fit(read_labeled(spark, labeled_path), **settings)
-    if save:
-        save_model(model, f"{out}/model")
-    scored = model.predict(read_awards(spark, unlabeled_paths, sample_size), threshold)
+    """Load a model or fit one on a labeled file and save it, score award files, write all results and those for review.
+
+    ``load_from`` is a folder that ``save_model`` wrote; if it holds no model, one is fitted. ``department`` keeps the awards of
+    agencies with that text in their name.
+    """
+    model = None
+    if load_from:
+        try:
+            model = load_model(spark, load_from, embed)
+        except (AnalysisException, ValueError) as error:
+            log.warning("no model in %s, fitting one: %s", load_from, error)
+    if model is None:
+        model = AwardModel.fit(read_labeled(spark, labeled_path), embed, **settings)
+        if save:
+            save_model(model, f"{out}/model")
+    awards = read_awards(spark, unlabeled_paths)
+    awards = awards if department is None else by_department(awards, department)
+    scored = model.predict(awards if sample_size is None else sampled(awards, sample_size), threshold)
     folder = write_predictions(scored, out)
     write_review(scored, out)
     return by_score(spark.read.parquet(folder))

@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", spread: int = 0) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings the session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("awardsift.spread", str(spread))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -87,14 +88,13 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread a file scan over all cores when it has fewer splits than cores.
+    """The scan dealt over as many tasks as the session's ``awardsift.spread`` says; by default the scan itself.
 
-    Meant for a few files that cannot be split in front of work that is heavy per row. A large table has
-    more splits than the cluster has cores and is returned as it is. Only for plain scans, whose splits
-    are known without running anything.
+    An option for callers whose few files cannot be split and whose work is heavy per row. It never depends on the
+    data, and no result depends on it.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    tasks = int(scan.sparkSession.conf.get("awardsift.spread", "0"))
+    return scan.repartition(tasks) if tasks else scan
 
 
 def measure(df: DataFrame, **more: Column) -> tuple:

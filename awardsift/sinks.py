@@ -52,8 +52,8 @@ def write_review(df: DataFrame, path: str, kind: str = "csv") -> str:
 
 
 def write_snapshot(df: DataFrame, path: str, name: str, run_ts: str | None = None) -> str:
-    """Labeled records as JSON lines in a folder named after the run; ``read_labeled(multi_line=False)`` reads it."""
-    folder = f"{path}/{name}_{run_ts or stamp(df)}"
+    """Labeled records as JSON lines in a folder named after the run; ``latest_snapshot`` finds and ``read_labeled`` reads it."""
+    folder = f"{path}/{name}_{run_ts or stamp(df)}.json"
     df.write.mode("errorifexists").json(folder)
     return folder
 

@@ -1,9 +1,9 @@
 """Readers."""
 
-from .dumps import dump_files, list_archives, parse_dump_names, read_zipped_csv
-from .files import latest_snapshot, read_awards, read_csv_awards, read_json_awards, read_labeled, read_paged
+from .dumps import archive_members, dump_files, list_archives, parse_dump_names, read_zipped_csv, rejected_archives, select_dumps
+from .files import latest_snapshot, read_awards, read_csv_awards, read_json_awards, read_labeled, read_paged, sampled
 
 __all__ = [
-    "dump_files", "latest_snapshot", "list_archives", "parse_dump_names", "read_awards", "read_csv_awards",
-    "read_json_awards", "read_labeled", "read_paged", "read_zipped_csv",
+    "archive_members", "dump_files", "latest_snapshot", "list_archives", "parse_dump_names", "read_awards", "read_csv_awards",
+    "read_json_awards", "read_labeled", "read_paged", "read_zipped_csv", "rejected_archives", "sampled", "select_dumps",
 ]

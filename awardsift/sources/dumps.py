@@ -6,8 +6,6 @@ streams that member in chunks, so a large archive is spread over as many tasks a
 
 from __future__ import annotations
 
-import codecs
-import logging
 import zipfile
 from collections.abc import Iterator
 
@@ -23,8 +21,6 @@ from ..operators.joins import add_acronym
 from ..session import checkpoint, ship_package
 from .paths import open_path
 
-log = logging.getLogger(__name__)
-
 CHUNK_ROWS = 50_000
 MAX_TASKS = 10_000
 _TYPES = "|".join(AWARD_TYPES)
@@ -65,70 +61,85 @@ def type_combos(parsed: DataFrame) -> DataFrame:
     return parsed.select("department", "acronym", "award_type").distinct()
 
 
-def _encoding(archive: zipfile.ZipFile, member: str) -> str:
-    """utf-8, or latin1 when the member has bytes that are not UTF-8; read in pieces."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    with archive.open(member) as stream:
-        try:
-            while piece := stream.read(1 << 20):
-                decoder.decode(piece)
-            decoder.decode(b"", final=True)
-        except UnicodeDecodeError:
-            return "latin1"
-    return "utf-8"
-
-
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """CSV members of archives; an archive that cannot be read is a row with its error."""
     for batch in batches:
         rows = []
         for path in batch["path"]:
             try:
                 with open_path(path) as stream, zipfile.ZipFile(stream) as archive:
-                    rows += [(path, m.filename, m.file_size) for m in archive.infolist() if m.filename.endswith(".csv")]
+                    rows += [(path, m.filename, m.file_size, None) for m in archive.infolist() if m.filename.endswith(".csv")]
             except zipfile.BadZipFile as error:
-                log.warning("%s skipped: %s", path, error)
-        yield pd.DataFrame(rows, columns=["path", "member", "member_size"])
+                rows.append((path, None, None, str(error)))
+        yield pd.DataFrame(rows, columns=["path", "member", "member_size", "error"])
 
 
 def _row_reader(columns: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                with open_path(row["path"]) as stream, zipfile.ZipFile(stream) as archive:
-                    encoding = _encoding(archive, row["member"])
-                    with archive.open(row["member"]) as data:
-                        yield from _chunks(data, encoding, row["path"], row["member"], columns)
+                with open_path(row["path"]) as stream, zipfile.ZipFile(stream) as archive, archive.open(row["member"]) as data:
+                    yield from _chunks(data, row["path"], row["member"], columns)
     return read
 
 
-def _chunks(data, encoding: str, path: str, member: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def decoded(text: str) -> str:
+    """A text read one byte per character: as UTF-8 if it is, else as it stands."""
     try:
-        chunks = pd.read_csv(data, dtype=object, chunksize=CHUNK_ROWS, encoding=encoding, usecols=lambda c: c in columns)
+        return text if text.isascii() else text.encode("latin1").decode()
+    except UnicodeDecodeError:
+        return text
+
+
+def _chunks(data, path: str, member: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A member is inflated once: its bytes are read one per character, and each value is decoded on its own."""
+    try:
+        chunks = pd.read_csv(data, dtype=object, chunksize=CHUNK_ROWS, encoding="latin1", usecols=lambda c: decoded(c).lstrip("\ufeff") in columns)
     except pd.errors.EmptyDataError:
         return
     at = 0
     with chunks:
         for chunk in chunks:
+            chunk.columns = [decoded(c).lstrip("\ufeff") for c in chunk.columns]
             n = len(chunk)
-            texts = [pa.array(chunk[c].to_numpy(), pa.string(), from_pandas=True) if c in chunk else pa.nulls(n, pa.string()) for c in columns]
+            values = {c: [decoded(v) if isinstance(v, str) else None for v in chunk[c]] for c in columns if c in chunk}
+            texts = [pa.array(values[c], pa.string()) if c in values else pa.nulls(n, pa.string()) for c in columns]
             place = [pa.array([path] * n), pa.array([member] * n), pa.array(range(at, at + n), pa.int64())]
             at += n
             yield pa.RecordBatch.from_arrays([*place, *texts], ["path", "member", "row_no", *columns])
 
 
-def read_zipped_csv(spark: SparkSession, files: DataFrame, columns: T.StructType = schema.RAW_DUMP) -> DataFrame:
-    """Rows of all CSV members, at any depth, of the listed archives.
+def archive_members(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(path, member, member_size, error): a stored table of all CSV members, and of archives that cannot be read."""
+    ship_package(spark)
+    return checkpoint(files.select("path").repartition("path").mapInPandas(
+        _members, "path string, member string, member_size long, error string"))
+
+
+def rejected_archives(members: DataFrame) -> DataFrame:
+    """(path, error) of the archives that were left out."""
+    return members.where("error IS NOT NULL").select("path", "error")
+
+
+def select_dumps(parsed: DataFrame, departments: list[str] | None = None, award_types: list[str] | None = None) -> DataFrame:
+    """Archives of the named departments and award types, before anything in them is read; no list means all."""
+    if departments is not None:
+        parsed = parsed.where(F.lower("department").isin([d.lower() for d in departments]))
+    return parsed if award_types is None else parsed.where(F.col("award_type").isin(award_types))
+
+
+def read_zipped_csv(spark: SparkSession, files: DataFrame, columns: T.StructType = schema.RAW_DUMP, members: DataFrame | None = None) -> DataFrame:
+    """Rows of all CSV members, at any depth, of the listed archives (or of ``archive_members``, if given).
 
     Columns: path, member, row_no (position in the member), file_name and the wanted columns as text, null where a
-    member lacks them.
+    member lacks them. Archives that cannot be read are in ``rejected_archives``.
     """
-    ship_package(spark)
-    listed = files.select("path").repartition("path")
-    members = checkpoint(listed.mapInPandas(_members, "path string, member string, member_size long"))
+    members = archive_members(spark, files) if members is None else members
+    readable = members.where("error IS NULL").drop("error")
     shape = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("member", T.StringType()), T.StructField("row_no", T.LongType()),
         *[T.StructField(name, T.StringType()) for name in columns.names],
     ])
-    spread = members.repartition(min(max(members.count(), 1), MAX_TASKS))
+    spread = readable.repartition(min(max(readable.count(), 1), MAX_TASKS))
     rows = spread.mapInArrow(_row_reader(columns.names), shape)
     return rows.withColumn("file_name", F.element_at(F.split("path", "/"), -1))

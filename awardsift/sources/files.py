@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import logging
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,63 +33,134 @@ def _as_list(paths: str | list[str]) -> list[str]:
 
 
 def read_json_awards(
-    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.LABELED, multi_line: bool = True, strict: bool = False,
+    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.LABELED, multi_line: bool | None = None, strict: bool = False,
 ) -> DataFrame:
-    """Awards from JSON: ``{"data": [...]}``, a bare array, or (``multi_line=False``) one object per line.
+    """Awards from JSON: ``{"data": [...]}``, a bare array, or one object per line.
 
-    All three are read with one schema. An envelope is a row whose ``data`` is set; every other row is
-    an award itself. A multi-line file is one task, so large inputs should come as JSON lines. What is no
-    JSON is left out, or raises when ``strict``.
+    An envelope is a value whose ``data`` is set; every other one is an award itself. Without ``multi_line`` each file is
+    looked at: if its first line is a whole JSON value, every line is one, else the file is one value over several
+    lines. Such a file is one task of at most 2 GB, so large inputs should come as JSON lines. What is no JSON is left out,
+    or raises when ``strict``; a second value in a file that should hold one always raises.
     """
-    extra = [T.StructField("data", T.ArrayType(fields), True), T.StructField("_bad", T.StringType(), True)]
-    envelope = T.StructType([*fields.fields, *extra])
-    raw = spark.read.schema(envelope).json(_as_list(paths), multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    files = _json_files(spark, _as_list(paths)) if multi_line is None else [(p, not multi_line) for p in _as_list(paths)]
+    frames = []
+    if lines := [p for p, by_line in files if by_line]:
+        frames.append(_json_lines(spark, lines, fields, strict))
+    if whole := [p for p, by_line in files if not by_line]:
+        frames.append(_json_values(spark, whole, fields, strict))
+    return _union(spark, frames, fields)
+
+
+def _envelope(fields: T.StructType) -> T.StructType:
+    return T.StructType([*fields.fields, T.StructField("data", T.ArrayType(fields), True)])
+
+
+def _json_lines(spark: SparkSession, paths: list[str], fields: T.StructType, strict: bool) -> DataFrame:
+    shape = T.StructType([*_envelope(fields).fields, T.StructField("_bad", T.StringType(), True)])
+    raw = spark.read.schema(shape).json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     # A value of another type only empties its field; a row that is no JSON has nothing but the bad text.
     nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in ("data", *fields.names)])
-    good = ~(F.col("_bad").isNotNull() & nothing)
-    raw = raw.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("not a JSON award file")).cast("boolean")) if strict else good)
+    return _awards(raw.where(_good(~(F.col("_bad").isNotNull() & nothing), strict)), fields)
+
+
+def _good(good: Column, strict: bool) -> Column:
+    return F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("not a JSON award file")).cast("boolean")) if strict else good
+
+
+def _awards(raw: DataFrame, fields: T.StructType) -> DataFrame:
     itself = F.array(F.struct(*fields.names))
     return raw.select(F.explode(F.coalesce("data", itself)).alias("award")).select("award.*")
 
 
-def read_labeled(spark: SparkSession, path: str, fields: T.StructType = schema.LABELED, multi_line: bool = True) -> DataFrame:
-    """Labeled awards without placeholder ids. A missing path or a file that is no JSON raises."""
-    return drop_placeholders(read_json_awards(spark, path, fields, multi_line, strict=True))
+def _json_values(spark: SparkSession, paths: list[str], fields: T.StructType, strict: bool) -> DataFrame:
+    """Files that are one value each; an array's elements are taken like values of their own."""
+    ship_package(spark)
+    texts = spark.read.text(paths, wholetext=True).withColumn("values", json_values(F.col("value")))
+    one = F.when(F.col("values") > 1, F.raise_error(F.lit("more than one JSON value in a file")).cast("boolean")).otherwise(F.col("values") == 1)
+    good = texts.where(_good(one, strict))
+    parsed = good.select(F.explode(F.from_json("value", T.ArrayType(_envelope(fields)))).alias("v")).select("v.*")
+    return _awards(parsed, fields)
+
+
+@F.arrow_udf(T.IntegerType())
+def json_values(texts: pa.Array) -> pa.Array:
+    """Number of JSON values in a text: 0 if it is no JSON, 2 if there is something after the first one."""
+    counts = []
+    for text in texts:
+        text = (text.as_py() or "").lstrip("\ufeff \t\r\n")
+        try:
+            counts.append(1 if not text[json.JSONDecoder().raw_decode(text)[1]:].strip() else 2)
+        except ValueError:
+            counts.append(0)
+    return pa.array(counts, pa.int32())
+
+
+def _json_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, bool]]:
+    """Files under the paths and whether each of their lines is a value, by the first line; workers read no further."""
+    ship_package(spark)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(path, first_line_is_json(path)) for path in batch["p"]], columns=["p", "by_line"])
+
+    found = _listing(spark, paths, None).select("p").where(~F.element_at(F.split("p", "/"), -1).rlike("^[_.]"))
+    return sorted(map(tuple, found.mapInPandas(look, "p string, by_line boolean").collect()))
+
+
+def first_line_is_json(path: str, most: int = 1 << 26) -> bool:
+    """Whether the first line that is not blank is a whole JSON value. Lines beyond ``most`` bytes are taken for one."""
+    with open_path(path) as stream:
+        line = b""
+        while not line.strip(b"\xef\xbb\xbf \t\r\n"):
+            line = stream.readline(most)
+            if not line:
+                return True  # nothing but blanks: no rows either way
+    if len(line) >= most:
+        return True
+    try:
+        json.loads(line.decode("utf-8-sig", errors="replace"))
+        return True
+    except ValueError:
+        return False
 
 
-def _latin1_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files with a line that is not UTF-8. A split scan over the bytes; only file names come back."""
-    lines = spark.read.text(paths)
-    rows = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("p")).distinct().collect()
-    return [row["p"] for row in rows]
+def read_labeled(spark: SparkSession, path: str, fields: T.StructType = schema.LABELED, multi_line: bool | None = None) -> DataFrame:
+    """Labeled awards without placeholder ids. A missing path or a file that is no JSON raises."""
+    return drop_placeholders(read_json_awards(spark, path, fields, multi_line, strict=True))
 
 
 def read_csv_awards(
-    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.AWARD, multi_line: bool = True,
+    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.AWARD, multi_line: bool = True, encoding: str | None = None,
 ) -> DataFrame:
-    """CSV files with a header, matched by column name; UTF-8, or latin1 for files that are not.
+    """CSV files with a header, matched by column name.
 
-    Files are grouped by header, since Spark takes one header per read. All columns are text: no
-    inference pass, and casts are explicit later. Texts that mean "no value" are null.
+    Without ``encoding``, each value is taken as UTF-8 if its bytes are, else as latin1: the bytes are read once, one
+    character each, and decoded per value. Files are grouped by header, since Spark takes one header per read.
+    Columns that are no text are cast after decoding. Texts that mean "no value" are null.
     """
     files = sorted(row["p"] for row in _listing(spark, _as_list(paths), "*.csv").collect())
-    latin1 = set(_latin1_files(spark, files)) if files else set()
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    groups: dict[tuple[str, ...], list[str]] = {}
     for path, header in _headers(spark, files):
-        groups.setdefault(("ISO-8859-1" if path in latin1 else "UTF-8", header), []).append(path)
+        groups.setdefault(header, []).append(path)
     frames = []
-    for (encoding, header), members in sorted(groups.items()):
+    for header, members in sorted(groups.items()):
         kinds = {f.name: f.dataType for f in fields.fields}
-        shape = T.StructType([T.StructField(name, kinds.get(name, T.StringType()), True) for name in header])
-        read = spark.read.schema(shape).csv(
-            members, header=True, enforceSchema=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding,
+        read = spark.read.schema(T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(len(header))])).csv(
+            members, header=True, enforceSchema=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding or "ISO-8859-1",
             mode="PERMISSIVE", ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False,
         )
-        texts = {f.name: F.when(~F.col(f"`{f.name}`").isin(NULL_TEXTS), F.col(f"`{f.name}`")) for f in shape.fields}
-        frames.append(read.withColumns(texts))
+        texts = [F.col(f"c{i}") if encoding else _decoded(F.col(f"c{i}")) for i in range(len(header))]
+        named = [F.when(~text.isin(NULL_TEXTS), text).cast(kinds.get(name, T.StringType())).alias(name) for name, text in zip(header, texts)]
+        frames.append(read.select(*named))
     return _union(spark, frames, fields)
 
 
+def _decoded(text: Column) -> Column:
+    """A text read one byte per character: as UTF-8 if it is, else as it stands. Plain ASCII, nearly all, is left alone."""
+    raw = F.encode(text, "ISO-8859-1").cast("string")
+    return F.when(text.rlike(r"[^\x00-\x7F]") & F.is_valid_utf8(raw), raw).otherwise(text)
+
+
 def _headers(spark: SparkSession, files: list[str]) -> list[tuple[str, tuple[str, ...]]]:
     """Column names per file. Workers read no further than the header row."""
     if not files:
@@ -117,10 +190,11 @@ def _union(spark: SparkSession, frames: list[DataFrame], fields: T.StructType) -
     return whole
 
 
-def _listing(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
+def _listing(spark: SparkSession, paths: list[str], pattern: str | None, deep: bool = False) -> DataFrame:
     """Paths and modification times of the files under ``paths`` that match; contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", deep)
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
+        (reader.option("pathGlobFilter", pattern) if pattern else reader).load(paths)
         .select(F.col("path").alias("p"), "modificationTime", "length")
     )
 
@@ -138,7 +212,8 @@ def read_awards(
     for path in _as_list(paths):
         lower = path.lower()
         if lower.endswith((".csv", ".json")):
-            (csv_paths if lower.endswith(".csv") else json_paths).append(path)
+            if _exists(spark, path):  # paths that the caller names; listed files are there
+                (csv_paths if lower.endswith(".csv") else json_paths).append(path)
             continue
         try:
             found = [row["p"] for row in _listing(spark, [path], "*.{csv,json,CSV,JSON}").select("p").collect()]
@@ -150,14 +225,16 @@ def read_awards(
         json_paths += sorted(p for p in found if p.lower().endswith(".json"))
     frames = []
     for group, reader in ((csv_paths, read_csv_awards), (json_paths, read_json_awards)):
-        readable = [p for p in group if _exists(spark, p)]
-        if readable:
-            frames.append(reader(spark, readable, fields=fields))
+        if group:
+            frames.append(reader(spark, group, fields=fields))
     whole = _union(spark, frames, fields)
-    if sample_size is None:
-        return whole
-    keys = [k for k in ([key] if isinstance(key, str) else key) if k in whole.columns] or whole.columns
-    return exact_sample(whole, sample_size, keys, seed)
+    return whole if sample_size is None else sampled(whole, sample_size, seed, key)
+
+
+def sampled(awards: DataFrame, size: int, seed: int = 42, key: str | list[str] = ("piid", "description")) -> DataFrame:
+    """Exactly ``size`` awards, all of them if there are fewer."""
+    keys = [k for k in ([key] if isinstance(key, str) else key) if k in awards.columns] or awards.columns
+    return exact_sample(awards, size, keys, seed)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -170,9 +247,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def latest_snapshot(spark: SparkSession, directory: str) -> str | None:
-    """Path of the newest ``*.json`` file in a directory, None when there is none."""
+    """Path of the newest ``*.json`` in a directory, a file or a folder of files (see ``write_snapshot``); None when there is none."""
+    name = F.split("p", "/")
+    inside = F.element_at(name, -2).rlike(r"\.json$")
+    whole = F.when(inside, F.regexp_replace("p", "/[^/]+$", "")).otherwise(F.col("p"))
+    here = F.element_at(F.split(whole, "/"), -2) == directory.rstrip("/").rsplit("/", 1)[-1]
     try:
-        newest = _listing(spark, [directory], "*.json").agg(F.max_by("p", F.struct("modificationTime", "p")).alias("p")).first()
+        found = _listing(spark, [directory], "*.json", deep=True).where(here)
+        newest = found.agg(F.max_by(whole, F.struct("modificationTime", "p")).alias("p")).first()
     except AnalysisException:
         return None
     return newest["p"]

@@ -32,7 +32,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = local_session(cores)
+    spark = local_session(cores, spread=int(cores))
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in HEADLINES:

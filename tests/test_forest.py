@@ -250,3 +250,32 @@ def test_stream_scores_like_a_batch(spark, awards, award_model, tmp_path):
     pd.testing.assert_frame_equal(got.sort_values("piid", ignore_index=True), expected.sort_values("piid", ignore_index=True))
     review = spark.read.parquet(str(tmp_path / "out" / "review"))
     assert review.count() == award_model.score(awards).where("for_review").count()
+
+
+# --- results that depend on the data alone ----------------------------------------------------
+
+def test_forest_does_not_depend_on_partitioning(spark, x):
+    """Copies of rows included: however the rows are dealt and ordered, the trees are the same."""
+    copies = np.vstack([x[:60], x[:60], x[:30]])
+    rows = table(spark, copies).select("features")
+    fits = [forest.IsolationForestModel.fit(df, n_estimators=10, max_samples=32) for df in (
+        rows.coalesce(1), rows.repartition(7), rows.orderBy(F.rand(1)), rows.repartition(3).orderBy(F.rand(2)))]
+    nodes = [sorted(map(tuple, fit.nodes.collect())) for fit in fits]
+    assert nodes[0] == nodes[1] == nodes[2] == nodes[3]
+    assert len({(fit.offset, fit.threshold) for fit in fits}) == 1
+
+
+def test_award_model_does_not_depend_on_partitioning(spark, awards, award_model):
+    labeled = awards.where("cast(substr(piid, 2) as int) < 80")
+    again = AwardModel.fit(labeled.repartition(5), text_size=32, n_estimators=20)
+    assert (again.forest.offset, again.forest.threshold) == (award_model.forest.offset, award_model.forest.threshold)
+
+
+def test_importance_is_that_of_the_long_table(spark, model, x, monkeypatch):
+    monkeypatch.setattr(explain, "CELLS", 64)  # a few rows at a time
+    rows = table(spark, x).limit(80)
+    names = spark.createDataFrame([(i, f"f{i}") for i in range(6)], "feature int, name string")
+    long = explain.shap_importance(explain.shap_values(model, rows, names, "id"), 4).collect()
+    short = explain.importance(model, rows, names, 4).collect()
+    assert [(r["feature"], r["name"]) for r in long] == [(r["feature"], r["name"]) for r in short]
+    assert [r["mean_abs_phi"] for r in long] == pytest.approx([r["mean_abs_phi"] for r in short])

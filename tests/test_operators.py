@@ -306,3 +306,14 @@ def test_top_label(spark):
 def test_dates_are_dates():
     assert joins._add_months(datetime.date(2024, 1, 31), 1) == datetime.date(2024, 2, 29)
     assert joins._add_months(datetime.date(2024, 10, 31), 3) == datetime.date(2025, 1, 31)
+
+
+def test_percentile_is_the_same_whatever_the_bound(spark):
+    """Bit for bit: a bound says how rows are gathered, never what comes out."""
+    import random
+
+    draw = random.Random(4)
+    numbers = [round(draw.random() * 3 - 1, 8) for _ in range(900)] + [0.25] * 99
+    rows = spark.createDataFrame([(v,) for v in numbers], "x double").repartition(5).cache()
+    for share in (0.0, 0.1, 0.333, 0.5, 0.603, 0.9, 0.95, 1.0):
+        assert ranks.percentile(rows, "x", share) == ranks.percentile(rows, "x", share, small=20)

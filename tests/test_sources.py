@@ -151,8 +151,8 @@ def test_sinks(spark, dumps, tmp_path):
     assert review.columns == ["piid", "description", "anomaly_score", "for_review"]
     assert sorted((r["piid"], r["description"]) for r in review.collect()) == [("a", 'd,\n"q"'), ("c", "f")]
     snapshot = sinks.write_snapshot(spark.createDataFrame([("z", 1)], "piid string, savings long"), out, "contracts")
-    assert ids(sources.read_labeled(spark, snapshot, multi_line=False)) == ["z"]
-    assert len(snapshot.rsplit("_", 1)[1]) == 14
+    assert ids(sources.read_labeled(spark, snapshot)) == ids(sources.read_labeled(spark, snapshot, multi_line=False)) == ["z"]
+    assert len(snapshot.removesuffix(".json").rsplit("_", 1)[1]) == 14 and sources.latest_snapshot(spark, out).endswith(snapshot.rsplit("/", 1)[1])
     sinks.write_pairs(spark.createDataFrame([(2, 0, 0.99)], "i int, j int, r double"), f"{out}/pairs")
     sinks.write_records(scored, f"{out}/records")
     assert spark.read.json(f"{out}/pairs").count() == 1 and spark.read.json(f"{out}/records").count() == 3
@@ -191,3 +191,66 @@ def test_run_from_files(spark, tmp_path):
     review = spark.read.csv(f"{out}/anomaly_predictions", header=True)
     assert review.count() == got.where("for_review").count()
     assert set(os.listdir(f"{out}/model")) == {"forest", "params", "scaler", "categories", "labeled_ids"}
+
+
+def test_json_layout_is_found_per_file(spark, tmp_path):
+    """Lines, envelopes and arrays, on one line or several, without being told; no row is lost."""
+    rows = [{"piid": f"p{i}", "value": i} for i in range(5)]
+    (tmp_path / "lines.json").write_text("\n" + "\n".join(map(json.dumps, rows)) + "\n")
+    (tmp_path / "one_line.json").write_text(json.dumps({"data": rows}))
+    (tmp_path / "pretty.json").write_text(json.dumps({"data": rows}, indent=2))
+    (tmp_path / "array.json").write_text("﻿" + json.dumps(rows, indent=1), encoding="utf-8")
+    (tmp_path / "mixed.json").write_text("\n".join([json.dumps({"data": rows[:3]}), json.dumps(rows[3]), json.dumps(rows[4])]))
+    for name in ("lines", "one_line", "pretty", "array", "mixed"):
+        assert ids(sources.read_labeled(spark, str(tmp_path / f"{name}.json"))) == [f"p{i}" for i in range(5)], name
+    assert sources.read_awards(spark, str(tmp_path)).count() == 25
+
+
+def test_two_values_never_pass_silently(spark, tmp_path):
+    rows = json.dumps({"piid": "a"}, indent=2)
+    (tmp_path / "two.json").write_text(rows + "\n" + rows)
+    for read in (sources.read_labeled, sources.read_json_awards):
+        with pytest.raises(Exception, match="more than one JSON value"):
+            read(spark, str(tmp_path / "two.json")).collect()
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    out = str(tmp_path / "snapshots")
+    rows = spark.createDataFrame([(f"p{i}", f"road {i}", i * 10) for i in range(50)], "piid string, description string, value long")
+    sinks.write_snapshot(rows.limit(3), out, "contracts", "20250101000000")
+    newest = sinks.write_snapshot(rows.repartition(4), out, "contracts", "20250102000000")
+    found = sources.latest_snapshot(spark, out)
+    assert found.endswith(newest.rsplit("/", 1)[1])
+    assert ids(sources.read_labeled(spark, found)) == sorted(f"p{i}" for i in range(50))
+    scored = run(spark, found, found, str(tmp_path / "out"), text_size=8, n_estimators=5)
+    assert scored.count() == 0  # all of them are labeled
+
+
+def test_run_loads_or_trains_and_keeps_a_department(spark, tmp_path):
+    rows = [{"piid": f"p{i}", "description": f"road {i % 5}", "value": i, "vendor": f"V{i % 3}", "agency": f"Dept {'A' if i % 2 else 'B'}"} for i in range(40)]
+    (tmp_path / "labeled.json").write_text(json.dumps({"data": rows[:30]}))
+    (tmp_path / "new.json").write_text(json.dumps(rows[20:]))
+    paths, out = (str(tmp_path / "labeled.json"), str(tmp_path / "new.json")), str(tmp_path / "out")
+    settings = {"text_size": 8, "n_estimators": 5}
+    first = run(spark, *paths, f"{out}1", load_from=str(tmp_path / "none"), **settings)
+    again = run(spark, str(tmp_path / "gone.json"), paths[1], f"{out}2", load_from=f"{out}1/model")
+    assert [r["anomaly_score"] for r in first.collect()] == [r["anomaly_score"] for r in again.collect()] and first.count() == 10
+    assert not os.path.exists(f"{out}2/model")
+    some = run(spark, *paths, f"{out}3", department="dept a", **settings)
+    assert {r["agency"] for r in some.collect()} == {"Dept A"}
+
+
+def test_dump_selection_and_rejected_archives(spark, dumps, tmp_path):
+    assert set(ids(etl_dumps(spark, dumps, "2024-06-01", departments=["department of ENERGY"], award_types=["grants"]))) == {"g1", "g2"}
+    members = sources.archive_members(spark, sources.select_dumps(sources.parse_dump_names(sources.list_archives(spark, dumps)), ["Small Business Administration"]))
+    assert [r["member"] for r in members.collect()] == ["x.csv"]
+    process_dumps(spark, dumps, str(tmp_path / "out"), "2024-06-01")
+    rejected = spark.read.json(str(tmp_path / "out" / "rejected")).collect()
+    assert len(rejected) == 1 and rejected[0]["path"].endswith("department_of_labor_contracts_bad.zip") and rejected[0]["error"]
+
+
+def test_dump_amounts(spark, dumps, tmp_path):
+    folder = tmp_path / "more"
+    folder.mkdir()
+    _zip(folder / "department_of_energy_contracts_2024.zip", {"a.csv": HEADER + 'a,,t,"$1,234.50",,2030-01-01,V,DOE,x\nb,,t,12d,,2030-01-01,V,DOE,x\nc,,t,,,2030-01-01,V,DOE,x\n'})
+    assert {r["piid"]: r["value"] for r in etl_dumps(spark, str(folder), "2024-01-01").collect()} == {"a": 1234.5, "b": None, "c": None}
