@@ -121,3 +121,46 @@ def pca_cumulative_variance(spark, folder):
 @query()
 def pca_2d(spark, folder):
     return analysis.pca_2d(_vectors(spark, folder)).select("vec_id", "pc1", "pc2")
+
+
+@query("""
+WITH cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL)
+SELECT count(DISTINCT i) AS components, round(sum(c) FILTER (WHERE i = j) / sum(c) FILTER (WHERE i = j), 9) AS total,
+  round(sum(c * c) / pow(sum(c) FILTER (WHERE i = j), 2), 9) AS squares FROM c""")
+def pca_moments(spark, folder):
+    """Sum and sum of squares of all explained shares; the check takes them from trace and norm of the covariances."""
+    shares = analysis.pca_variance(_vectors(spark, folder))
+    x = F.col("variance_ratio")
+    return shares.agg(F.count(F.lit(1)).alias("components"), F.round(F.sum(x), 9).alias("total"), F.round(F.sum(x * x), 9).alias("squares"))
+
+
+_SQUARINGS = 20
+
+
+def _sql_axis(name: str, source: str) -> str:
+    """The leading axis of a covariance table by squaring it again and again: <name>_axis(i, v), <name>_top(value)."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM {source} WHERE i = j) AS c FROM {source})"]
+    for k in range(_SQUARINGS):
+        steps.append(f"{name}_{k}s AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY ALL)")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM {name}_{k}s WHERE i = j) AS c FROM {name}_{k}s)")
+    last = f"{name}_{_SQUARINGS}"
+    steps.append(f"{name}_top AS (SELECT sum(s.c * m.c) AS value FROM {source} s JOIN {last} m ON m.i = s.j AND m.j = s.i)")
+    steps.append(f"""{name}_axis AS MATERIALIZED (SELECT i, c / sqrt((SELECT max(c) FROM {last} WHERE i = j)) AS v FROM {last}
+  WHERE j = (SELECT arg_max(i, c) FROM {last} WHERE i = j))""")
+    return ", ".join(steps)
+
+
+@query(f"""
+WITH cells AS MATERIALIZED (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x, i FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM embeddings) - 1) AS c FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL),
+{_sql_axis("one", "cov")},
+rest AS MATERIALIZED (SELECT cov.i, cov.j, c - (SELECT value FROM one_top) * a.v * b.v AS c FROM cov JOIN one_axis a ON a.i = cov.i JOIN one_axis b ON b.i = cov.j),
+{_sql_axis("two", "rest")}
+SELECT vec_id, round(abs(sum(x * a.v)), 6) AS pc1, round(abs(sum(x * b.v)), 6) AS pc2
+FROM cells JOIN one_axis a USING (i) JOIN two_axis b USING (i) GROUP BY vec_id""")
+def pca_2d_absolute(spark, folder):
+    """Distance of each vector from the centre along the first two axes, whose directions have no sign."""
+    placed = analysis.pca_2d(_vectors(spark, folder))
+    return placed.select("vec_id", *[F.round(F.abs(c), 6).alias(c) for c in ("pc1", "pc2")])
