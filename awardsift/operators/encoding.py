@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN
 from ..session import broadcast_if_small, checkpoint, measure
 from .ranks import positions
+from .vectors import as_vector, joined, single
 
 
 def scaler_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,13 +42,6 @@ class CategorySlots:
     def slots(self) -> int:
         return self.size[0]
 
-    @cached_property
-    def encoder(self) -> OneHotEncoderModel:
-        """Slot column -> vector; the slot after the last one stands for "none of them" and gives zeros."""
-        index = f"_{self.column}_slot"
-        known = self.table.sparkSession.createDataFrame([(float(self.slots - 1),)], f"`{index}` double")
-        return OneHotEncoder(inputCol=index, outputCol=f"{self.column}_vector", handleInvalid="keep", dropLast=True).fit(known)
-
     @classmethod
     def learn(cls, column: str, categories: DataFrame, rows: int) -> CategorySlots:
         """Number the distinct categories, at most ``rows``; a long list is numbered by a distributed sort."""
@@ -77,13 +69,16 @@ def encoder_categories(df: DataFrame, columns: list[str]) -> list[CategorySlots]
     return parts
 
 
-def one_hot(df: DataFrame, encoder: list[CategorySlots], unseen_as_unknown: bool = False) -> DataFrame:
-    """Add '<column>_vector' per encoded column; values the encoder has not seen give zeros, or count as 'Unknown'."""
+def one_hot(df: DataFrame, encoder: list[CategorySlots], unseen_as_unknown: bool = False, wrap: bool = True) -> DataFrame:
+    """Add '<column>_vector' per encoded column; values the encoder has not seen give zeros, or count as 'Unknown'.
+
+    ``wrap`` makes it a vector column; else it is the bare struct (see ``vectors``).
+    """
     for part in encoder:
         slot = f"_{part.column}_slot"
         df = part.add_slot(df, F.coalesce(F.col(part.column), F.lit(UNKNOWN)), slot, part.unknown if unseen_as_unknown else None)
-        df = df.withColumn(slot, F.coalesce(slot, F.lit(part.slots)).cast("double"))
-        df = part.encoder.transform(df).drop(slot)
+        own = single(F.col(slot), part.slots)
+        df = df.withColumn(f"{part.column}_vector", as_vector(own) if wrap else own).drop(slot)
     return df
 
 
@@ -99,6 +94,7 @@ def scale_columns(train: DataFrame, test: DataFrame | None, columns: list[str])
     return train.withColumns(values), None if test is None else test.withColumns(values)
 
 
-def combine(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
+def combine(df: DataFrame, columns: list[str], out: str = "features", wrap: bool = True) -> DataFrame:
     """One vector from number and vector columns of the same row, in the given order."""
-    return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
+    whole = joined(df, columns)
+    return df.withColumn(out, as_vector(whole) if wrap else whole)

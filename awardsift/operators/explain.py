@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .forest import ForestArrays, IsolationForestModel, _dense
+from .vectors import parts
 
 ROWS_AT_A_TIME = 512
 CELLS = 1 << 20  # rows x used features made dense at a time
@@ -137,7 +138,7 @@ def shap_values(model: IsolationForestModel, df: DataFrame, names: DataFrame, ke
             lists = [pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (phi, x)]
             yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["key", "phi", "x"])
 
-    rows = df.select(F.col(key).alias("key"), F.unwrap_udt(features).alias("v"))
+    rows = df.select(F.col(key).alias("key"), parts(df, features).alias("v"))
     explained = rows.mapInArrow(explain, f"key {dict(df.dtypes)[key]}, phi array<double>, x array<double>")
     long = explained.select(F.col("key").alias(key), F.posexplode(F.arrays_zip("phi", "x")).alias("_at", "_v"))
     return long.join(_named(model, names), "_at").select(key, "feature", "name", F.col("_v.phi").alias("phi"), F.col("_v.x").alias("x"))
@@ -155,7 +156,7 @@ def importance(model: IsolationForestModel, df: DataFrame, names: DataFrame, top
         if rows:
             yield pa.RecordBatch.from_pydict({"_at": pa.array(range(len(total)), pa.int32()), "s": pa.array(total), "n": pa.array([rows] * len(total), pa.int64())})
 
-    sums = df.select(F.unwrap_udt(features).alias("v")).mapInArrow(add, "_at int, s double, n long")
+    sums = df.select(parts(df, features).alias("v")).mapInArrow(add, "_at int, s double, n long")
     means = sums.groupBy("_at").agg((F.sum("s") / F.sum("n")).alias("mean_abs_phi"))
     return means.join(_named(model, names), "_at").select("feature", "name", "mean_abs_phi").orderBy(F.desc("mean_abs_phi"), "feature").limit(top)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..session import broadcast_if_small, checkpoint, ship_package, store
 from .ranks import percentile, positions
+from .vectors import parts
 
 # Fixed value: the Euler-Mascheroni constant, from the average depth of an unsuccessful tree search.
 EULER = 0.5772156649015329
@@ -53,8 +54,8 @@ def numbered_rows(df: DataFrame, features: str, key: list[str] | None) -> tuple[
     An id is the ``key``, which has to tell rows apart, or the md5 of the feature vector. Copies of a vector are
     numbered, and since they are equal it does not matter which copy gets which number.
     """
-    own = F.concat_ws("|", *[F.col(k).cast("string") for k in key]) if key else F.md5(F.unwrap_udt(features).cast("string"))
-    rows = store(df.select(own.alias("row_id"), F.col(features).alias("features")))
+    own = F.concat_ws("|", *[F.col(k).cast("string") for k in key]) if key else F.md5(parts(df, features).cast("string"))
+    rows = store(df.select(own.alias("row_id"), parts(df, features).alias("features")))
     if key:
         return rows, rows.count()
     n, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct("row_id")).first()
@@ -81,7 +82,7 @@ def tree_draws(rows: DataFrame, n: int, trees: int, samples: int, seed: int) ->
         .select("row_id", "features", "_d.tree_id", "_d.draw")
         .withColumn("_rank", F.row_number().over(W.partitionBy("tree_id").orderBy("draw", "row_id")))
         .where(F.col("_rank") <= samples)
-        .select("tree_id", "draw", "row_id", F.unwrap_udt("features").alias("features"))
+        .select("tree_id", "draw", "row_id", parts(rows, "features").alias("features"))
     )
 
 
@@ -223,20 +224,20 @@ class ForestArrays:
         return self.path.ravel()[at].mean(axis=1)
 
 
-def mean_path_length(spark: SparkSession, forest: ForestArrays, features: Column) -> Column:
-    """Mean path length per vector. Only the vector goes to Python, other columns stay in the JVM."""
+def mean_path_length(spark: SparkSession, forest: ForestArrays, features: Column, wrapped: bool = True) -> Column:
+    """Mean path length per vector, or per bare struct. Only the vector goes to Python, other columns stay in the JVM."""
     ship_package(spark)
     shared = spark.sparkContext.broadcast(forest)
 
     @F.arrow_udf("double")
     def walk(vectors: pa.Array) -> pa.Array:
         model = shared.value
-        parts = []
+        found = []
         for at in range(0, len(vectors), BLOCK):
-            parts.append(model.mean_path(_dense(vectors.slice(at, BLOCK), model.columns)))
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            found.append(model.mean_path(_dense(vectors.slice(at, BLOCK), model.columns)))
+        return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return walk(F.unwrap_udt(features))
+    return walk(F.unwrap_udt(features) if wrapped else features)
 
 
 def score_from_path(path: Column, samples: int, offset: float = 0.0) -> Column:
@@ -279,14 +280,14 @@ class IsolationForestModel:
         samples = min(max_samples, n)
         nodes = checkpoint(build_trees(tree_draws(rows, n, n_estimators, samples, seed), seed))
         arrays = ForestArrays.collect(nodes)
-        path = mean_path_length(df.sparkSession, arrays, F.col("features"))
+        path = mean_path_length(df.sparkSession, arrays, F.col("features"), wrapped=False)
         raw = checkpoint(rows.select(score_from_path(path, samples).alias("raw")))
         offset = percentile(raw, "raw", contamination)
         threshold = percentile(raw.select((F.col("raw") - F.lit(offset)).alias("score")), "score", REVIEW_SHARE)
         return cls(nodes, samples, offset, threshold, arrays)
 
     def score(self, df: DataFrame, features: str = "features", out: str = "anomaly_score") -> DataFrame:
-        path = mean_path_length(df.sparkSession, self.arrays, F.col(features))
+        path = mean_path_length(df.sparkSession, self.arrays, parts(df, features), wrapped=False)
         return df.withColumn(out, score_from_path(path, self.samples, self.offset))
 
     def flags(self, scored: DataFrame, threshold: float | None = None, score: str = "anomaly_score") -> DataFrame:

@@ -76,8 +76,8 @@ class FusionModel:
             df = df.withColumn(part.column, F.when(F.col(slot).isNotNull(), F.col(part.column)).otherwise(UNKNOWN)).drop(slot)
         return df
 
-    def transform(self, df: DataFrame, text: str | None = "text_vector", out: str = "features") -> DataFrame:
-        """Add the fused vector; all other columns stay as they are."""
+    def transform(self, df: DataFrame, text: str | None = "text_vector", out: str = "features", wrap: bool = True) -> DataFrame:
+        """Add the fused vector, or its bare struct without ``wrap``; all other columns stay as they are."""
         parts = [text] if text and text in df.columns else []
         for name, mean, std in self.numeric:
             if name in df.columns:
@@ -86,13 +86,13 @@ class FusionModel:
         present = [c for c in self.categories if c.column in df.columns and c.slots]
         original = {c.column: f"_raw_{c.column}" for c in present}
         df = df.withColumnsRenamed(original).withColumns({c: category_name(c, raw) for c, raw in original.items()})
-        df = one_hot(df, present, unseen_as_unknown=True)
+        df = one_hot(df, present, unseen_as_unknown=True, wrap=False)
         parts += [f"{c.column}_vector" for c in present]
         if not parts:
             raise ValueError("the model has no features: fit it on a table with feature columns")
         df = df.drop(*original).withColumnsRenamed({raw: c for c, raw in original.items()})
         extra = [p for p in parts if p != text]
-        return combine(df, parts, out).drop(*extra)
+        return combine(df, parts, out, wrap).drop(*extra)
 
     def fit_transform(self, df: DataFrame, text: str | None = "text_vector") -> DataFrame:
         fitted = FusionModel.fit(df, self.share)

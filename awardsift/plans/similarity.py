@@ -51,7 +51,7 @@ class AwardModel:
         wanted = [c for c in ("piid", "clean_description", *NUMERIC_COLUMNS, *CATEGORICAL_COLUMNS) if c in prepared.columns]
         stored = store(prepared.select(*wanted))
         fusion = FusionModel.fit(stored, share)
-        features = fusion.transform(embed(stored))
+        features = fusion.transform(embed(stored), wrap=False)
         forest = IsolationForestModel.fit(
             features, n_estimators=n_estimators, max_samples=max_samples, contamination=contamination, seed=seed
         )
@@ -66,7 +66,7 @@ class AwardModel:
         """Unlabeled awards with score and flags, in no order: a map over the rows apart from joins with
         small tables, so it also takes a streaming DataFrame."""
         prepared = prepare_unlabeled(df, self.labeled_ids, self.ids_size)
-        scored = self.forest.score(self.features(prepared))
+        scored = self.forest.score(self.fusion.transform(self.embed(prepared), wrap=False))
         return self.forest.flags(scored.drop("features", "text_vector"), threshold)
 
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:

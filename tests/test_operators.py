@@ -317,3 +317,31 @@ def test_percentile_is_the_same_whatever_the_bound(spark):
     rows = spark.createDataFrame([(v,) for v in numbers], "x double").repartition(5).cache()
     for share in (0.0, 0.1, 0.333, 0.5, 0.603, 0.9, 0.95, 1.0):
         assert ranks.percentile(rows, "x", share) == ranks.percentile(rows, "x", share, small=20)
+
+
+def test_schema_does_not_grow_with_slots(spark):
+    """One-hot and fused vectors describe no slots: 10 or 50,000 categories, the schema is the same."""
+    from awardsift.operators import encoding
+
+    sizes = []
+    for n in (10, 50_000):
+        rows = spark.range(n).select(F.concat(F.lit("v"), "id").alias("vendor"), F.col("id").cast("double").alias("x"))
+        encoder = encoding.encoder_categories(rows, ["vendor"])
+        made = encoding.combine(encoding.one_hot(rows.limit(5), encoder), ["x", "vendor_vector"])
+        sizes.append(len(made.schema.json()))
+        vector = made.first()["features"]
+        assert vector.size == n + 1
+    assert sizes[0] == sizes[1]
+
+
+def test_joined_vectors(spark):
+    """Dense, sparse and number parts, zeros left out; a slot beyond the end is empty."""
+    from pyspark.ml.linalg import Vectors
+
+    from awardsift.operators import encoding, vectors
+
+    rows = spark.createDataFrame([(1, Vectors.dense([1.0, 0.0, 3.0]), Vectors.sparse(4, [2], [5.0]), 0.5), (2, Vectors.dense([0.0, 0.0, 0.0]), Vectors.sparse(4, [], []), 0.0)], ["id", "a", "b", "x"])
+    got = {r["id"]: r["features"] for r in encoding.combine(rows, ["a", "x", "b"]).collect()}
+    assert got[1] == Vectors.sparse(8, [0, 2, 3, 6], [1.0, 3.0, 0.5, 5.0]) and got[2] == Vectors.sparse(8, [], [])
+    one = spark.createDataFrame([(0,), (2,), (3,), (None,)], "s int").select("s", vectors.as_vector(vectors.single(F.col("s"), 3)).alias("v"))
+    assert {r["s"]: r["v"].toArray().tolist() for r in one.collect()} == {0: [1, 0, 0], 2: [0, 0, 1], 3: [0, 0, 0], None: [0, 0, 0]}
