@@ -7,16 +7,16 @@ classes link when 100 x intersection >= 85 x union. The join goes over index lis
   go last by powers of two of their frequency, all others by hash. Any order gives the same links; this one keeps
   common passages out of the prefixes. A set's first n - ceil(0.85 n) + 1 shingles are indexed, so linked sets meet
   in the list of their first common shingle.
-* **Block skipping by position.** Each list is sorted by set size and cut into blocks of sizes that can link; an entry
-  meets the first entry of its block. A pair is skipped when one shared shingle plus the smaller rest behind its
-  positions cannot reach the overlap needed.
-* **Answers from similar sets.** The pairs of block heads and entries are verified first. A set X linked to a head P
-  becomes a member of P, with |X - P| known. Later only heads stand in the lists. For two heads P and Q that meet, their
+* **Block skipping by position.** Lists are cut into blocks of sizes that can link. Pairs whose sizes are too far apart are
+  skipped, and so are pairs where one shared shingle plus the smaller rest behind its positions cannot reach the overlap needed.
+* **Answers from similar sets.** Each block has a head, the set that stands in the most lists, and each set is first tried
+  against the head it meets most often. A set X linked to a head P becomes a member of P, with |X - P| known; a second
+  round does the same with the heads. From then on only heads stand in the lists. For two heads P and Q that meet, their
   overlap is computed once: if they link, their members need no comparison, since all are in one component; if not,
   a member pair is compared only where overlap(P, Q) + |X - P| + |Z - Q| could reach the threshold.
 
-No list or group of near copies is ever expanded into all pairs: a group of copies of one text costs a pair a
-member. Lists are sorted by Spark and streamed, links never leave the executors.
+A group of copies of one text costs a pair a member and round, not all pairs. Lists are sorted by Spark and streamed, links
+never leave the executors.
 
 Defined results: null and empty texts and texts without words have the empty set and link with nothing; repeated rows
 with one doc_id are one document; a null doc_id is never the smallest id, so a class of such rows only has a null
@@ -25,6 +25,8 @@ component; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,8 @@ PERCENT = 85
 #: Shingles in more documents than this go last in the order, if ORDERED of them at most do; else only more frequent ones.
 FREQUENT = 16
 ORDERED = 1_000_000
+#: Rounds in which sets are gathered under heads.
+ROUNDS = 2
 _LINK = "{o} * (100L + {p}) >= {p} * ({n} + {m})".replace("{p}", f"{PERCENT}L")
 
 
@@ -147,11 +151,11 @@ def _batch(tokens, rows, sizes, places):
 
 
 def _lists(batches):
-    """Entries of lists with two sets at least, each with the head of its block; input sorted by token, n, sign.
+    """Entries of lists with two sets at least, copies left out; input sorted by token, n, sign.
 
-    A list may go on over any number of batches; only its block head and last entry are remembered.
+    A list may go on over any number of batches; only its last entry is remembered.
     """
-    alone, given = None, None  # an entry that is its list's first and only one so far; or (token, sign, head, head_n) of the last given out
+    alone, given = None, None  # an entry that is its list's only one so far; or (token, sign) of the last one given out
     for batch in batches:
         token, sign, n, rest = (batch.column(k).to_numpy() for k in range(4))
         if alone is not None:
@@ -159,36 +163,20 @@ def _lists(batches):
         if not len(token):
             continue
         fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sign[1:] != sign[:-1])))
-        if given is not None and given[:2] == (token[0], sign[0]):
+        if given is not None:
             fresh &= (token != given[0]) | (sign != given[1])
         token, sign, n, rest = token[fresh], sign[fresh], n[fresh], rest[fresh]
         if not len(token):
             continue
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        ends = np.append(first[1:], len(token))
-        goes_on = given is not None and given[0] == token[0]
-        use = ends - first > 1
-        use[0] |= goes_on
-        head = np.repeat(first, ends - first)
-        head_sign, head_n = sign[head], n[head]
-        several = use & (100 * n[first] < PERCENT * n[ends - 1])
-        several[0] |= goes_on
-        for k in np.flatnonzero(several):
-            at, end = int(first[k]), int(ends[k])
-            lead = given[2:] if k == 0 and goes_on else (sign[at], n[at])
-            while at < end:  # sizes ascend; a block ends where its head is too small
-                stop = at + int(np.searchsorted(n[at:end], 100 * lead[1] // PERCENT, "right"))
-                head_sign[at:stop], head_n[at:stop] = lead
-                if stop < end:
-                    lead = sign[stop], n[stop]
-                at = stop
-        last = len(token) - 1
-        alone = None if use[-1] else (token[last], sign[last], n[last], rest[last])
-        given = (token[last], sign[last], head_sign[last], head_n[last]) if use[-1] else None
-        out = np.repeat(use, ends - first)
+        count = np.diff(np.append(first, len(token)))
+        use = count > 1
+        use[0] |= given is not None and given[0] == token[0]
+        alone = None if use[-1] else (token[-1], sign[-1], n[-1], rest[-1])
+        given = (token[-1], sign[-1]) if use[-1] else None
+        out = np.repeat(use, count)
         if out.any():
-            yield pa.RecordBatch.from_pydict({"token": token[out], "sign": sign[out], "n": n[out], "rest": rest[out],
-                                              "head": head_sign[out], "head_n": head_n[out]})
+            yield pa.RecordBatch.from_pydict({"token": token[out], "sign": sign[out], "n": n[out], "rest": rest[out]})
 
 
 # ---- verification
@@ -213,11 +201,35 @@ def _overlaps(batches):
             "nb": pa.array(map(len, right), pa.int64()), "common": pa.array(both, pa.int64())})
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both set sizes and the exact overlap."""
+def _verify(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both set sizes and the exact overlap; only texts that stand in a pair are moved.
+
+    ``names`` gives a document (sign, doc_id) for each set.
+    """
+    pairs = store(pairs)
+    needed = store(pairs.select(F.col("a").alias("sign")).union(pairs.select("b")).distinct().join(names, "sign"))
+    texts = store(docs.join(broadcast_if_small(needed), "doc_id").select("sign", "text").mapInArrow(_own_text, "sign long, text string"))
     left = pairs.join(texts.select(F.col("sign").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("sign").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return store(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long"))
+    return store(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long").distinct())
+
+
+def _heads(standing: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """One pair (a, b) for each set b that meets a better connected set a of its size: from (token, sign, rest, n).
+
+    The head of a list's block is the set that stands in the most lists; a set is tried against the head it meets most often
+    among those it could link to and has not been tried against.
+    """
+    block = F.floor(F.log("n") / F.lit(-math.log(PERCENT / 100)))
+    rank = standing.groupBy("sign").agg(F.count(F.lit(1)).alias("rank"))
+    ranked = standing.join(rank, "sign").withColumn("block", block)
+    head = ranked.groupBy("token", "block").agg(F.max(F.struct("rank", "sign", "n", "rest")).alias("top"))
+    fits = F.expr(_LINK.format(o="(1 + least(rest, top.rest))", n="n", m="top.n"))
+    met = ranked.join(head, ["token", "block"]).where("top.sign <> sign").groupBy("sign", F.col("top.sign").alias("head")).agg(
+        F.count(F.lit(1)).alias("times"), F.bool_or(fits).alias("fits")).where("fits")
+    if tried is not None:
+        met = met.join(tried.select(F.col("a").alias("head"), F.col("b").alias("sign")), ["head", "sign"], "left_anti")
+    return met.groupBy(F.col("sign").alias("b")).agg(F.max(F.struct("times", "head")).alias("m")).select(F.col("m.head").alias("a"), "b")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -230,48 +242,58 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.select("text").mapInArrow(_postings(order), "token long, sign long, n long, rest long")
     lists = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "sign")
-    entries = store(lists.mapInArrow(_lists, "token long, sign long, n long, rest long, head long, head_n long"))
+    entries = store(lists.mapInArrow(_lists, "token long, sign long, n long, rest long"))
 
     # one document of each set that stands in a list with another
-    names = members.where("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("doc_id"))
-    names = names.join(entries.select("sign").distinct(), "sign", "left_semi")
-    texts = docs.join(broadcast_if_small(store(names)), "doc_id").select("sign", "text")
-    texts = store(texts.mapInArrow(_own_text, "sign long, text string").dropDuplicates(["sign"]))
-
-    # block heads against their entries
-    own = entries.groupBy("token", F.col("sign").alias("head")).agg(F.max("rest").alias("head_rest"))
-    near = entries.where("sign <> head").join(own, ["token", "head"])
-    fits = _LINK.format(o="(1 + least(rest, head_rest))", n="n", m="head_n")
-    tried = near.where(fits).select(F.col("head").alias("a"), F.col("sign").alias("b")).distinct()
+    sizes = members.where("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    sizes = store(sizes.join(entries.select("sign").distinct(), "sign", "left_semi"))
+    names = sizes.select("sign", "doc_id")
     linked = _LINK.format(o="common", n="na", m="nb")
-    first = _verify(tried, texts)
-    links = first.where(linked)
-
-    # a linked set becomes a member of the head it has most in common with
-    best = links.groupBy(F.col("b").alias("sign")).agg(F.max(F.struct("common", "a")).alias("m"), F.max("nb").alias("n"))
-    center = store(best.select("sign", F.col("m.a").alias("head"), (F.col("n") - F.col("m.common")).alias("extra"), "n"))
-    stood = entries.select("token", "sign", "n", "rest").join(center.select("sign", "head"), "sign", "left")
-    stood = stood.groupBy("token", F.coalesce("head", "sign").alias("head")).agg(
+
+    # rounds of heads: first over sets, then over the heads themselves
+    links, center, tried, standing = None, None, None, entries.select("token", "sign", "rest")
+    for _ in range(ROUNDS):
+        compared = _verify(_heads(standing.join(sizes.select("sign", "n"), "sign"), tried), docs, names)
+        tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
+        found = compared.where(linked)
+        links = found if links is None else links.union(found)
+        joined = found.select(F.col("b").alias("sign"), F.col("a").alias("to"), (F.col("nb") - F.col("common")).alias("step"), F.col("nb").alias("n"))
+        if center is None:
+            center = joined.select("sign", F.col("to").alias("head"), F.col("step").alias("extra"), "n")
+        else:
+            moved = center.join(joined.select(F.col("sign").alias("head"), "to", "step"), "head", "left").select(
+                "sign", F.coalesce("to", "head").alias("head"), (F.col("extra") + F.coalesce("step", F.lit(0))).alias("extra"), "n")
+            fresh = joined.join(center.select("sign"), "sign", "left_anti").select("sign", F.col("to").alias("head"), F.col("step").alias("extra"), "n")
+            center = moved.union(fresh)
+        center = store(center)
+        standing = entries.join(center.select("sign", "head"), "sign", "left").groupBy(
+            "token", F.coalesce("head", "sign").alias("sign")).agg(F.max("rest").alias("rest"))
+
+    # heads that meet in a list, with what holds for all their members
+    stood = entries.join(center.select("sign", "head"), "sign", "left").groupBy("token", F.coalesce("head", "sign").alias("head")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     x, y = stood.alias("x"), stood.alias("y")
     meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.head") < F.col("y.head"))
                   & F.expr(f"100L * x.most >= {PERCENT}L * y.least AND 100L * y.most >= {PERCENT}L * x.least")
                   & F.expr(_LINK.format(o="(1 + least(x.rest, y.rest))", n="x.least", m="y.least")))
     heads = meet.select(F.col("x.head").alias("a"), F.col("y.head").alias("b")).distinct()
-    second = _verify(heads, texts)
+    second = _verify(heads, docs, names)
     more = second.where(linked)
 
-    # members of heads that do not link, where the overlap of the heads leaves room
-    inside = center.select("head", "sign", "extra", "n")
-    whole = inside.union(second.where(f"NOT ({linked})").select(F.explode(F.array(
-        F.struct(F.col("a").alias("h"), F.col("na").alias("n")), F.struct(F.col("b").alias("h"), F.col("nb").alias("n")))).alias("s")).distinct()
-        .select("s.h", "s.h", F.lit(0).cast("long"), "s.n"))
-    p = whole.select(F.col("head").alias("a"), F.col("sign").alias("sa"), F.col("extra").alias("ea"), F.col("n").alias("ma"))
-    q = whole.select(F.col("head").alias("b"), F.col("sign").alias("sb"), F.col("extra").alias("eb"), F.col("n").alias("mb"))
+    # members of heads that do not link, where they meet themselves and the overlap of the heads leaves room
+    own = entries.join(center.select("sign", "head", "extra"), "sign", "left").select(
+        "token", "sign", "n", "rest", F.coalesce("head", "sign").alias("head"), F.coalesce("extra", F.lit(0)).alias("extra"))
+    x, y = own.alias("x"), own.alias("y")
+    close = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.head") != F.col("y.head"))
+                   & F.expr("x.n < y.n OR x.n = y.n AND x.sign < y.sign") & F.expr("x.sign <> x.head OR y.sign <> y.head")
+                   & F.expr(f"100L * x.n >= {PERCENT}L * y.n") & F.expr(_LINK.format(o="(1 + least(x.rest, y.rest))", n="x.n", m="y.n")))
+    members_met = close.select(
+        F.least("x.head", "y.head").alias("a"), F.greatest("x.head", "y.head").alias("b"), F.col("x.sign").alias("sx"), F.col("y.sign").alias("sy"),
+        F.col("x.n").alias("nx"), F.col("y.n").alias("ny"), (F.col("x.extra") + F.col("y.extra")).alias("extra")).distinct()
     apart = second.where(f"NOT ({linked})").select("a", "b", "common")
-    room = _LINK.format(o="least(common + ea + eb, ma, mb)", n="ma", m="mb")
-    rest = apart.join(p, "a").join(q, "b").where(f"(sa <> a OR sb <> b) AND sa <> sb AND {room}")
-    third = _verify(rest.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct(), texts)
+    room = _LINK.format(o="least(common + extra, nx)", n="nx", m="ny")
+    rest = members_met.join(apart, ["a", "b"]).where(room)
+    third = _verify(rest.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct(), docs, names)
 
     roots = components(links.union(more).union(third.where(linked)).select("a", "b"))
     named = members.join(roots.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
