@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Documents fall into cells of source class, language class and topic class. The cells' token weights are raked to the
-three target marginals in turn; a cell's calibrated probability is its raked weight per token, scaled so that the
-largest is 1, and each document is kept with that probability by a hash of its id. The kept tokens then have the
-target marginals, up to sampling.
+three target marginals in turn, and no cell may ever get more weight than its tokens allow when a share ``KEEP`` of all
+tokens is to be kept. A cell's calibrated probability is its raked weight over its share of the tokens, and each document is
+kept with that probability by a hash of its id. The kept tokens then have the target marginals, up to sampling; where a
+class has fewer tokens than its target asks for, it gives all it has and others fill up.
 
 The classes are those named in the targets plus ``other``, so the number of cells is bounded by the parameters
 whatever the data hold; only cells meet in one task or are broadcast. Classes without tokens give up their target in
@@ -23,12 +24,14 @@ from .data import SQL_SPACED, only, query, table
 
 OTHER = "other"
 SWEEPS = 12
+#: Share of all tokens to keep.
+KEEP = 0.7
 SEED = "mix-1"
 #: Target shares of tokens by marginal.
 TARGETS = {
     "source": {"src0": 0.28, OTHER: 0.72},
-    "lang": {"en": 0.52, "de": 0.18, "fr": 0.17, "es": 0.12, OTHER: 0.01},
-    "topic": {"prose": 0.9, "lists": 0.05, "figures": 0.02, "marked": 0.03},
+    "lang": {"en": 0.54, "de": 0.17, "fr": 0.16, "es": 0.12, OTHER: 0.01},
+    "topic": {"prose": 0.96, "lists": 0.0001, "figures": 0.0009, "marked": 0.039},
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Topic by the form of a text: symbols per word, digits per word, words per line.
@@ -61,7 +64,8 @@ def classes(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
     """Cells (class columns, ``tokens``) with ``probability``; cells without tokens are left out."""
     one = cells.where("tokens > 0").coalesce(1)  # as many rows as class combinations at most: every window stays in this task
-    raked = one.withColumn("w", F.col("tokens").cast("double") / F.sum("tokens").over(W.partitionBy()))
+    share = F.col("tokens").cast("double") / F.sum("tokens").over(W.partitionBy())
+    raked = one.withColumn("w", share).withColumn("most", F.col("w") / F.lit(KEEP))
     marginals = {f"_{name}": shares for name, shares in targets.items()}
     for name, shares in marginals.items():
         share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
@@ -72,16 +76,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = S
         raked = raked.withColumn(f"t{name}", F.col(f"t{name}") / F.sum("_one").over(W.partitionBy())).drop("_one")
     for _ in range(sweeps):
         for name in marginals:
-            raked = raked.withColumn("w", F.col("w") * F.col(f"t{name}") / F.sum("w").over(W.partitionBy(name)))
-    raked = raked.withColumn("r", F.col("w") / F.col("tokens"))
-    return raked.select(*marginals, (F.col("r") / F.max("r").over(W.partitionBy())).alias("probability"))
+            raked = raked.withColumn("w", F.least(F.col("w") * F.col(f"t{name}") / F.sum("w").over(W.partitionBy(name)), F.col("most")))
+    return raked.select(*marginals, (F.col("w") / F.col("most")).alias("probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
-    """Documents with ``n_tokens``, ``source_class``, ``lang_class``, ``topic``, ``probability`` and ``kept``; the rest as it was.
+    """Documents with ``n_tokens``, ``source_class``, ``lang_class``, ``topic``, ``probability`` and ``kept``; other columns stay.
 
     Two passes over the texts: one sums tokens by cell, one looks up each document's cell.
     """
+    docs = docs.drop("n_tokens", "source_class", "lang_class", "topic", "probability", "kept")
     classed = classes(docs, targets)
     cells = classed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     found = classed.join(F.broadcast(rake(cells, targets, sweeps)), ["_source", "_lang", "_topic"], "left")
@@ -111,7 +115,7 @@ def _sql() -> str:
     steps, last = [], "s0"
     for k in range(SWEEPS * 3):
         name = list(TARGETS)[k % 3]
-        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{name} / sum(w) OVER (PARTITION BY _{name}) AS w) FROM {last})")
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(w * t_{name} / sum(w) OVER (PARTITION BY _{name}), most) AS w) FROM {last})")
         last = f"s{k + 1}"
     present = ", ".join(
         f"({share(n)}) / (SELECT sum(DISTINCT_SHARE.v) FROM (SELECT DISTINCT _{n}, {share(n)} AS v FROM cells) AS DISTINCT_SHARE) AS t_{n}" for n in TARGETS)
@@ -122,9 +126,9 @@ classed AS (SELECT doc_id, n, {case("source")} AS _source, {case("lang")} AS _la
   CASE WHEN {count.format("x", "[#*$%&|<>{}]")} * {_MARKED} > n THEN 'marked' WHEN {count.format("x", "[0-9]")} * {_FIGURES} > n THEN 'figures'
        WHEN n < ({count.format("x", chr(92) + "n")} + 1) * {_LISTS} THEN 'lists' ELSE 'prose' END AS _topic FROM counted),
 cells AS MATERIALIZED (SELECT _source, _lang, _topic, sum(n)::DOUBLE AS tokens FROM classed GROUP BY ALL HAVING sum(n) > 0),
-s0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w, {present} FROM cells),
+s0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w, tokens / sum(tokens) OVER () / {KEEP}::DOUBLE AS most, {present} FROM cells),
 {", ".join(steps)},
-p AS (SELECT _source, _lang, _topic, (w / tokens) / max(w / tokens) OVER () AS probability FROM {last}),
+p AS (SELECT _source, _lang, _topic, w / most AS probability FROM {last}),
 found AS (SELECT *, CASE WHEN n > 0 THEN coalesce(probability, 0) ELSE 0 END AS chance FROM classed LEFT JOIN p USING (_source, _lang, _topic))
 SELECT doc_id, n AS n_tokens, _source AS source_class, _lang AS lang_class, _topic AS topic, round(chance::DOUBLE, 9) AS probability,
        ('0x' || substr(md5('{SEED}' || coalesce(':' || doc_id, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < chance AS kept
