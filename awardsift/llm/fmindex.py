@@ -132,6 +132,7 @@ def _suffixes(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.nda
         if reach >= longest:
             break
     common = np.zeros(size, np.int64)
+    common[0] = -1  # nothing before the first: it begins a run of any length
     open_ = np.arange(1, size)
     for k in range(depth):
         x, y = order[open_] + k, order[open_ - 1] + k

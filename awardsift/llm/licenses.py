@@ -120,6 +120,15 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
+def _continues(line: str, at: int) -> bool:
+    """Whether an operator is followed by a license: a bracket, a known name, or one with a digit, hyphen or plus in it."""
+    found = _TOKEN.match(line, at)
+    if not found:
+        return False
+    name = found[1].rstrip(".:").lower()
+    return name == "(" or any(c.isdigit() or c in "-+" for c in name) or strictness(name) < len(TERMS) - 1
+
+
 def _expression(text: str, place: int) -> str:
     """What follows the place-th tag of a text, up to the end of its line or of its brackets."""
     tags = list(re.finditer(r"spdx[^a-z0-9\x80-\U0010FFFF]+license[^a-z0-9\x80-\U0010FFFF]+identifier(?![a-z0-9\x80-\U0010FFFF])", text.translate(_CAPITALS)))
@@ -134,6 +143,8 @@ def _expression(text: str, place: int) -> str:
             break
         if token not in "()" and low not in _PRECEDENCE and not operand:
             break
+        if low in _PRECEDENCE and not _continues(line, found.end()):
+            break
         depth += (token == "(") - (token == ")")
         operand = token == "(" or low in _PRECEDENCE
         # a sentence's full stop or colon does not belong to an identifier
