@@ -78,7 +78,7 @@ def _json_values(spark: SparkSession, paths: list[str], fields: T.StructType, st
     texts = spark.read.text(paths, wholetext=True).withColumn("values", json_values(F.col("value")))
     one = F.when(F.col("values") > 1, F.raise_error(F.lit("more than one JSON value in a file")).cast("boolean")).otherwise(F.col("values") == 1)
     good = texts.where(_good(one, strict))
-    parsed = good.select(F.explode(F.from_json("value", T.ArrayType(_envelope(fields)))).alias("v")).select("v.*")
+    parsed = good.select(F.explode(F.from_json(F.regexp_replace("value", "^\uFEFF", F.lit("")), T.ArrayType(_envelope(fields)))).alias("v")).select("v.*")
     return _awards(parsed, fields)
 
 
