@@ -38,8 +38,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, source: str = "source", ke
     fraction = (2 * (F.col("_rank") - F.col("_first")) + 1).cast("double") / (2 * F.col("_rows")).cast("double")
     fractions = ranked.join(broadcast_if_small(sizes), "_source").withColumn("_fraction", fraction).drop("_rank", "_first", "_rows")
     whole = placed(fractions, ["_fraction", "_hash", at[key]], "_place")
-    total = F.broadcast(whole.agg(F.count(F.lit(1)).alias("_total")))
-    cut = whole.join(total).withColumn("_shard", F.expr(f"_place * {shards} div _total"))
+    total = whole.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    cut = whole.withColumn("_total", total).withColumn("_shard", F.expr(f"_place * {shards} div _total"))
     slot = F.expr(f"_place - (_shard * _total + {shards - 1}) div {shards}")
     return cut.select(*[F.col(at[c]).alias(c) for c in columns], F.col("_shard").cast("int").alias("shard"), slot.alias("slot"))
 
