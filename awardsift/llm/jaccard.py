@@ -297,7 +297,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     roots = components(links.union(more).union(third.where(linked)).select("a", "b"))
     named = members.join(roots.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
-    smallest = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    smallest = store(named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component")))
     return named.join(smallest, "root", "left").select(
         "doc_id", "n_shingles", "sign", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
