@@ -6,9 +6,9 @@ document with a smaller id. Windows find their copies as follows.
 * **Routing.** The minimizer of a window is the least hash among its ``GRAM``-word sequences, so equal windows have equal
   minimizers. Consecutive windows with one minimizer form a passage of at most 20 words; passages go to shards by
   minimizer, so all copies of a window meet in one shard, and no text is streamed past every shard.
-* **Filter.** Minimizers are counted exactly over all documents. Those in two texts or more go into a Bloom filter of at most
-  ``FILTER_BITS`` bits, whatever the size of the data; a passage whose minimizer is absent has no copy. A fuller
-  filter only lets more passages through.
+* **Filter.** Minimizers are counted exactly over all documents, then the windows of shared minimizers. Those in two texts or
+  more go into a Bloom filter of at most ``FILTER_BITS`` bits, whatever the size of the data; a window that is absent has no copy.
+  A fuller filter only lets more windows through.
 * **Index.** Equal passages are one, owned by their smallest document. Each shard builds a compressed FM-index over its
   passages and streams them back through it: backward search over the wavelet matrix gives the matching statistics, capped
   at the window's length, and with each full match the smallest owner of its interval. Windows whose owner is smaller
@@ -23,6 +23,8 @@ table.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,37 +39,53 @@ from .words import SPACED, Words, mix, words
 
 WINDOW = 13
 GRAM = 6
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 29
+BLOCK_BITS = 1 << 19
 #: Different passages of one minimizer that an index may hold, and words of passages in a shard, about.
 HOT = 20_000
 SHARD_WORDS = 400_000
 
 
-def passages_of(found: Words) -> tuple[np.ndarray, ...]:
-    """First word, number of words, text and minimizer of every passage of some texts."""
+def windows_of(found: Words) -> tuple[np.ndarray, ...]:
+    """First word, hash, place of the minimizer and minimizer of every window of some texts."""
     single = found.hashes()
     at, grams = found.windows(GRAM, single)
-    starts, _ = found.windows(WINDOW, single)
-    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    if not len(starts):
-        return none
-    full = np.full(len(single), np.iinfo(np.uint64).max, np.uint64)
+    starts, hashes = found.windows(WINDOW, single)
+    full = np.full(max(len(single), WINDOW), np.iinfo(np.uint64).max, np.uint64)
     full[at] = grams
-    spans = np.lib.stride_tricks.sliding_window_view(full, WINDOW - GRAM + 1)[starts]
-    least = starts + spans.argmin(axis=1)
-    new = np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(starts))) + WINDOW - 1
-    rows = np.searchsorted(found.first, starts[first], "right") - 1
-    return starts[first], count, rows, full[least[first]]
+    least = starts + np.lib.stride_tricks.sliding_window_view(full, WINDOW - GRAM + 1)[starts].argmin(axis=1)
+    return starts, hashes, least, full[least]
+
+
+def passages_of(starts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first window and number of words of each run of neighbouring windows with one minimizer."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    return first, np.diff(np.append(first, len(starts))) + WINDOW - 1
+
+
+def _by_text(found: Words, starts: np.ndarray, values: np.ndarray):
+    """The distinct values of each text that has any."""
+    rows = np.searchsorted(found.first, starts, "right") - 1
+    for part in np.split(values, np.flatnonzero(np.diff(rows)) + 1):
+        if len(part):
+            yield np.unique(part)
 
 
 def _minimizers(column):
     for _, _, found in words(column, SPACED):
-        _, _, rows, least = passages_of(found)
-        for part in np.split(least, np.flatnonzero(np.diff(rows)) + 1):
-            if len(part):
-                yield np.unique(part)
+        starts, _, least, minimizer = windows_of(found)
+        first, _ = passages_of(starts, least)
+        yield from _by_text(found, starts[first], minimizer[first])
+
+
+def _windows(shared, column):
+    """Hashes of the windows whose minimizer may be shared."""
+    for _, _, found in words(column, SPACED):
+        starts, hashes, _, minimizer = windows_of(found)
+        keep = _contains(shared.value, minimizer)
+        yield from _by_text(found, starts[keep], hashes[keep])
 
 
 def _places(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,36 +93,60 @@ def _places(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple((mix(x ^ np.uint64(seed)) & np.uint64(size - 1)).astype(np.int64) for seed in (0x51, 0xC3A9))
 
 
+def _contains(known: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    table, bits = known
+    out = np.ones(len(hashes), bool)
+    for place in _places(classes_of(hashes, bits), len(table) << 6):
+        out &= (table[place >> 6] >> (place & 63)) & 1 == 1
+    return out
+
+
 def _filter(shared: DataFrame) -> np.ndarray:
-    """A Bloom filter of the shared classes as 64-bit words, at most FILTER_BITS bits; tasks set the bits."""
+    """A Bloom filter of the shared classes as 64-bit words, at most FILTER_BITS bits.
+
+    Tasks set the bits, a block of BLOCK_BITS at a time; the driver gets the finished blocks and puts them side by side.
+    """
     size = min(FILTER_BITS, 1 << max(10, int(16 * shared.count()).bit_length()))
+    width = min(size, BLOCK_BITS)
 
-    def bits(batches):
+    def places(batches):
         for batch in batches:
-            place = np.concatenate(_places(batch.column(0).to_numpy(), size))
-            one = np.left_shift(np.int64(1), place & 63)
-            yield pa.RecordBatch.from_pydict({"word": place >> 6, "bits": one})
-
-    rows = shared.select("class").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+            place = np.unique(np.concatenate(_places(batch.column(0).to_numpy(), size)))
+            block = place // width
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else []
+            parts = np.split((place % width).astype(np.int32), first[1:]) if len(block) else []
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block[first] if len(block) else [], pa.int64()),
+                                              "places": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def fill(part: pa.Table) -> pa.Table:
+        bits = np.zeros(width, bool)
+        for x in part.column("places"):
+            bits[np.frombuffer(x.as_py(), np.int32)] = True
+        return pa.table({"block": [part.column("block")[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    blocks = shared.select("class").mapInArrow(places, "block long, places binary").groupBy("block").applyInArrow(fill, "block long, bits binary")
     out = np.zeros(size >> 6, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    for row in blocks.collect():
+        at = row.block * width >> 6
+        out[at : at + (width >> 6)] = np.frombuffer(row.bits, np.int64)
     return out
 
 
 def _passages(shared):
-    """Passages whose minimizer may be shared: key, document, place, and the text once a batch."""
+    """Passages of windows that may be shared: key, document, place, and the text once a batch."""
     def emit(batches):
-        table, bits = shared.value
         for batch in batches:
             ids, marks, seen = batch.column(0).to_pylist(), batch.column(1).to_pylist(), set()
             out: list[list] = [[] for _ in range(7)]
             for row, _, found in words(batch.column(2), SPACED):
-                start, count, rows, least = passages_of(found)
-                hit = np.ones(len(least), bool)
-                for place in _places(classes_of(least, bits), len(table) << 6):
-                    hit &= (table[place >> 6] >> (place & 63)) & 1 == 1
+                starts, hashes, least, minimizer = windows_of(found)
+                keep = _contains(shared.value, hashes)
+                starts, least, minimizer = starts[keep], least[keep], minimizer[keep]
+                first, count = passages_of(starts, least)
+                start = starts[first]
+                rows = np.searchsorted(found.first, start, "right") - 1
                 begins, ends = found.starts, found.ends
-                for s, n, k, m in zip(start[hit].tolist(), count[hit].tolist(), rows[hit].tolist(), least[hit].view(np.int64).tolist()):
+                for s, n, k, m in zip(start.tolist(), count.tolist(), rows.tolist(), minimizer[first].view(np.int64).tolist()):
                     text = b" ".join(found.data[begins[s] : ends[s + n - 1]].tobytes().split(None))
                     key = xxhash.xxh3_128_digest(text)
                     values = (key, ids[row + k], marks[row + k], s - int(found.first[k]), n, m, None if key in seen else text.decode())
@@ -135,6 +177,8 @@ def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), "text")
     shared, bits = counted(texts, "text", _minimizers, 2)
     known = spark.sparkContext.broadcast((_filter(shared), bits))
+    shared, bits = counted(texts, "text", partial(_windows, known), 2)
+    known = spark.sparkContext.broadcast((_filter(shared), bits))
     found = store(texts.mapInArrow(_passages(known), "key binary, doc_id long, mark long, start long, n long, least long, words string"))
 
     one = found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("least").alias("least"),
