@@ -13,7 +13,7 @@ document with a smaller id. Windows find their copies as follows.
   passages and streams them back through it: backward search over the wavelet matrix gives the matching statistics, capped
   at the window's length, and with each full match the smallest owner of its interval. Windows whose owner is smaller
   than the passage's own document are reported; documents other than the owner lose all windows of the passage.
-* **Hot minimizers.** Where more than ``HOT`` different passages share one minimizer, their windows are grouped by content
+* **Hot minimizers.** Where more than ``HOT`` passages share one minimizer, their windows are grouped by content
   instead, with the smallest owner combined before the shuffle. This is exact as well, and no shard outgrows its task.
 
 Defined results: null or empty texts have no words; several rows with one doc_id are one document (none of them is
@@ -133,11 +133,13 @@ def _filter(shared: DataFrame) -> np.ndarray:
 
 
 def _passages(shared):
-    """Passages of windows that may be shared: key, document, place, and the text once a batch."""
+    """Passages of windows that may be shared: key, document and place; the first of a batch has its text and the batch's smallest document."""
     def emit(batches):
         for batch in batches:
-            ids, marks, seen = batch.column(0).to_pylist(), batch.column(1).to_pylist(), set()
-            out: list[list] = [[] for _ in range(7)]
+            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            seen: dict[bytes, int] = {}
+            out: list[list] = [[] for _ in range(8)]
+            owners = out[7]
             for row, _, found in words(batch.column(2), SPACED):
                 starts, hashes, least, minimizer = windows_of(found)
                 keep = _contains(shared.value, hashes)
@@ -148,26 +150,35 @@ def _passages(shared):
                 begins, ends = found.starts, found.ends
                 for s, n, k, m in zip(start.tolist(), count.tolist(), rows.tolist(), minimizer[first].view(np.int64).tolist()):
                     text = b" ".join(found.data[begins[s] : ends[s + n - 1]].tobytes().split(None))
-                    key = xxhash.xxh3_128_digest(text)
-                    values = (key, ids[row + k], marks[row + k], s - int(found.first[k]), n, m, None if key in seen else text.decode())
-                    seen.add(key)
+                    key, doc = xxhash.xxh3_128_digest(text), ids[row + k]
+                    at = seen.get(key)
+                    if at is None:
+                        seen[key] = len(owners)
+                        values = (key, doc, marks[row + k], s - int(found.first[k]), n, m, text.decode(), doc)
+                    else:
+                        owners[at] = min(owners[at], doc)
+                        values = (key, doc, marks[row + k], s - int(found.first[k]), n, None, None, None)
                     for column, value in zip(out, values):
                         column.append(value)
-            if out[0]:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            if owners:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)],
-                                                 names=["key", "doc_id", "mark", "start", "n", "least", "words"])
+                                                 names=["key", "doc_id", "mark", "start", "n", "least", "words", "owner"])
     return emit
 
 
 def _matched(part: pa.Table) -> pa.Table:
-    """The windows of a shard's passages that a smaller document has, as bits by place."""
-    owners = part.column("owner").to_numpy()
+    """The different passages of a shard with their smallest document, and their windows that a smaller one has, as bits by place."""
+    best: dict[bytes, list] = {}
+    for key, owner, text in zip(*(part.column(name).to_pylist() for name in ("key", "owner", "words"))):
+        if (known := best.setdefault(key, [owner, text]))[0] > owner:
+            known[0] = owner
+    owners = np.array([owner for owner, _ in best.values()], np.int64)
     ids: dict[str, int] = {}
-    passages = [np.array([ids.setdefault(w, len(ids) + 1) for w in text.split(" ")]) for text in part.column("words").to_pylist()]
+    passages = [np.array([ids.setdefault(w, len(ids) + 1) for w in text.split(" ")]) for _, text in best.values()]
     _, least = FMIndex(passages, owners, WINDOW).matching(passages)
     bits = [int(((own[: len(own) - WINDOW + 1] < mine) << np.arange(len(own) - WINDOW + 1)).sum()) for own, mine in zip(least, owners)]
-    return pa.table({"key": part.column("key"), "bits": pa.array(bits, pa.int64())})
+    return pa.table({"key": pa.array(list(best), pa.binary()), "owner": pa.array(owners), "bits": pa.array(bits, pa.int64())})
 
 
 def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -179,28 +190,25 @@ def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
     known = spark.sparkContext.broadcast((_filter(shared), bits))
     shared, bits = counted(texts, "text", partial(_windows, known), 2)
     known = spark.sparkContext.broadcast((_filter(shared), bits))
-    found = store(texts.mapInArrow(_passages(known), "key binary, doc_id long, mark long, start long, n long, least long, words string"))
-
-    one = found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("least").alias("least"),
-                                   F.max("n").alias("n"))
-    spelled = found.where("words IS NOT NULL").select("key", "words").dropDuplicates(["key"])
-    one = store(one.join(spelled, "key"))
-    crowded = store(one.groupBy("least").count().where(F.col("count") > hot).select("least"))
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = store(texts.mapInArrow(_passages(known), "key binary, doc_id long, mark long, start long, n long, least long, words string, owner long"))
+
+    spelled = found.where("words IS NOT NULL").select("key", "owner", "least", "words")  # one row a batch and passage
+    crowded = store(spelled.groupBy("least").count().where(F.col("count") > hot).select("least"))
+    total = found.where("words IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD_WORDS))
-    few = one.join(broadcast_if_small(crowded), "least", "left_anti")
+    few = spelled.join(broadcast_if_small(crowded), "least", "left_anti")
     placed = few.select(F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard"), "key", "owner", "words")
-    indexed = placed.groupBy("shard").applyInArrow(_matched, "key binary, bits long")
+    indexed = placed.groupBy("shard").applyInArrow(_matched, "key binary, owner long, bits long")
 
     # windows of crowded minimizers, by content
-    many = one.join(broadcast_if_small(crowded), "least", "left_semi").withColumn("w", F.split("words", " "))
-    window = many.select("key", "owner", F.posexplode(F.expr(
+    many = spelled.join(broadcast_if_small(crowded), "least", "left_semi").groupBy("key").agg(F.min("owner").alias("owner"), F.max("words").alias("words"))
+    window = many.withColumn("w", F.split("words", " ")).select("key", "owner", F.posexplode(F.expr(
         f"transform(sequence(1, size(w) - {WINDOW - 1}), i -> array_join(slice(w, i, {WINDOW}), ' '))")).alias("at", "window"))
     first = window.groupBy("window").agg(F.min("owner").alias("smallest"))
-    grouped = window.join(first, "window").groupBy("key").agg(
-        F.sum(F.when(F.col("smallest") < F.col("owner"), F.expr("shiftleft(1L, at)")).otherwise(F.lit(0))).alias("bits"))
+    grouped = window.join(first, "window").groupBy("key").agg(F.max("owner").alias("owner"), F.sum(
+        F.when(F.col("smallest") < F.col("owner"), F.expr("shiftleft(1L, at)")).otherwise(F.lit(0))).alias("bits"))
 
-    known_bits = store(one.select("key", "owner").join(indexed.union(grouped), "key"))
+    known_bits = store(indexed.union(grouped))
     all_windows = F.expr(f"shiftleft(1L, cast(n - {WINDOW - 1} as int)) - 1")
     hits = found.select("key", "doc_id", "mark", "start", "n").join(known_bits, "key").select(
         "doc_id", "mark", "start", F.when(F.col("doc_id") > F.col("owner"), all_windows).otherwise(F.col("bits")).alias("bits"))
