@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import _checkpoint_folder, measure, ship_package, store
+from ..session import _checkpoint_folder, measure, ship_package
+from ..session import store as _store
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -19,6 +20,24 @@ BLOCK_BYTES = 16 * 1024 * 1024
 __all__ = ["BLOCK_BYTES", "LLM_ORACLES", "LLM_QUERIES", "folder", "measure", "only", "query", "ship_package", "store", "table"]
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back without lineage.
+
+    The shuffle files behind the table are of no use once it is written and go at once, so that an operator of many
+    steps needs the disk of its widest step only.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        return _store(df)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL where SQL can express it."""
     def register(function):
