@@ -6,9 +6,11 @@ tokens is to be kept. A cell's calibrated probability is its raked weight over i
 kept with that probability by a hash of its id. The kept tokens then have the target marginals, up to sampling; where a
 class has fewer tokens than its target asks for, it gives all it has and others fill up.
 
-The classes are those named in the targets plus ``other``, so the number of cells is bounded by the parameters
-whatever the data hold; only cells meet in one task or are broadcast. Classes without tokens give up their target in
-proportion to the rest.
+Where a marginal's target is a table, its classes are those it names plus ``other``, so the number of cells is bounded by
+the parameters whatever the data hold. Where it is a power, every value is a class of its own and its target is its token sum
+to that power, whatever the values are called: 1 leaves the shares as they are, 0 makes all equal. Cells then number as many as
+the values that occur. Only cells meet in one task; they are broadcast unless there are very many. Classes without tokens give
+up their target in proportion to the rest.
 
 Defined results: null or unnamed sources and languages are ``other``; texts without words (null, empty) carry no
 weight, have probability 0 and are not kept; repeated rows share their fate; an empty table gives an empty table.
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .data import SQL_SPACED, only, query, table
+from ..session import broadcast_if_small
+from .data import SQL_SPACED, only, query, store, table
 
 OTHER = "other"
 SWEEPS = 12
@@ -33,6 +36,9 @@ TARGETS = {
     "lang": {"en": 0.54, "de": 0.17, "fr": 0.16, "es": 0.12, OTHER: 0.01},
     "topic": {"prose": 0.96, "lists": 0.0001, "figures": 0.0009, "marked": 0.039},
 }
+#: Targets that name no class: every source, language and topic by the root of its tokens.
+TEMPERED = {"source": 0.5, "lang": 0.5, "topic": 0.5}
+Targets = dict[str, dict[str, float] | float]
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Topic by the form of a text: symbols per word, digits per word, words per line.
 _MARKED, _FIGURES, _LISTS = 5, 4, 6
@@ -53,23 +59,28 @@ def topic(text: str = "text") -> Column:
     )
 
 
-def classes(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+def classes(docs: DataFrame, targets: Targets) -> DataFrame:
     """Documents with ``_tokens`` and a class column ``_<marginal>`` for each marginal."""
     def named(column: str) -> Column:
+        if not isinstance(targets[column], dict):
+            return F.coalesce(F.col(column), F.lit(OTHER))
         return F.when(F.col(column).isin(list(targets[column])), F.col(column)).otherwise(F.lit(OTHER))
     counted = docs.withColumn("_tokens", tokens())
     return counted.withColumns({"_source": named("source"), "_lang": named("lang"), "_topic": topic()})
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
     """Cells (class columns, ``tokens``) with ``probability``; cells without tokens are left out."""
     one = cells.where("tokens > 0").coalesce(1)  # as many rows as class combinations at most: every window stays in this task
     share = F.col("tokens").cast("double") / F.sum("tokens").over(W.partitionBy())
     raked = one.withColumn("w", share).withColumn("most", F.col("w") / F.lit(KEEP))
     marginals = {f"_{name}": shares for name, shares in targets.items()}
     for name, shares in marginals.items():
-        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-        raked = raked.withColumn(f"t{name}", F.element_at(share, F.col(name)))
+        if isinstance(shares, dict):
+            target = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(name))
+        else:
+            target = F.pow(F.sum("tokens").over(W.partitionBy(name)).cast("double"), F.lit(float(shares)))
+        raked = raked.withColumn(f"t{name}", target)
         # shares of classes that are present, scaled to 1: each class counts once, by its first cell
         first = F.row_number().over(W.partitionBy(name).orderBy(*marginals)) == 1
         raked = raked.withColumn("_one", F.when(first, F.col(f"t{name}")))
@@ -80,7 +91,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = S
     return raked.select(*marginals, (F.col("w") / F.col("most")).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = TARGETS, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
     """Documents with ``n_tokens``, ``source_class``, ``lang_class``, ``topic``, ``probability`` and ``kept``; other columns stay.
 
     Two passes over the texts: one sums tokens by cell, one looks up each document's cell.
@@ -88,7 +99,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, sweeps:
     docs = docs.drop("n_tokens", "source_class", "lang_class", "topic", "probability", "kept")
     classed = classes(docs, targets)
     cells = classed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    found = classed.join(F.broadcast(rake(cells, targets, sweeps)), ["_source", "_lang", "_topic"], "left")
+    raked = rake(cells, targets, sweeps)
+    if all(isinstance(shares, dict) for shares in targets.values()):
+        raked = F.broadcast(raked)
+    else:  # as many cells as values occur
+        raked = broadcast_if_small(store(raked))
+    found = classed.join(raked, ["_source", "_lang", "_topic"], "left")
     chance = F.when(F.col("_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     return found.select(
@@ -97,10 +113,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, sweeps:
     )
 
 
-def sample(docs: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
     """The kept documents, with their own columns."""
     flagged = mix(docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(docs.columns)],
-                              *[F.col(c) for c in ("doc_id", "text", "source", "lang")]))
+                              *[F.col(c) for c in ("doc_id", "text", "source", "lang")]), targets)
     return flagged.where("kept").select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

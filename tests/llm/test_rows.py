@@ -273,6 +273,20 @@ def test_mixing_reaches_targets(spark):
     assert kept == pytest.approx(sum(r.n_tokens * r.probability for r in rows), rel=0.05)
 
 
+def test_mixing_rakes_every_source(spark):
+    """With targets that name no class, each source is a class of its own, whatever it is called."""
+    texts = [" ".join(f"w{k}" for k in range(90))] * 600
+    docs = documents(spark, texts, ["en"], ["hot"] * 8 + ["a", "b", "c", None])
+    rows = mixing.mix(docs, {**mixing.TEMPERED, "source": 0.8}, 30).selectExpr("source_class", "n_tokens * probability AS w").collect()
+    weight = Counter()
+    for r in rows:
+        weight[r.source_class] += r.w
+    wanted = {"hot": 8**0.8, "a": 1, "b": 1, "c": 1, "other": 1}
+    assert weight == pytest.approx({k: v / sum(wanted.values()) * mixing.KEEP * 600 * 90 for k, v in wanted.items()})
+    even = {**mixing.TEMPERED, "source": {"hot": 0.5, "other": 0.5}}
+    assert {r.source_class for r in mixing.mix(docs, even).collect()} == {"hot", "other"}
+
+
 def test_mixing_awkward(spark):
     df = awkward(spark)
     out = mixing.sample(df)
