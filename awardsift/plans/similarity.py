@@ -18,8 +18,8 @@ from ..operators.fusion import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, FusionModel
 from ..operators.filters import department as by_department
 from ..operators.joins import distinct_ids
 from ..session import checkpoint, measure, store
-from ..sinks import write_predictions, write_review
-from ..sources import read_awards, read_labeled, sampled
+from ..sinks import write_predictions, write_records, write_review
+from ..sources import read_awards, read_labeled, rejected_awards, sampled
 from .prepare import prepare_labeled, prepare_unlabeled
 
 log = logging.getLogger(__name__)
@@ -87,7 +87,8 @@ def run(
     """Load a model or fit one on a labeled file and save it, score award files, write all results and those for review.
 
     ``load_from`` is a folder that ``save_model`` wrote; if it holds no model, one is fitted. ``department`` keeps the awards of
-    agencies with that text in their name.
+    agencies with that text in their name. JSON lines and files of the unlabeled awards that are no JSON are in
+    ``<out>/rejected_json``.
     """
     model = None
     if load_from:
@@ -100,6 +101,7 @@ def run(
         if save:
             save_model(model, f"{out}/model")
     awards = read_awards(spark, unlabeled_paths)
+    write_records(rejected_awards(spark, unlabeled_paths), f"{out}/rejected_json")
     awards = awards if department is None else by_department(awards, department)
     scored = model.predict(awards if sample_size is None else sampled(awards, sample_size), threshold)
     folder = write_predictions(scored, out)

@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import logging
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,6 +27,7 @@ from ..session import ship_package
 from .paths import open_path
 
 log = logging.getLogger(__name__)
+_STRUCTURE = re.compile(rb'\\.|["{}\[\]]', re.S)
 
 
 def _as_list(paths: str | list[str]) -> list[str]:
@@ -38,9 +40,10 @@ def read_json_awards(
     """Awards from JSON: ``{"data": [...]}``, a bare array, or one object per line.
 
     An envelope is a value whose ``data`` is set; every other one is an award itself. Without ``multi_line`` each file is
-    looked at: if its first line is a whole JSON value, every line is one, else the file is one value over several
-    lines. Such a file is one task of at most 2 GB, so large inputs should come as JSON lines. What is no JSON is left out,
-    or raises when ``strict``; a second value in a file that should hold one always raises.
+    looked at: if its first line is a whole JSON value, every line is one; else the file is one value over several lines
+    or, where it holds no such value, is read by lines all the same. A file that is one value is one task of at most 2 GB, so large
+    inputs should come as JSON lines. What is no JSON is left out and is in ``rejected_json``, or raises when ``strict``; a second
+    value in a file that should hold one always raises.
     """
     files = _json_files(spark, _as_list(paths)) if multi_line is None else [(p, not multi_line) for p in _as_list(paths)]
     frames = []
@@ -51,16 +54,41 @@ def read_json_awards(
     return _union(spark, frames, fields)
 
 
+def rejected_json(
+    spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.LABELED, multi_line: bool | None = None,
+) -> DataFrame:
+    """(path, line, error) of the lines and files that ``read_json_awards`` leaves out; ``line`` is null for a whole file."""
+    files = _json_files(spark, _as_list(paths)) if multi_line is None else [(p, not multi_line) for p in _as_list(paths)]
+    frames = []
+    if lines := [p for p, by_line in files if by_line]:
+        raw = _raw_lines(spark, lines, fields).withColumn("path", F.col("_metadata.file_path"))
+        frames.append(raw.where(_no_json(fields)).select("path", F.col("_bad").alias("line"), F.lit("no JSON").alias("error")))
+    if whole := [p for p, by_line in files if not by_line]:
+        texts = _texts(spark, whole).withColumn("path", F.col("_metadata.file_path"))
+        why = F.when(F.col("values") == 0, "no JSON").when(F.col("values") == 1, "no award").otherwise("more than one JSON value")
+        lost = texts.where((F.col("values") != 1) | _parsed(fields).isNull())
+        frames.append(lost.select("path", F.lit(None).cast("string").alias("line"), why.alias("error")))
+    return _union(spark, frames, T.StructType([T.StructField(c, T.StringType()) for c in ("path", "line", "error")]))
+
+
 def _envelope(fields: T.StructType) -> T.StructType:
     return T.StructType([*fields.fields, T.StructField("data", T.ArrayType(fields), True)])
 
 
-def _json_lines(spark: SparkSession, paths: list[str], fields: T.StructType, strict: bool) -> DataFrame:
+def _raw_lines(spark: SparkSession, paths: list[str], fields: T.StructType) -> DataFrame:
     shape = T.StructType([*_envelope(fields).fields, T.StructField("_bad", T.StringType(), True)])
-    raw = spark.read.schema(shape).json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    # A value of another type only empties its field; a row that is no JSON has nothing but the bad text.
+    return spark.read.schema(shape).json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+
+
+def _no_json(fields: T.StructType) -> Column:
+    # A value of another type only empties its field; a row that is no JSON has nothing but the bad text, or the fields before its cut.
     nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in ("data", *fields.names)])
-    return _awards(raw.where(_good(~(F.col("_bad").isNotNull() & nothing), strict)), fields)
+    cut = F.get_json_object(F.regexp_replace("_bad", "^\uFEFF", F.lit("")), "$").isNull()
+    return F.col("_bad").isNotNull() & (nothing | cut)
+
+
+def _json_lines(spark: SparkSession, paths: list[str], fields: T.StructType, strict: bool) -> DataFrame:
+    return _awards(_raw_lines(spark, paths, fields).where(_good(~_no_json(fields), strict)), fields)
 
 
 def _good(good: Column, strict: bool) -> Column:
@@ -72,13 +100,21 @@ def _awards(raw: DataFrame, fields: T.StructType) -> DataFrame:
     return raw.select(F.explode(F.coalesce("data", itself)).alias("award")).select("award.*")
 
 
+def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    ship_package(spark)
+    return spark.read.text(paths, wholetext=True).withColumn("values", json_values(F.col("value")))
+
+
+def _parsed(fields: T.StructType) -> Column:
+    return F.from_json(F.regexp_replace("value", "^\uFEFF", F.lit("")), T.ArrayType(_envelope(fields)))
+
+
 def _json_values(spark: SparkSession, paths: list[str], fields: T.StructType, strict: bool) -> DataFrame:
     """Files that are one value each; an array's elements are taken like values of their own."""
-    ship_package(spark)
-    texts = spark.read.text(paths, wholetext=True).withColumn("values", json_values(F.col("value")))
+    texts = _texts(spark, paths)
     one = F.when(F.col("values") > 1, F.raise_error(F.lit("more than one JSON value in a file")).cast("boolean")).otherwise(F.col("values") == 1)
     good = texts.where(_good(one, strict))
-    parsed = good.select(F.explode(F.from_json(F.regexp_replace("value", "^\uFEFF", F.lit("")), T.ArrayType(_envelope(fields)))).alias("v")).select("v.*")
+    parsed = good.select(F.explode(_parsed(fields)).alias("v")).select("v.*")
     return _awards(parsed, fields)
 
 
@@ -96,32 +132,64 @@ def json_values(texts: pa.Array) -> pa.Array:
 
 
 def _json_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, bool]]:
-    """Files under the paths and whether each of their lines is a value, by the first line; workers read no further."""
+    """Files under the paths and whether each of their lines is a value; workers read past the first line only if that is none."""
     ship_package(spark)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(path, first_line_is_json(path)) for path in batch["p"]], columns=["p", "by_line"])
+            yield pd.DataFrame([(path, is_by_line(path)) for path in batch["p"]], columns=["p", "by_line"])
 
     found = _listing(spark, paths, None).select("p").where(~F.element_at(F.split("p", "/"), -1).rlike("^[_.]"))
     return sorted(map(tuple, found.mapInPandas(look, "p string, by_line boolean").collect()))
 
 
-def first_line_is_json(path: str, most: int = 1 << 26) -> bool:
-    """Whether the first line that is not blank is a whole JSON value. Lines beyond ``most`` bytes are taken for one."""
+def is_by_line(path: str, most: int = 1 << 26) -> bool:
+    """Whether a file is to be read by lines: its first line that is not blank is a whole JSON value, or it isn't one value over several lines.
+
+    A line beyond ``most`` bytes counts as a value if its brackets close in it. Beyond 2 GB a file whose first line is no value is
+    taken for one value, which Spark refuses to read.
+    """
     with open_path(path) as stream:
         line = b""
         while not line.strip(b"\xef\xbb\xbf \t\r\n"):
             line = stream.readline(most)
             if not line:
                 return True  # nothing but blanks: no rows either way
-    if len(line) >= most:
-        return True
+        if len(line) >= most and not line.endswith(b"\n"):
+            if _closes(line, stream, most):
+                return True
+        else:
+            try:
+                json.loads(line.decode("utf-8-sig", errors="replace"))
+                return True
+            except ValueError:
+                pass
+        if stream.seek(0, io.SEEK_END) >= 1 << 31:
+            return False
+        stream.seek(0)
+        text = stream.read().decode("utf-8-sig", errors="replace").lstrip("\ufeff \t\r\n")
     try:
-        json.loads(line.decode("utf-8-sig", errors="replace"))
-        return True
+        end = json.JSONDecoder().raw_decode(text)[1]
     except ValueError:
-        return False
+        return True
+    return "\n" not in text[:end] and bool(text[end:].strip())  # a first line with a value and something after it
+
+
+def _closes(piece: bytes, stream: io.BufferedIOBase, most: int) -> bool:
+    """Whether all brackets and strings of a line, of which ``piece`` is the beginning, are closed in it."""
+    depth, inside = 0, False
+    while piece:
+        ended = piece.endswith(b"\n")
+        if not ended and (len(piece) - len(piece.rstrip(b"\\"))) % 2:
+            piece += stream.readline(1)  # an escape is not cut
+        for found in _STRUCTURE.finditer(piece):
+            mark = found[0]
+            if mark == b'"':
+                inside = not inside
+            elif not inside and len(mark) == 1:
+                depth += 1 if mark in b"{[" else -1
+        piece = b"" if ended else stream.readline(most)
+    return depth == 0 and not inside
 
 
 def read_labeled(spark: SparkSession, path: str, fields: T.StructType = schema.LABELED, multi_line: bool | None = None) -> DataFrame:
@@ -205,9 +273,26 @@ def read_awards(
 ) -> DataFrame:
     """Awards from a directory (its CSV and JSON files), one file or a list; other files are skipped.
 
-    Files are unioned by column name; a path that cannot be read is skipped with a warning. Sampling,
+    Files are unioned by column name; a path that cannot be read is skipped with a warning, and JSON lines and files that
+    are no JSON are in ``rejected_awards``. Sampling,
     if asked for, takes exactly ``sample_size`` rows of the union.
     """
+    csv_paths, json_paths = _award_files(spark, paths)
+    frames = []
+    for group, reader in ((csv_paths, read_csv_awards), (json_paths, read_json_awards)):
+        if group:
+            frames.append(reader(spark, group, fields=fields))
+    whole = _union(spark, frames, fields)
+    return whole if sample_size is None else sampled(whole, sample_size, seed, key)
+
+
+def rejected_awards(spark: SparkSession, paths: str | list[str], fields: T.StructType = schema.AWARD) -> DataFrame:
+    """(path, line, error) of the JSON lines and files that ``read_awards`` leaves out."""
+    return rejected_json(spark, _award_files(spark, paths)[1], fields)
+
+
+def _award_files(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """The CSV and the JSON files under the paths."""
     csv_paths, json_paths = [], []
     for path in _as_list(paths):
         lower = path.lower()
@@ -223,12 +308,7 @@ def read_awards(
             log.warning("no CSV or JSON files in %s", path)
         csv_paths += sorted(p for p in found if p.lower().endswith(".csv"))
         json_paths += sorted(p for p in found if p.lower().endswith(".json"))
-    frames = []
-    for group, reader in ((csv_paths, read_csv_awards), (json_paths, read_json_awards)):
-        if group:
-            frames.append(reader(spark, group, fields=fields))
-    whole = _union(spark, frames, fields)
-    return whole if sample_size is None else sampled(whole, sample_size, seed, key)
+    return csv_paths, json_paths
 
 
 def sampled(awards: DataFrame, size: int, seed: int = 42, key: str | list[str] = ("piid", "description")) -> DataFrame:

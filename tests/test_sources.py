@@ -9,6 +9,7 @@ import pytest
 from awardsift import schema, sinks, sources
 from awardsift.plans.etl import etl_dumps, process_dumps
 from awardsift.plans.similarity import run
+from awardsift.sources import files
 
 HEADER = ("award_id_piid,award_id_fain,prime_award_base_transaction_description,current_total_value_of_award,total_obligated_amount,"
           "period_of_performance_current_end_date,recipient_name,awarding_agency_name,ignored\n")
@@ -206,6 +207,29 @@ def test_json_layout_is_found_per_file(spark, tmp_path):
     assert sources.read_awards(spark, str(tmp_path)).count() == 25
 
 
+def test_bad_first_line_costs_itself_alone(spark, tmp_path):
+    rows = [json.dumps({"piid": f"p{i}"}) for i in range(4)]
+    firsts = {"cut": '{"piid": "x", "description": "ab', "open": '{"piid": "x",', "comment": "# exported", "after": '{"piid": "x"}}'}
+    for name, first in firsts.items():
+        (tmp_path / f"{name}.json").write_text("\n".join([first, *rows]))
+        kept = ids(sources.read_awards(spark, str(tmp_path / f"{name}.json")))
+        assert kept == ["p0", "p1", "p2", "p3", *["x"] * (name == "after")], name
+    assert {r["line"] for r in sources.rejected_awards(spark, str(tmp_path)).collect()} == {firsts[k] for k in ("cut", "open", "comment")}
+    with pytest.raises(Exception, match="not a JSON award file"):
+        sources.read_labeled(spark, str(tmp_path / "cut.json")).collect()
+
+
+def test_long_first_lines_are_decided_by_their_brackets(tmp_path):
+    long = "x" * 50 + '\\"]}'
+    cases = {
+        "lines": (json.dumps({"piid": long}) + "\n" + json.dumps({"piid": "b"}), True), "value": ('{"data": [' + json.dumps({"piid": long}) + ",\n" + '{"piid": "b"}]}', False),
+        "one": (json.dumps([{"piid": long}]), True),
+    }
+    for name, (text, by_line) in cases.items():
+        (tmp_path / name).write_text(text)
+        assert [files.is_by_line(str(tmp_path / name), most) for most in (1 << 26, *range(8, 30))] == [by_line] * 23, name
+
+
 def test_two_values_never_pass_silently(spark, tmp_path):
     rows = json.dumps({"piid": "a"}, indent=2)
     (tmp_path / "two.json").write_text(rows + "\n" + rows)
