@@ -35,6 +35,7 @@ VARIANTS = 5
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*|[^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_QUOTED = re.compile(r"""\"[^\"]*\"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW = {"script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "select"}
 _HIDDEN = _RAW - {"title"} | {"head"}
@@ -57,6 +58,35 @@ class Block:
     linked: int
 
 
+def _past(page: str, at: int, name: str, attributes: str) -> int:
+    """Where a raw element ends whose start tag ends at ``at``: a self-closed svg at once, svg and template with those nested in them."""
+    if name == "svg" and _closed(attributes):
+        return at
+    ends = re.compile(rf"</{re.escape(name)}\s*>?", re.I)
+    end = ends.search(page, at)
+    first = end.end() if end else len(page)
+    if not end or name not in ("svg", "template"):
+        return first
+    depth = 1
+    while found := _MARKUP.search(page, at):
+        at = found.end()
+        inner = (found[2] or "").lower()
+        if inner == name and found[1]:
+            depth -= 1
+            if not depth:
+                return at
+        elif inner == name:
+            depth += name == "template" or not _closed(found[3] or "")
+        elif name == "template" and inner in _RAW and not found[1]:
+            at = _past(page, at, inner, found[3] or "")
+    return first  # an inner one is not closed: the first end tag ends all of them
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends with a slash that is not part of an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"']\S*/\Z", _QUOTED.sub("''", attributes))
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of text in page order, with the elements above them."""
     out: list[Block] = []
@@ -115,8 +145,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _past(page, at, name, found[3] or "")
             continue
         if name in _VOID:
             continue

@@ -201,6 +201,18 @@ def test_blocks():
         html.blocks_of(broken)
 
 
+def test_svg_and_template_hide_only_themselves():
+    def read(page):
+        return [b.text for b in html.blocks_of(page)]
+    for icon in ("<svg/>", '<svg class="i" />', "<svg href='x?a=b'/>", '<SVG viewBox="0 0 1 1"/>'):
+        assert read(f"<p>one {icon} two</p><p>three</p>") == ["one", "two", "three"] or read(f"<p>one {icon} two</p><p>three</p>") == ["one two", "three"], icon
+        assert "two" in " ".join(read(f"<p>one</p>{icon}<p>two</p><svg><text>no</text></svg><p>three</p>")), icon
+    assert read("<p>one</p><svg><svg><text>no</text></svg><svg/><text>no</text></svg><p>two</p>") == ["one", "two"]
+    assert read("<p>one</p><template><template><p>no</p></template><svg/><script>'<template>'</script><p>no</p></template><p>two</p>") == ["one", "two"]
+    assert read("<p>one</p><svg><svg></svg><p>two</p>") == ["one", "two"]
+    assert read("<p>one</p><svg class=a/><text>no</text></svg><p>two</p>") == ["one", "two"]
+
+
 def test_viterbi_is_best():
     """Decoding equals the best of all label sequences."""
     draw = np.random.default_rng(2)
