@@ -92,9 +92,19 @@ def decoded(text: str) -> str:
 
 
 def _chunks(data, path: str, member: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """A member is inflated once: its bytes are read one per character, and each value is decoded on its own."""
+    """A member is inflated once: its bytes are read one per character, and each value is decoded on its own.
+
+    The first column is read in any case, so that a member with none of the columns still has its rows.
+    """
+    first: list[str] = []
+
+    def wanted(name: str) -> bool:
+        if not first:
+            first.append(name)
+        return name == first[0] or decoded(name).lstrip("\ufeff") in columns
+
     try:
-        chunks = pd.read_csv(data, dtype=object, chunksize=CHUNK_ROWS, encoding="latin1", usecols=lambda c: decoded(c).lstrip("\ufeff") in columns)
+        chunks = pd.read_csv(data, dtype=object, chunksize=CHUNK_ROWS, encoding="latin1", usecols=wanted)
     except pd.errors.EmptyDataError:
         return
     at = 0
