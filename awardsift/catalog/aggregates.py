@@ -8,7 +8,8 @@ from ..functions import main_keywords
 from ..functions.keywords import sql_pattern
 from ..operators import aggregates as op
 from ..plans.etl import award_etl as run_etl
-from .base import AWARDS, SCORED, awards, query, scored, table
+from ..streaming.rollup import current_awards, rollup_stream
+from .base import AWARDS, SCORED, awards, new_folder, query, scored, table
 
 ORDER = ["line_no", "supp_no", "part_no"]
 # The whole default list, and words that the part names hold.
@@ -19,19 +20,38 @@ def _first(column: str) -> str:
     return f"first({column} ORDER BY line_no, supp_no, part_no) FILTER (WHERE {column} IS NOT NULL) AS {column}"
 
 
-@query(f"""
+_ROLLUP = f"""
 WITH {AWARDS}, gaps AS (
   SELECT nullif(piid, '5') AS piid, CASE WHEN part_no % 3 > 0 THEN description END AS description, value, end_date,
     CASE WHEN line_no > 1 THEN vendor END AS vendor, CASE WHEN supp_no % 2 = 0 THEN agency END AS agency, line_no, supp_no, part_no FROM awards)
 SELECT piid, {_first("description")}, max(value) AS value, strftime(max(end_date), '%Y-%m-%d') AS end_day, {_first("vendor")}, {_first("agency")}
-FROM gaps WHERE piid IS NOT NULL GROUP BY piid""")
-def award_rollup(spark, folder):
-    rows = awards(spark, folder, heavy=True).select(
+FROM gaps WHERE piid IS NOT NULL GROUP BY piid"""
+
+
+def _with_gaps(spark, folder):
+    return awards(spark, folder, heavy=True).select(
         F.nullif("piid", F.lit("5")).alias("piid"), F.when(F.col("part_no") % 3 > 0, F.col("description")).alias("description"),
         "value", "end_date", F.when(F.col("line_no") > 1, F.col("vendor")).alias("vendor"),
         F.when(F.col("supp_no") % 2 == 0, F.col("agency")).alias("agency"), *ORDER,
     )
-    rolled = op.rollup_awards(rows, ["piid"], ORDER)
+
+
+@query(_ROLLUP)
+def award_rollup(spark, folder):
+    rolled = op.rollup_awards(_with_gaps(spark, folder), ["piid"], ORDER)
+    return rolled.withColumn("end_day", F.date_format("end_date", "yyyy-MM-dd")).drop("end_date")
+
+
+@query(_ROLLUP)
+def award_rollup_stream(spark, folder):
+    """The same from a stream of the rows, in batches of two files, begun anew once."""
+    landed, out, state = (new_folder(spark, name) for name in ("landed", "rolled", "state"))
+    rows = _with_gaps(spark, folder)
+    for part in range(2):
+        rows.where(F.pmod(F.xxhash64("piid", *ORDER), F.lit(2)) == part).coalesce(4).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+        rollup_stream(stream, out, state, ["piid"], ORDER).awaitTermination()
+    rolled = current_awards(spark, out, ["piid"], ORDER)
     return rolled.withColumn("end_day", F.date_format("end_date", "yyyy-MM-dd")).drop("end_date")
 
 

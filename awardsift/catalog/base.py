@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import _checkpoint_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(scan) if name == "documents" else scan
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, for queries that write and read back."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # Awards: order lines with their supplier as vendor and its nation as agency.
 AWARDS = """awards AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS piid, p_name AS description, l_extendedprice AS value, l_shipdate AS end_date,

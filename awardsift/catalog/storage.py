@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..commits import commit_awards, commit_table, committed_summary, read_committed, write_archives
 from ..constants import DEPARTMENTS
-from ..session import _checkpoint_folder
 from ..sources.dumpsource import manifest, read_dumps, selecting, stream_dumps
-from .base import AWARDS, awards, query
+from .base import AWARDS, awards, new_folder, query
 
 _NAMES = list(DEPARTMENTS)
 _SQL_NAMES = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
 _SQL_ACRONYMS = "[" + ", ".join(f"'{a}'" for a in DEPARTMENTS.values()) + "]"
 
 
-def new_folder(spark, name: str) -> str:
-    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Dump rows: department by supplier, type by return flag, period by year; texts with commas, quotes and line ends.
 _DUMPED = f"""{AWARDS}, dumped AS (
   SELECT ({_SQL_NAMES})[1 + supp_no % {len(_NAMES)}] AS department, ({_SQL_ACRONYMS})[1 + supp_no % {len(_NAMES)}] AS acronym,
