@@ -8,6 +8,7 @@ from ..constants import DEPARTMENTS
 from ..functions import dump_file_name
 from ..operators import joins as op
 from ..operators.fusion import FusionModel
+from ..operators.intervals import containing, overlapping
 from ..session import checkpoint, measure
 from ..sources.dumps import parse_dump_names, type_combos as combos
 from .base import AWARDS, awards, query, sql_standardize, table
@@ -97,6 +98,42 @@ def quarter_range_join(spark, folder):
     return rows.select("o_orderkey", F.col("range_start").cast("string").alias("range_start"), F.col("range_end").cast("string").alias("range_end"))
 
 
+# Ranges of all lengths, from none to a month: sign-ups stay open for a time that depends on their id.
+_SQL_OPEN = """open AS (
+  SELECT event_id AS signup_id, ts AS opened, ts + to_microseconds(CASE WHEN event_id % 50 = 0 THEN 2592000000000 ELSE (event_id * event_id % 7200) * 1000000 END) AS closed
+  FROM events WHERE event_type = 'signup')"""
+
+
+def _open(spark, folder):
+    micros = F.when(F.col("event_id") % 50 == 0, F.lit(2592000000000)).otherwise(F.col("event_id") * F.col("event_id") % 7200 * 1000000)
+    return table(spark, folder, "events").where("event_type = 'signup'").select(
+        F.col("event_id").alias("signup_id"), F.col("ts").cast("timestamp").alias("opened"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + micros).alias("closed"))
+
+
+@query(f"""
+WITH {_SQL_OPEN} SELECT signup_id, count(*) AS n, min(event_id) AS first_event, sum(user_id)::BIGINT AS users
+FROM events JOIN open ON ts BETWEEN opened AND closed WHERE event_type = 'purchase' GROUP BY signup_id""")
+def interval_events(spark, folder):
+    """Purchases while a sign-up was open; the ranges overlap."""
+    bought = table(spark, folder, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    pairs = containing(bought, "ts", _open(spark, folder), "opened", "closed")
+    return pairs.groupBy("signup_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.sum("user_id").alias("users"))
+
+
+@query(f"""
+WITH {_SQL_OPEN}, errors AS (
+  SELECT event_id AS error_id, ts AS began, ts + to_microseconds((event_id % 600) * 1000000) AS ended FROM events WHERE event_type = 'error')
+SELECT error_id, count(*) AS n, min(signup_id) AS first_signup, sum(signup_id)::BIGINT AS signups
+FROM errors JOIN open ON began <= closed AND opened <= ended GROUP BY error_id""")
+def interval_overlaps(spark, folder):
+    """Sign-ups that were open at some time of an error."""
+    began = F.col("ts").cast("timestamp")
+    errors = table(spark, folder, "events").where("event_type = 'error'").select(
+        F.col("event_id").alias("error_id"), began.alias("began"), F.timestamp_micros(F.unix_micros(began) + F.col("event_id") % 600 * 1000000).alias("ended"))
+    pairs = overlapping(errors, "began", "ended", _open(spark, folder), "opened", "closed")
+    return pairs.groupBy("error_id").agg(F.count(F.lit(1)).alias("n"), F.min("signup_id").alias("first_signup"), F.sum("signup_id").alias("signups"))
+
+
 def sql_top(column: str, source: str, share: str = "0.2::DOUBLE") -> str:
     """CTEs <column>_top: the most frequent names of a column that already holds standardised names."""
     return f"""{column}_counts AS (
