@@ -6,9 +6,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, encoding
+from ..operators import analysis, encoding, wide
 from ..operators.embed import hashing_embedding as embed
 from ..operators.fusion import FusionModel
+from ..operators.vectors import sparse
 from ..plans.prepare import prepare_labeled
 from ..session import broadcast_if_small, checkpoint
 from ..functions import clean_text
@@ -164,3 +165,65 @@ def pca_2d_absolute(spark, folder):
     """Distance of each vector from the centre along the first two axes, whose directions have no sign."""
     placed = analysis.pca_2d(_vectors(spark, folder))
     return placed.select("vec_id", *[F.round(F.abs(c), 6).alias(c) for c in ("pc1", "pc2")])
+
+
+WORD_COLUMNS = 65_536
+_SQL_WORDS = """words AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER AS col, count(*)::DOUBLE AS x
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents)"""
+
+
+def _word_counts(spark, folder) -> DataFrame:
+    """Documents with the counts of their words in 65,536 hashed columns."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    cells = documents.select("doc_id", F.explode_outer(words).alias("w")).groupBy(
+        "doc_id", F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int").alias("col")).agg(F.count("w").cast("double").alias("x"))
+    rows = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "x")))).alias("c"))
+    return rows.select("doc_id", sparse(WORD_COLUMNS, F.col("c.col"), F.col("c.x")).alias("features"))
+
+
+_POWER_STEPS = 30
+
+
+def _sql_leading(name: str, source: str) -> str:
+    """The largest eigenvalue of a table (a, b, g) and its vector by the power method: <name>_top(value), <name>_axis(a, v)."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT a, sum(abs(g)) * (1 + a % 7) AS v FROM {source} GROUP BY a)"]
+    for k in range(_POWER_STEPS):
+        steps.append(f"{name}_{k}n AS MATERIALIZED (SELECT a, v / sqrt(sum(v * v) OVER ()) AS v FROM {name}_{k})")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT s.a, sum(g * v) AS v FROM {source} s JOIN {name}_{k}n m ON s.b = m.a GROUP BY s.a)")
+    last = _POWER_STEPS
+    steps.append(f"{name}_top AS (SELECT sum(x.v * y.v) AS value FROM {name}_{last} x JOIN {name}_{last - 1}n y USING (a))")
+    steps.append(f"{name}_axis AS MATERIALIZED (SELECT a, v / sqrt(sum(v * v) OVER ()) AS v FROM {name}_{last})")
+    return ", ".join(steps)
+
+
+@query(f"""
+WITH {_SQL_WORDS}, centre AS (SELECT col, sum(x) / n AS m FROM words, n GROUP BY col, n),
+ids AS (SELECT doc_id AS a, coalesce(sum(x * m), 0) AS s FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN centre USING (col) GROUP BY doc_id),
+dots AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.x * q.x) AS d FROM words p JOIN words q USING (col) GROUP BY ALL),
+gram AS MATERIALIZED (SELECT x.a, y.a AS b, coalesce(d, 0) - x.s - y.s + (SELECT sum(m * m) FROM centre) AS g
+  FROM ids x CROSS JOIN ids y LEFT JOIN dots ON dots.a = x.a AND dots.b = y.a),
+{_sql_leading("one", "gram")},
+rest AS MATERIALIZED (SELECT gram.a, gram.b, g - (SELECT value FROM one_top) * x.v * y.v AS g FROM gram JOIN one_axis x ON x.a = gram.a JOIN one_axis y ON y.a = gram.b),
+{_sql_leading("two", "rest")},
+total AS (SELECT sum(g) AS t FROM gram WHERE a = b)
+SELECT 1::INTEGER AS component, round((SELECT value FROM one_top) / t, 7) AS variance_ratio FROM total
+UNION ALL SELECT 2, round((SELECT value FROM two_top) / t, 7) FROM total""")
+def wide_pca(spark, folder):
+    """The first components of 65,536 word columns; the check goes through the products of all documents, where centred vectors have the same ones."""
+    found = wide.variance(_word_counts(spark, folder), k=2)
+    return found.select("component", F.round("variance_ratio", 7).alias("variance_ratio"))
+
+
+@query(f"""
+WITH {_SQL_WORDS}, columns AS MATERIALIZED (SELECT col, sum(x) / n AS m, sqrt(sum(x * x) / n - pow(sum(x) / n, 2)) AS s FROM words, n GROUP BY col, n),
+met AS (SELECT a.col AS i, b.col AS j, sum(a.x * b.x) AS d FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.col < a.col GROUP BY ALL),
+pairs AS (SELECT i, j, (d / n - a.m * b.m) / (a.s * b.s) AS r FROM met, n, columns a, columns b WHERE a.col = i AND b.col = j AND a.s > 0 AND b.s > 0
+  UNION ALL SELECT a.col, b.col, -a.m * b.m / (a.s * b.s) FROM columns a JOIN columns b ON b.col < a.col AND a.m * b.m > 0.9 * a.s * b.s
+    ANTI JOIN met ON met.i = a.col AND met.j = b.col)
+SELECT i, j, round(r, 6) AS r FROM pairs WHERE abs(r) > 0.9000001""")
+def wide_correlation_pairs(spark, folder):
+    """Word columns that go together in whole documents, out of 65,536."""
+    pairs = analysis.correlation_pairs(_word_counts(spark, folder), limit=0.9)
+    return pairs.where(F.abs("r") > 0.9000001).withColumn("r", F.round("r", 6))
