@@ -1,7 +1,7 @@
 """License scans: Aho-Corasick over identifier tags and notice phrases, and a shunting-yard reader of license expressions.
 
 A text's words are lower-cased and joined by one space; one automaton finds all phrases in it, overlaps included, at word
-boundaries. After an identifier tag the expression is read from the text itself up to the end of its line, turned
+boundaries. After an identifier tag the expression is read from the text itself up to the end of its line or of its brackets, turned
 into postfix order by the shunting-yard method (WITH before AND before OR, brackets, ``+``), and evaluated: an
 alternative takes its freer side, a conjunction its stricter side, an exception relaxes copyleft by one step.
 
@@ -120,63 +120,82 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
-def _continues(line: str, at: int) -> bool:
-    """Whether an operator is followed by a license: a bracket, a known name, or one with a digit, hyphen or plus in it."""
-    found = _TOKEN.match(line, at)
-    if not found:
-        return False
-    name = found[1].rstrip(".:").lower()
-    return name == "(" or any(c.isdigit() or c in "-+" for c in name) or strictness(name) < len(TERMS) - 1
-
-
-def _expression(text: str, place: int) -> str:
-    """What follows the place-th tag of a text, up to the end of its line or of its brackets."""
-    tags = list(re.finditer(r"spdx[^a-z0-9\x80-\U0010FFFF]+license[^a-z0-9\x80-\U0010FFFF]+identifier(?![a-z0-9\x80-\U0010FFFF])", text.translate(_CAPITALS)))
-    if place >= len(tags):
-        return ""
-    rest = text[tags[place].end() :].lstrip(": \t")
-    tokens, end, depth, operand = [], 0, 0, True
-    line = re.split(r"[\r\n]", rest, maxsplit=1)[0]
-    while found := _TOKEN.match(line, end):  # words after a whole expression are prose
+#: Identifiers of the SPDX list without digit, hyphen or plus, as they are spelled there, so that prose in small letters is none.
+PLAIN_NAMES = frozenset(
+    "Abstyles Adobe Afmparse Aladdin AMPAS Bahyph Barr Beerware Borceux Caldera ClArtistic Crossword CrystalStacker Cube curl diffmark DOC Dotseqn DSDP "
+    "dvipdfm eGenix Entessa Eurosym Fair FTL Giftware Glide Glulxe gnuplot HPND IBM ICU IJG ImageMagick iMatix Imlib Intel IPA ISC JSON Latex2e Leptonica "
+    "Libpng libtiff MirOS MIT MITNFA Motosoto MTLL Multics Mup NASA Naumen NCSA NetCDF Newsletr NGPL NLPL Nokia Noweb NPOSL NRL NTP Nunit OML "
+    "OpenSSL Plexus PostgreSQL psfrag psutils Qhull Rdisc RSCPL Ruby SAXPath SCEA SendMail SISSL Sleepycat SMLNJ SNIA SWL TCL TMate TOSL Unlicense "
+    "VOSTROM Vim VSL W3C Watcom Wsuipa WTFPL Xerox Xinetd xinetd Xnet xpp XSkat Zed Zlib".split())
+_TAG_TEXT = re.compile(r"(?<![a-z0-9\x80-\U0010FFFF])spdx[\x00-\x2F\x3A-\x60\x7B-\x7F]+license[\x00-\x2F\x3A-\x60\x7B-\x7F]+identifier(?![a-z0-9\x80-\U0010FFFF])")
+_LEAD = re.compile(r"[: \t]*")
+_INNER = re.compile(r"[ \t]*")
+_BETWEEN = re.compile(r"(?:[ \t]*[\r\n]+[ \t]*(?:[#*;%]+|//+|--+)?)?[ \t]*")  # over a line's end, and what marks the next line as a comment
+
+
+def _is_name(token: str) -> bool:
+    """Whether a word after an operator is a license and not prose."""
+    name = token.rstrip(".:")
+    return name in PLAIN_NAMES or any(c.isdigit() or c in "-+" for c in name) or strictness(name.lower()) < len(TERMS) - 1
+
+
+def expression_at(text: str, at: int) -> str:
+    """The license expression that begins at a place of the text, up to the end of its line; while a bracket is open it goes on over line ends."""
+    tokens, depth, operand = [], 0, True
+    at = _LEAD.match(text, at).end()
+    while True:
+        found = _TOKEN.match(text, (_BETWEEN if depth else _INNER).match(text, at).end())
+        if not found or "\n" in found[0] or "\r" in found[0]:
+            break
         token, low = found[1], found[1].lower()
         if token == ")" and (operand or not depth) or token == "(" and not operand or low in _PRECEDENCE and operand:
             break
-        if token not in "()" and low not in _PRECEDENCE and not operand:
-            break
-        if low in _PRECEDENCE and not _continues(line, found.end()):
+        if token not in "()" and low not in _PRECEDENCE and not operand:  # words after a whole expression are prose
             break
+        if low in _PRECEDENCE:
+            after = _TOKEN.match(text, (_BETWEEN if depth else _INNER).match(text, found.end()).end())
+            if not after or not depth and ("\n" in after[0] or "\r" in after[0]) or after[1] != "(" and not _is_name(after[1]):
+                break
         depth += (token == "(") - (token == ")")
         operand = token == "(" or low in _PRECEDENCE
         # a sentence's full stop or colon does not belong to an identifier
         tokens.append(token.rstrip(".:"))
-        end = found.end()
+        at = found.end()
     return " ".join(tokens)
 
 
 def scan_text(text: str) -> dict:
-    """What a text says about its license."""
-    plain = _NOT_WORD.sub(" ", text.translate(_CAPITALS)).strip()
+    """What a text says about its license, in one pass: words and text places are counted on from hit to hit."""
+    low = text.translate(_CAPITALS)
+    plain = _NOT_WORD.sub(" ", low).strip()
     count = plain.count(" ") + 1 if plain else 0
     joined = f" {plain} "
-    base, notices, labels, starts, strict, score, tags = set(), set(), set(), [], [], 0.0, 0
+    tags = _TAG_TEXT.finditer(low)  # the same places as the automaton's, in the same order: both keep to word boundaries
+    base, notices, labels, strict, score = set(), set(), set(), [], 0.0
+    n_base, first, last, seen, words = 0, None, None, 0, 0
     for end, phrase in automaton().iter(joined) if plain else ():
         if phrase in BASE:
-            starts.append(joined.count(" ", 0, end - len(phrase)) - 1)
+            begin = end - len(phrase)  # of the phrase's first word
+            # phrases end in order but may begin in any: step back as well as on
+            words += joined.count(" ", seen, begin) if begin >= seen else -joined.count(" ", begin, seen)
+            seen = begin
+            n_base += 1
+            place = words - 1
+            first, last = (place, place) if first is None else (min(first, place), max(last, place))
             base.add(BASE[phrase])
             score = max(score, 0.6)
         if phrase in NOTICES:
             notices.add(NOTICES[phrase])
             score = max(score, 0.8)
         if phrase == TAG:
-            found = evaluate(_expression(text, tags))
-            tags += 1
+            found = evaluate(expression_at(text, next(tags).end()))
             score = max(score, 0.3 if found is None else 1.0)
             if found:
                 labels |= found[0]
                 strict.append(found[1])
     strict += map(strictness, base | notices)
     return {
-        "n_words": count, "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
+        "n_words": count, "n_base": n_base, "first_word": first, "last_word": last,
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | notices | labels)), "terms": TERMS[max(strict)] if strict else None, "score": score,
     }
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -53,6 +54,15 @@ def test_decontamination_removes(spark):
     assert cut[0] == "Before, ! After it." and cut[1] == "clean words only" and cut[2] is None and "Item" not in cut[3]
 
 
+def test_decontamination_items_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, text), (None, "only here"), ("a", text[3:]), ("a", None)], "item_id string, text string")
+    docs = documents(spark, ["x " + text, "so only here it is", "clean words"])
+    rows = decontaminate.flagged(decontaminate.scan_documents(spark, docs, bench)).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.hit_items, r.contaminated) for r in rows] == [(20, ["a"], True), (2, [], True), (0, [], False)]
+    assert [r.text for r in decontaminate.remove_documents(spark, docs, bench).collect()] == ["clean words"]
+
+
 def test_decontamination_awkward(spark):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     df = awkward(spark)
@@ -119,6 +129,53 @@ def test_license_tags():
     assert licenses.scan_text("accby bcc by-x cc bye")["n_base"] == 0 and licenses.scan_text("x CC--by.")["n_base"] == 1
 
 
+@pytest.mark.parametrize(("text", "labels", "score"), [
+    ("myspdx-license-identifier: MIT\nSPDX-License-Identifier: GPL-3.0", "gpl-3.0", 1.0),
+    ("SPDX-License-Identifier: (MIT OR\nApache-2.0)", "apache-2.0,mit", 1.0),
+    ("// SPDX-License-Identifier: (MIT AND\r\n//   (Zlib OR\n * BSD-3-Clause)) text", "bsd-3-clause,mit,zlib", 1.0),
+    ("SPDX-License-Identifier: MIT OR Ruby", "mit,ruby", 1.0), ("SPDX-License-Identifier: MIT AND Sleepycat.", "mit,sleepycat", 1.0),
+    ("SPDX-License-Identifier: Apache-2.0 OR PostgreSQL\nmore", "apache-2.0,postgresql", 1.0),
+    ("SPDX-License-Identifier: MIT or fair use of it", "mit", 1.0), ("SPDX-License-Identifier: MIT OR\nApache-2.0", "mit", 1.0),
+    ("SPDX-License-Identifier:\nMIT", "", 0.3), ("SPDX-License-Identifier: (MIT", "", 0.3), ("SPDX-License-Identifier: (MIT\n\n\n", "", 0.3),
+    ("SPDX-License-Identifierx: MIT spdx license identifier ISC", "isc", 1.0),
+])
+def test_license_tag_places(text, labels, score):
+    found = licenses.scan_text(text)
+    assert (found["labels"], found["score"]) == (labels, score)
+
+
+def test_license_expressions_drawn():
+    """Random expressions, broken over lines inside brackets, against truth values: an expression names exactly what it was made of."""
+    rng = np.random.default_rng(4)
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "Ruby", "Zlib", "LGPL-2.1+", "ISC"]
+
+    def draw(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = names[rng.integers(len(names))]
+            return name, {name.lower()}, licenses.strictness(name.lower())
+        (a, left, x), (b, right, y) = draw(depth - 1), draw(depth - 1)
+        word, strict = ("OR", min(x, y)) if rng.random() < 0.5 else ("and", max(x, y))
+        gap = "\n # " if rng.random() < 0.5 else " "
+        return f"({a} {word}{gap}{b})", left | right, strict
+
+    for _ in range(200):
+        text, found, strict = draw(3)
+        got = licenses.scan_text(f"word\nSPDX-License-Identifier: {text}\nThe end or not")
+        assert got["labels"] == ",".join(sorted(found)) and got["terms"] == licenses.TERMS[strict] and got["score"] == 1.0
+
+
+def test_license_long_text():
+    """Twice the tags and notices take about twice as long, not four times."""
+    def seconds(n):
+        start = time.process_time()
+        found = licenses.scan_text("SPDX-License-Identifier: MIT\ncc by\n" * n)
+        assert found["n_base"] == n and found["last_word"] == 6 * n - 2 and found["first_word"] == 4
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+
+
 def test_license_base_against_python(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     rows += awkward(spark).select("doc_id", "text").collect()
