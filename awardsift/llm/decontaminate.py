@@ -7,8 +7,8 @@ map, then in the sorted hashes, and each hit is verified word by word before it
 The benchmark is measured: up to ``BLOCK_BYTES`` of text go into one broadcast, a larger benchmark is cut into
 blocks of whole items that are scanned one after another in the same pass over the documents, without a shuffle.
 
-Defined results: null or empty texts have no words and are clean; items without an id are ignored, repeated items
-count once; an empty benchmark hits nothing; repeated documents each get their own row.
+Defined results: null or empty texts have no words and are clean; the windows of items without an
+id hit like all others, only ``hit_items`` does not name them; repeated items count once; an empty benchmark hits nothing; repeated documents each get their own row.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SHARE = 20
 class Grams:
     """All windows of some benchmark items: exact texts by item, hashes by length, and a byte map for quick misses."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.window, self.owners, by_length = window, {}, {}
         for item, text in items:
             data = np.frombuffer(text, np.uint8)
@@ -44,7 +44,7 @@ class Grams:
             by_length.setdefault(n, []).append(hashes)
             spelled = spell(found)
             for i in at:
-                self.owners.setdefault(b" ".join(spelled[i : i + n]), set()).add(item)
+                self.owners.setdefault(b" ".join(spelled[i : i + n]), set()).update(() if item is None else (item,))
         self.hashes = {n: np.unique(np.concatenate(h)) for n, h in sorted(by_length.items())}
         self.bits = {n: max(16, int(len(h) * 16).bit_length()) for n, h in self.hashes.items()}
         self.maps = {}
@@ -64,7 +64,7 @@ class Grams:
             place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             for i in at[known[place] == hashes]:
                 owners = self.owners.get(b" ".join(spell(found, int(i), int(i) + n)))
-                if owners:
+                if owners is not None:
                     yield int(i), n, owners
 
 
@@ -74,9 +74,9 @@ def spell(found: Words, begin: int = 0, end: int | None = None) -> list[bytes]:
     return [found.data[a:b].tobytes().translate(LOWER) for a, b in pairs]
 
 
-def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes]]]:
     """Whole items in blocks of about ``limit`` bytes; each block is fetched on its own."""
-    items = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select(
+    items = only(benchmark, "item_id", "text").where("text IS NOT NULL").select(
         F.col("item_id").cast("string").alias("item"), "text")
     volume = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
     count = max(1, -(-int(volume) // (limit // 2)))
@@ -185,7 +185,7 @@ def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 @query(sql=rf"""
 WITH d AS (SELECT doc_id, {SQL_ALNUM.format("text")} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {SQL_ALNUM.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {SQL_ALNUM.format("text")} AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
       FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT n FROM g),
@@ -194,7 +194,7 @@ x AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
 h AS (SELECT doc_id, i, x.n, item_id FROM x JOIN g USING (gram) WHERE x.n = g.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
 own AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""")
