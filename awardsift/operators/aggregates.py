@@ -186,11 +186,17 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return filled.select("bin", (low + F.col("bin") * width).alias("bin_start"), (low + (F.col("bin") + 1) * width).alias("bin_end"), "n")
 
 
+# Bins of the density in one bandwidth, and the highest power that is kept of each.
+BINS_PER_WIDTH = 8
+ORDER = 8
+
+
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density at equally spaced points from minimum to maximum, Scott's bandwidth.
 
-    Range and bandwidth are fetched first. Tasks then add up the kernels of their rows at every point, a block of rows at
-    a time, and send one row per point.
+    Range and bandwidth are fetched first. Rows are then summed up by narrow bins, each with the powers of its rows' distances from the middle
+    of the bin up to ``ORDER`` (a fast Gauss transform), and only the bins that hold rows meet the points: the cost is rows + bins x points.
+    A row's kernel is off by less than (1 / (2 * BINS_PER_WIDTH)) ** (ORDER + 1) / sqrt((ORDER + 1)!), some 3e-14.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     low, high, n, spread = values.agg(F.min("x"), F.max("x"), F.count(F.lit(1)), F.stddev_samp("x")).first()
@@ -199,21 +205,35 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         return grid.select("i", F.lit(low).cast("double").alias("point"), F.lit(None).cast("double").alias("density"))
     width, step = spread * n**-0.2, (high - low) / (points - 1)
     ship_package(df.sparkSession)
-    sums = values.mapInArrow(kernel_sums(low, step, width, points), "i int, s double")
+    wide = width / BINS_PER_WIDTH
+    place = F.floor((F.col("x") - F.lit(low)) / F.lit(wide)).alias("bin")
+    off = (F.col("x") - F.lit(low) - (F.col("bin") + 0.5) * F.lit(wide)) / F.lit(width)
+    powers, power = [], F.lit(1.0)
+    for k in range(ORDER + 1):
+        powers.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("u")
+    bins = values.select("x", place).select("bin", off.alias("u")).groupBy("bin").agg(*powers)
+    sums = bins.mapInArrow(kernel_sums(low, wide, step, width, points), "i int, s double")
     filled = sums.union(grid.select("i", F.lit(0.0))).groupBy("i").agg(F.sum("s").alias("s"))
     scale = n * width * (2 * math.pi) ** 0.5
     return filled.select("i", (F.lit(low) + F.col("i") * F.lit(step)).alias("point"), (F.col("s") / F.lit(scale)).alias("density"))
 
 
-def kernel_sums(low: float, step: float, width: float, points: int, block: int = 4096):
+def kernel_sums(low: float, wide: float, step: float, width: float, points: int, block: int = 1024):
+    """Every bin's kernels at every point: exp(-d * d / 2) times the sum of its powers with Hermite polynomials of the distance d."""
     def add(batches):
         place = low + np.arange(points) * step
         total, seen = np.zeros(points), False
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(x), block):
-                distance = (place[None, :] - x[at : at + block, None]) / width
-                total, seen = total + np.exp(-0.5 * distance * distance).sum(axis=0), True
+            every = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, block):
+                middle, *sums = (c[at : at + block, None] for c in every)
+                d = (place[None, :] - (low + (middle + 0.5) * wide)) / width
+                before, now, series, factor = np.zeros_like(d), np.ones_like(d), np.zeros_like(d), 1.0
+                for k, m in enumerate(sums):
+                    series += m / factor * now
+                    before, now, factor = now, d * now - k * before, factor * (k + 1)
+                total, seen = total + (np.exp(-0.5 * d * d) * series).sum(axis=0), True
         if seen:
             yield pa.RecordBatch.from_pydict({"i": pa.array(range(points), pa.int32()), "s": pa.array(total)})
     return add

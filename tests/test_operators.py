@@ -345,3 +345,15 @@ def test_joined_vectors(spark):
     assert got[1] == Vectors.sparse(8, [0, 2, 3, 6], [1.0, 3.0, 0.5, 5.0]) and got[2] == Vectors.sparse(8, [], [])
     one = spark.createDataFrame([(0,), (2,), (3,), (None,)], "s int").select("s", vectors.as_vector(vectors.single(F.col("s"), 3)).alias("v"))
     assert {r["s"]: r["v"].toArray().tolist() for r in one.collect()} == {0: [1, 0, 0], 2: [0, 0, 1], 3: [0, 0, 0], None: [0, 0, 0]}
+
+
+@pytest.mark.parametrize("draw", [lambda g: g.normal(size=5000), lambda g: g.standard_cauchy(2000), lambda g: np.r_[np.zeros(500), 1.0], lambda g: g.random(3)])
+def test_density_against_all_kernels(spark, draw):
+    """Far outliers, one value many times, and few rows: as the sum over all rows, to rounding."""
+    x = draw(np.random.default_rng(2))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(3)
+    found = aggregates.density(df, "x", 50).orderBy("i").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    points = np.linspace(x.min(), x.max(), 50)
+    exact = np.exp(-0.5 * ((points[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r.point for r in found], points) and np.allclose([r.density for r in found], exact, atol=1e-11 * exact.max(), rtol=1e-9)
