@@ -15,6 +15,7 @@ from ..operators.explain import importance
 from ..operators.explain import shap_summary as summary
 from ..operators.explain import shap_values as explain
 from ..operators.ranks import percentile
+from ..operators.vectors import dense
 from ..plans.prepare import prepare_labeled
 from ..plans.similarity import AwardModel
 from ..session import checkpoint
@@ -50,6 +51,15 @@ def forest_score_fixed(spark, folder):
     return rows.select("vec_id", F.round(op.score_from_path(path, 16), 9).alias("raw"))
 
 
+@query(f"WITH {SQL_FOREST} SELECT vec_id, round(raw, 9) AS raw FROM raw")
+def forest_score_columns(spark, folder):
+    """The same scores from column functions alone: the plan holds no Python worker."""
+    arrays = op.ForestArrays.collect(spark.createDataFrame(SMALL_FOREST, schema.FOREST))
+    rows = table(spark, folder, "embeddings").select("vec_id", dense(F.col("embedding")).alias("features"))
+    walked = op.with_mean_path(rows, arrays, F.col("features"), "path")
+    return walked.select("vec_id", F.round(op.score_from_path(F.col("path"), 16), 9).alias("raw"))
+
+
 # Every leaf of the small forest with the conditions on its path: tree, leaf, path length; and per condition the feature, the split,
 # whether it is the left side, and the share of the sample that went there.
 def _leaves() -> tuple[list[tuple], list[tuple]]:

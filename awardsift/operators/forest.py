@@ -240,6 +240,38 @@ def mean_path_length(spark: SparkSession, forest: ForestArrays, features: Column
     return walk(F.unwrap_udt(features) if wrapped else features)
 
 
+def with_mean_path(df: DataFrame, forest: ForestArrays, struct: Column, out: str) -> DataFrame:
+    """Add the mean path length of a bare vector struct with column functions alone, no Python worker.
+
+    The forest is one broadcast row beside every row, bounded by trees and ``max_samples``. For clusters whose tasks have no
+    Python, and for vectors with few values: higher-order functions are interpreted, so large forests walk faster in ``mean_path_length``.
+    """
+    trees = [{"feature": f.tolist(), "split": s.tolist(), "left": left.tolist(), "right": right.tolist(), "path": p.tolist()} for f, s, left, right, p in zip(
+        forest.feature, forest.split, forest.left, forest.right, forest.path)]
+    kind = "trees array<struct<feature: array<int>, split: array<double>, left: array<int>, right: array<int>, path: array<double>>>, used array<int>"
+    one = df.sparkSession.createDataFrame([(trees, forest.columns.tolist())], kind).select(F.struct("trees", "used").alias("_forest"))
+    found = F.col("_forest")
+    values, steps = struct["values"], F.sequence(F.lit(1), F.lit(max(forest.depth, 1)))
+
+    def value(column: Column) -> Column:
+        at = F.when(struct["type"] == 1, column).otherwise(F.array_position(struct["indices"], column).cast("int") - 1)
+        return F.coalesce(F.get(values, at), F.lit(0.0))
+
+    def walk(x: Column) -> Column:
+        def down(tree: Column) -> Column:
+            def step(node: Column, _: Column) -> Column:
+                below = F.coalesce(F.get(x, F.get(tree["feature"], node)), F.lit(0.0)) <= F.get(tree["split"], node)
+                return F.when(below, F.get(tree["left"], node)).otherwise(F.get(tree["right"], node))
+
+            return F.get(tree["path"], F.aggregate(steps, F.lit(0), step))
+
+        return F.aggregate(found["trees"], F.lit(0.0), lambda total, tree: total + down(tree)) / F.lit(float(len(trees)))
+
+    # bound to a name by the outer function, so that the used values of a row are looked up once
+    path = F.get(F.transform(F.array(F.transform(found["used"], value)), walk), 0)
+    return df.crossJoin(F.broadcast(one)).withColumn(out, path).drop("_forest")
+
+
 def score_from_path(path: Column, samples: int, offset: float = 0.0) -> Column:
     """-2^(-path / c(samples)) - offset; higher means deeper, hence more like the sample."""
     return -F.pow(F.lit(2.0), -path / F.lit(average_path(samples) or 1.0)) - F.lit(float(offset))
@@ -286,8 +318,13 @@ class IsolationForestModel:
         threshold = percentile(raw.select((F.col("raw") - F.lit(offset)).alias("score")), "score", REVIEW_SHARE)
         return cls(nodes, samples, offset, threshold, arrays)
 
-    def score(self, df: DataFrame, features: str = "features", out: str = "anomaly_score") -> DataFrame:
-        path = mean_path_length(df.sparkSession, self.arrays, parts(df, features), wrapped=False)
+    def score(self, df: DataFrame, features: str = "features", out: str = "anomaly_score", python: bool = True) -> DataFrame:
+        """Add the score; without ``python`` the trees are walked by column functions."""
+        struct = parts(df, features)
+        if not python:
+            walked = with_mean_path(df, self.arrays, struct, "_path")
+            return walked.withColumn(out, score_from_path(F.col("_path"), self.samples, self.offset)).drop("_path")
+        path = mean_path_length(df.sparkSession, self.arrays, struct, wrapped=False)
         return df.withColumn(out, score_from_path(path, self.samples, self.offset))
 
     def flags(self, scored: DataFrame, threshold: float | None = None, score: str = "anomaly_score") -> DataFrame:

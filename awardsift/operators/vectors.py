@@ -25,6 +25,11 @@ def sparse(size: int | Column, indices: Column, values: Column) -> Column:
     return F.struct(F.lit(0).alias("type"), whole.alias("size"), indices.alias("indices"), values.alias("values")).cast(PARTS)
 
 
+def dense(values: Column) -> Column:
+    nothing = F.lit(None).cast("int")
+    return F.struct(F.lit(1).alias("type"), nothing.alias("size"), F.lit(None).cast("array<int>").alias("indices"), values.alias("values")).cast(PARTS)
+
+
 def single(slot: Column, size: int) -> Column:
     """1 in one slot; zeros everywhere if the slot is null or beyond the size."""
     known = F.coalesce(slot < size, F.lit(False))

@@ -279,3 +279,19 @@ def test_importance_is_that_of_the_long_table(spark, model, x, monkeypatch):
     short = explain.importance(model, rows, names, 4).collect()
     assert [(r["feature"], r["name"]) for r in long] == [(r["feature"], r["name"]) for r in short]
     assert [r["mean_abs_phi"] for r in long] == pytest.approx([r["mean_abs_phi"] for r in short])
+
+
+def test_columns_walk_like_the_workers(spark):
+    """Sparse and dense vectors through a fitted forest, in Python workers and in the JVM."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 12)) * (rng.random((90, 12)) < 0.5)
+    rows = [(i, Vectors.dense(v) if i % 2 else Vectors.sparse(12, {int(j): float(v[j]) for j in np.flatnonzero(v)})) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    model = forest.IsolationForestModel.fit(df, n_estimators=8, max_samples=32)
+    columns = model.score(df, python=False)
+    plan = columns._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    ours = {r.id: r.anomaly_score for r in columns.collect()}
+    assert all(abs(ours[r.id] - r.anomaly_score) < 1e-9 for r in model.score(df).collect()) and len(ours) == 90
+    one = forest.IsolationForestModel.fit(df.limit(1), n_estimators=2)  # trees of a single leaf
+    assert {r.anomaly_score for r in one.score(df, python=False).collect()} == {r.anomaly_score for r in one.score(df).collect()}
