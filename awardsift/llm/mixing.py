@@ -1,19 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-Documents fall into cells of source class, language class and topic class. The cells' token weights are raked to the
-three target marginals in turn, and no cell may ever get more weight than its tokens allow when a share ``KEEP`` of all
-tokens is to be kept. A cell's calibrated probability is its raked weight over its share of the tokens, and each document is
-kept with that probability by a hash of its id. The kept tokens then have the target marginals, up to sampling; where a
-class has fewer tokens than its target asks for, it gives all it has and others fill up.
-
-Where a marginal's target is a table, its classes are those it names plus ``other``, so the number of cells is bounded by
-the parameters whatever the data hold. Where it is a power, every value is a class of its own and its target is its token sum
-to that power, whatever the values are called: 1 leaves the shares as they are, 0 makes all equal. Cells then number as many as
-the values that occur. Only cells meet in one task; they are broadcast unless there are very many. Classes without tokens give
-up their target in proportion to the rest.
-
-Defined results: null or unnamed sources and languages are ``other``; texts without words (null, empty) carry no
-weight, have probability 0 and are not kept; repeated rows share their fate; an empty table gives an empty table.
+Documents fall into cells of source, language and topic. The cells' token weights are raked to the three target marginals in
+turn, and no cell may ever get more weight than its tokens allow when a share ``KEEP`` of all tokens is to be kept. A
+cell's calibrated probability is its raked weight over its share of the tokens, and each document is kept with that probability
+by a hash of its id. The kept tokens then have the target marginals, up to sampling.
+
+A marginal's target is a power or a table. With a power every value is a class of its own and its target is its token sum to that
+power, whatever the values are called: 1 leaves the shares as they are, 0 makes all equal. With a table the classes are those it
+names plus ``other``; a class that it leaves out gets nothing. Where a class has fewer tokens than its target asks for, it gives all it
+has, and the other classes of the marginal fill up in proportion to their targets (``shares``).
+
+Up to ``FEW`` cells are raked in one task. Beyond, each step sums the weights of a marginal's classes and joins the sums with
+the cells, both as tables; the results agree up to rounding in the last digits.
+
+Defined results: null sources and languages are ``other``; texts without words (null, empty) carry no weight, have
+probability 0 and are not kept; repeated rows share their fate; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,14 +31,10 @@ SWEEPS = 12
 #: Share of all tokens to keep.
 KEEP = 0.7
 SEED = "mix-1"
-#: Target shares of tokens by marginal.
-TARGETS = {
-    "source": {"src0": 0.28, OTHER: 0.72},
-    "lang": {"en": 0.54, "de": 0.17, "fr": 0.16, "es": 0.12, OTHER: 0.01},
-    "topic": {"prose": 0.96, "lists": 0.0001, "figures": 0.0009, "marked": 0.039},
-}
-#: Targets that name no class: every source, language and topic by the root of its tokens.
+#: Every source, language and topic by the root of its tokens, halfway between their own shares and equal ones.
 TEMPERED = {"source": 0.5, "lang": 0.5, "topic": 0.5}
+#: Most cells that one task rakes.
+FEW = 100_000
 Targets = dict[str, dict[str, float] | float]
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Topic by the form of a text: symbols per word, digits per word, words per line.
@@ -69,29 +66,56 @@ def classes(docs: DataFrame, targets: Targets) -> DataFrame:
     return counted.withColumns({"_source": named("source"), "_lang": named("lang"), "_topic": topic()})
 
 
-def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
+def shares(cells: DataFrame, name: str, target: dict[str, float] | float, total: int) -> DataFrame:
+    """``name``, ``t<name>``: what each class is to get, at most what it has, 1 in all.
+
+    Targets are raised by one common factor until those that are not held back by their tokens make up for those that are. Each
+    round is one sum over the classes and a Newton step for the factor, which only grows.
+    """
+    wanted = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"))
+    if isinstance(target, dict):
+        raw = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col(name)), F.lit(0.0))
+    else:
+        raw = F.pow(F.col("tokens").cast("double"), F.lit(float(target)))
+    most = F.col("tokens").cast("double") / F.lit(float(total)) / F.lit(KEEP)
+    wanted = store(wanted.select(name, raw.alias("t"), most.alias("all")))
+    factor, seen = 0.0, -1
+    while True:
+        held = F.col("t") * factor >= F.col("all")
+        n, given, rest = wanted.agg(F.count_if(held), F.sum(F.when(held, F.col("all"))), F.sum(F.when(~held, F.col("t")))).first()
+        if n == seen or not rest:
+            break
+        factor, seen = (1 - (given or 0.0)) / rest, n
+    return wanted.select(name, F.least(F.col("t") * factor, F.col("all")).alias(f"t{name}"))
+
+
+def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS, few: int = FEW) -> DataFrame:
     """Cells (class columns, ``tokens``) with ``probability``; cells without tokens are left out."""
-    one = cells.where("tokens > 0").coalesce(1)  # as many rows as class combinations at most: every window stays in this task
-    share = F.col("tokens").cast("double") / F.sum("tokens").over(W.partitionBy())
-    raked = one.withColumn("w", share).withColumn("most", F.col("w") / F.lit(KEEP))
-    marginals = {f"_{name}": shares for name, shares in targets.items()}
-    for name, shares in marginals.items():
-        if isinstance(shares, dict):
-            target = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(name))
-        else:
-            target = F.pow(F.sum("tokens").over(W.partitionBy(name)).cast("double"), F.lit(float(shares)))
-        raked = raked.withColumn(f"t{name}", target)
-        # shares of classes that are present, scaled to 1: each class counts once, by its first cell
-        first = F.row_number().over(W.partitionBy(name).orderBy(*marginals)) == 1
-        raked = raked.withColumn("_one", F.when(first, F.col(f"t{name}")))
-        raked = raked.withColumn(f"t{name}", F.col(f"t{name}") / F.sum("_one").over(W.partitionBy())).drop("_one")
+    cells = store(cells.where("tokens > 0"))
+    n, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    marginals = [f"_{name}" for name in targets]
+    share = F.col("tokens").cast("double") / F.lit(float(total or 1))
+    raked = cells.select(*marginals, share.alias("w"), (share / F.lit(KEEP)).alias("most"))
+    if n <= few:
+        raked = raked.coalesce(1)  # every window stays in this task
+    for name, target in targets.items():
+        raked = raked.join(broadcast_if_small(shares(cells, f"_{name}", target, total or 1)), f"_{name}")
+
+    def step(sums: Column, name: str) -> Column:
+        return F.least(F.coalesce(F.try_divide(F.col("w") * F.col(f"t{name}"), sums), F.lit(0.0)), F.col("most"))
+
     for _ in range(sweeps):
         for name in marginals:
-            raked = raked.withColumn("w", F.least(F.col("w") * F.col(f"t{name}") / F.sum("w").over(W.partitionBy(name)), F.col("most")))
+            if n <= few:
+                raked = raked.withColumn("w", step(F.sum("w").over(W.partitionBy(name)), name))
+            else:
+                raked = store(raked)
+                sums = broadcast_if_small(store(raked.groupBy(name).agg(F.sum("w").alias("_sum"))))
+                raked = raked.join(sums, name).withColumn("w", step(F.col("_sum"), name)).drop("_sum")
     return raked.select(*marginals, (F.col("w") / F.col("most")).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: Targets = TARGETS, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = TEMPERED, sweeps: int = SWEEPS, seed: str = SEED, few: int = FEW) -> DataFrame:
     """Documents with ``n_tokens``, ``source_class``, ``lang_class``, ``topic``, ``probability`` and ``kept``; other columns stay.
 
     Two passes over the texts: one sums tokens by cell, one looks up each document's cell.
@@ -99,11 +123,7 @@ def mix(docs: DataFrame, targets: Targets = TARGETS, sweeps: int = SWEEPS, seed:
     docs = docs.drop("n_tokens", "source_class", "lang_class", "topic", "probability", "kept")
     classed = classes(docs, targets)
     cells = classed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    raked = rake(cells, targets, sweeps)
-    if all(isinstance(shares, dict) for shares in targets.values()):
-        raked = F.broadcast(raked)
-    else:  # as many cells as values occur
-        raked = broadcast_if_small(store(raked))
+    raked = broadcast_if_small(store(rake(cells, targets, sweeps, few)))
     found = classed.join(raked, ["_source", "_lang", "_topic"], "left")
     chance = F.when(F.col("_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
@@ -113,7 +133,7 @@ def mix(docs: DataFrame, targets: Targets = TARGETS, sweeps: int = SWEEPS, seed:
     )
 
 
-def sample(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
+def sample(docs: DataFrame, targets: Targets = TEMPERED) -> DataFrame:
     """The kept documents, with their own columns."""
     flagged = mix(docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(docs.columns)],
                               *[F.col(c) for c in ("doc_id", "text", "source", "lang")]), targets)
@@ -121,28 +141,28 @@ def sample(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
 
 
 def _sql() -> str:
-    def case(column: str) -> str:
-        return f"CASE WHEN {column} IN ({', '.join(repr(x) for x in TARGETS[column])}) THEN {column} ELSE '{OTHER}' END"
-
-    def share(name: str) -> str:
-        return f"CASE _{name} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TARGETS[name].items()) + " END"
-
     count = "len(regexp_extract_all({0}, '{1}'))"
-    steps, last = [], "s0"
+    wanted, steps, last = [], [], "s0"
+    for name, power in TEMPERED.items():
+        up = f"(ORDER BY own / t, _{name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        down = f"(ORDER BY own / t, _{name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        wanted.append(f"""
+a_{name} AS (SELECT _{name}, sum(tokens) / (SELECT sum(tokens) FROM cells) / {KEEP}::DOUBLE AS own, pow(sum(tokens), {power}::DOUBLE) AS t FROM cells GROUP BY ALL),
+b_{name} AS MATERIALIZED (SELECT *, own * sum(t) OVER {down} <= t * (1 - coalesce(sum(own) OVER {up}, 0)) AS held FROM a_{name}),
+w_{name} AS MATERIALIZED (SELECT _{name}, least(own, t * (SELECT (1 - coalesce(sum(own) FILTER (held), 0)) / sum(t) FILTER (NOT held) FROM b_{name})) AS t_{name} FROM b_{name}),""")
     for k in range(SWEEPS * 3):
-        name = list(TARGETS)[k % 3]
+        name = list(TEMPERED)[k % 3]
         steps.append(f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(w * t_{name} / sum(w) OVER (PARTITION BY _{name}), most) AS w) FROM {last})")
         last = f"s{k + 1}"
-    present = ", ".join(
-        f"({share(n)}) / (SELECT sum(DISTINCT_SHARE.v) FROM (SELECT DISTINCT _{n}, {share(n)} AS v FROM cells) AS DISTINCT_SHARE) AS t_{n}" for n in TARGETS)
     return rf"""
 WITH raw AS (SELECT doc_id, coalesce(text, '') AS x, source, lang FROM documents),
 counted AS (SELECT *, len({SQL_SPACED.format("x")})::BIGINT AS n FROM raw),
-classed AS (SELECT doc_id, n, {case("source")} AS _source, {case("lang")} AS _lang,
+classed AS (SELECT doc_id, n, coalesce(source, '{OTHER}') AS _source, coalesce(lang, '{OTHER}') AS _lang,
   CASE WHEN {count.format("x", "[#*$%&|<>{}]")} * {_MARKED} > n THEN 'marked' WHEN {count.format("x", "[0-9]")} * {_FIGURES} > n THEN 'figures'
        WHEN n < ({count.format("x", chr(92) + "n")} + 1) * {_LISTS} THEN 'lists' ELSE 'prose' END AS _topic FROM counted),
-cells AS MATERIALIZED (SELECT _source, _lang, _topic, sum(n)::DOUBLE AS tokens FROM classed GROUP BY ALL HAVING sum(n) > 0),
-s0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w, tokens / sum(tokens) OVER () / {KEEP}::DOUBLE AS most, {present} FROM cells),
+cells AS MATERIALIZED (SELECT _source, _lang, _topic, sum(n)::DOUBLE AS tokens FROM classed GROUP BY ALL HAVING sum(n) > 0),{"".join(wanted)}
+s0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w, tokens / sum(tokens) OVER () / {KEEP}::DOUBLE AS most
+  FROM cells JOIN w_source USING (_source) JOIN w_lang USING (_lang) JOIN w_topic USING (_topic)),
 {", ".join(steps)},
 p AS (SELECT _source, _lang, _topic, w / most AS probability FROM {last}),
 found AS (SELECT *, CASE WHEN n > 0 THEN coalesce(probability, 0) ELSE 0 END AS chance FROM classed LEFT JOIN p USING (_source, _lang, _topic))

@@ -76,26 +76,38 @@ def decontaminated_by_hand(rows, items):
     return kept
 
 
+def filled_by_hand(targets, supply):
+    """Shares in proportion to the targets, none above its supply, 1 in all: classes that run dry first are served first."""
+    out, left, rest = {}, 1.0, sum(targets.values())
+    for c in sorted(targets, key=lambda c: supply[c] / targets[c]):
+        out[c] = min(supply[c], left * targets[c] / rest)
+        left, rest = left - out[c], rest - targets[c]
+    return out
+
+
 def mixed_by_hand(rows):
     def cell(text, lang, source):
         t, n = text or "", len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
         symbols, digits, breaks = len(re.findall(r"[#*$%&|<>{}]", t)), len(re.findall("[0-9]", t)), t.count("\n")
         topic = "marked" if symbols * 5 > n else "figures" if digits * 4 > n else "lists" if n < (breaks + 1) * 6 else "prose"
-        named = [x if x in mixing.TARGETS[k] else "other" for k, x in (("source", source), ("lang", lang))]
-        return (*named, topic), n
+        return (source or "other", lang or "other", topic), n
     cells = Counter()
     for _, text, lang, source in rows:
         key, n = cell(text, lang, source)
         cells[key] += n
     cells = {k: v for k, v in cells.items() if v}
     total = sum(cells.values())
+    wanted = []
+    for at, power in enumerate(mixing.TEMPERED.values()):
+        own = Counter()
+        for k, v in cells.items():
+            own[k[at]] += v
+        wanted.append(filled_by_hand({c: v**power for c, v in own.items()}, {c: v / total / mixing.KEEP for c, v in own.items()}))
     weight = {k: v / total for k, v in cells.items()}
     for _ in range(mixing.SWEEPS):
-        for at, name in enumerate(mixing.TARGETS):
-            present = {k[at] for k in cells}
-            scale = sum(mixing.TARGETS[name][c] for c in present)
-            sums = {c: sum(w for k, w in weight.items() if k[at] == c) for c in present}
-            weight = {k: min(w * mixing.TARGETS[name][k[at]] / scale / sums[k[at]], cells[k] / total / mixing.KEEP) for k, w in weight.items()}
+        for at, target in enumerate(wanted):
+            sums = {c: sum(w for k, w in weight.items() if k[at] == c) for c in target}
+            weight = {k: min(w * target[k[at]] / sums[k[at]], cells[k] / total / mixing.KEEP) for k, w in weight.items()}
     kept = []
     for row in rows:
         key, n = cell(*row[1:])

@@ -320,7 +320,7 @@ def test_pages_awkward(spark):
 
 def test_mixing_reaches_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    scarce = mixing.mix(docs).selectExpr("n_tokens * probability AS w", "n_tokens", "probability").collect()  # too little of src0
+    scarce = mixing.mix(docs).selectExpr("n_tokens * probability AS w", "n_tokens", "probability").collect()  # too little of rare topics
     assert all(0 <= r.probability <= 1 for r in scarce) and sum(r.w for r in scarce) == pytest.approx(mixing.KEEP * sum(r.n_tokens for r in scarce), rel=0.03)
     targets = {"source": {"src0": 0.03, "src1": 0.06, "other": 0.91}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "other": 0.1}, "topic": {"prose": 0.97, "marked": 0.03}}
     targets["topic"] |= {"lists": 1e-5, "figures": 5e-4}
@@ -356,6 +356,25 @@ def test_mixing_rakes_every_source(spark):
     assert {r.source_class for r in mixing.mix(docs, even).collect()} == {"hot", "other"}
 
 
+def test_mixing_many_cells(spark):
+    """Cells beyond the bound of one task are raked by joins, with the same probabilities."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, many = (sorted((r.doc_id, r.probability) for r in mixing.mix(docs, sweeps=2, few=few).collect()) for few in (mixing.FEW, 0))
+    assert [x[0] for x in one] == [x[0] for x in many]
+    assert [x[1] for x in one] == pytest.approx([x[1] for x in many], rel=1e-12)
+
+
+def test_mixing_scarce_classes_are_filled_up(spark):
+    """A class with less than its target gives all, the others share the rest; a class that a table leaves out gets nothing."""
+    texts = [" ".join(f"w{k}" for k in range(90))] * 600
+    docs = documents(spark, texts, ["en"], ["rare"] + ["a"] * 5 + ["b"] * 6)
+    even = {"source": {"rare": 0.5, "other": 0.5}, "lang": 1, "topic": 1}
+    found = {(r.source_class, round(r.probability, 9)) for r in mixing.mix(docs, even).collect()}
+    assert found == {("rare", 1.0), ("other", round((mixing.KEEP - 1 / 12) * 12 / 11, 9))}
+    without = {"source": {"a": 1.0}, "lang": 1, "topic": 1}
+    assert {(r.source_class, r.probability) for r in mixing.mix(docs, without).collect()} == {("a", 1.0), ("other", 0.0)}
+
+
 def test_mixing_awkward(spark):
     df = awkward(spark)
     out = mixing.sample(df)
