@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import main_keywords
 from ..functions.keywords import sql_pattern
 from ..operators import aggregates as op
+from ..operators import scores
 from ..plans.etl import award_etl as run_etl
 from ..streaming.rollup import current_awards, rollup_stream
+from ..session import store
 from .base import AWARDS, SCORED, awards, new_folder, query, scored, table
 
 ORDER = ["line_no", "supp_no", "part_no"]
@@ -218,3 +220,26 @@ def keyword_union(spark, folder):
     counts = hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("documents"))
     zero = words.select("keyword", F.lit(0).cast("bigint").alias("documents"))
     return counts.union(zero).groupBy("keyword").agg(F.sum("documents").alias("documents"))
+
+
+_SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@query(f"""
+WITH {SCORED}, shares AS (SELECT unnest({_SHARES}::DOUBLE[]) AS share, unnest((SELECT quantile_cont(anomaly_score, {_SHARES}::DOUBLE[]) FROM scored)) AS score)
+SELECT share, round(score, 9) AS score, true AS estimate_holds, (SELECT count(*) FROM scored WHERE anomaly_score IS NOT NULL) AS n FROM shares""")
+def score_percentiles(spark, folder):
+    """Summaries of batches of awards (by line number), stored and merged; exact percentiles refined from the merged one.
+
+    ``estimate_holds``: the merged sketch's own estimate lies within three times its stated rank error of the share.
+    """
+    rows = store(scored(spark, folder).select("line_no", "anomaly_score"))
+    whole = store(scores.merge(store(scores.summarise(rows, "anomaly_score", ["line_no"]))))
+    exact = scores.percentiles(rows, "anomaly_score", _SHARES, whole)
+    rough = {r["share"]: r["estimate"] for r in scores.estimate(whole, _SHARES).collect()}
+    x, slack, checks = F.col("anomaly_score"), 3 * scores.rank_error(), []
+    for share, value in zip(_SHARES, exact):
+        below, upto = (F.count_if(c) / F.count(x) for c in (x < rough[share], x <= rough[share]))
+        holds = (below - slack <= share) & (upto + slack >= share)
+        checks.append(F.struct(F.lit(share).alias("share"), F.round(F.lit(value), 9).alias("score"), holds.alias("estimate_holds"), F.count(x).alias("n")))
+    return rows.agg(F.array(*checks).alias("found")).select(F.inline("found"))

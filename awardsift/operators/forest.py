@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..session import broadcast_if_small, checkpoint, ship_package, store
-from .ranks import percentile, positions
+from .ranks import positions
+from .scores import between, neighbours, summarise
 from .vectors import parts
 
 # Fixed value: the Euler-Mascheroni constant, from the average depth of an unsuccessful tree search.
@@ -296,6 +297,7 @@ class IsolationForestModel:
     offset: float
     threshold: float
     arrays: ForestArrays
+    summary: DataFrame | None = None  # of the raw scores it was fitted on, see ``scores``
 
     @classmethod
     def fit(
@@ -314,9 +316,10 @@ class IsolationForestModel:
         arrays = ForestArrays.collect(nodes)
         path = mean_path_length(df.sparkSession, arrays, F.col("features"), wrapped=False)
         raw = checkpoint(rows.select(score_from_path(path, samples).alias("raw")))
-        offset = percentile(raw, "raw", contamination)
-        threshold = percentile(raw.select((F.col("raw") - F.lit(offset)).alias("score")), "score", REVIEW_SHARE)
-        return cls(nodes, samples, offset, threshold, arrays)
+        summary = checkpoint(summarise(raw, "raw"))
+        ends, (low, high, weight) = neighbours(raw, "raw", [contamination, REVIEW_SHARE], summary)
+        offset = between(*ends)
+        return cls(nodes, samples, offset, between(low - offset, high - offset, weight), arrays, summary)
 
     def score(self, df: DataFrame, features: str = "features", out: str = "anomaly_score", python: bool = True) -> DataFrame:
         """Add the score; without ``python`` the trees are walked by column functions."""

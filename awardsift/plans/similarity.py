@@ -17,6 +17,7 @@ from ..operators.forest import MAX_SAMPLES, ForestArrays, IsolationForestModel
 from ..operators.fusion import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, FusionModel
 from ..operators.filters import department as by_department
 from ..operators.joins import distinct_ids
+from ..operators.scores import SUMMARY
 from ..session import checkpoint, measure, store
 from ..sinks import write_predictions, write_records, write_review
 from ..sources import read_awards, read_labeled, rejected_awards, sampled
@@ -116,6 +117,8 @@ def save_model(model: AwardModel, path: str) -> None:
     params = [(model.forest.samples, model.forest.offset, model.forest.threshold, model.text_size, model.fusion.share)]
     spark.createDataFrame(params, "samples int, offset double, threshold double, text_size int, share double").write.mode(
         "overwrite").parquet(f"{path}/params")
+    if model.forest.summary is not None:
+        model.forest.summary.write.mode("overwrite").parquet(f"{path}/scores")
     numeric = [(i, *row) for i, row in enumerate(model.fusion.numeric)]
     spark.createDataFrame(numeric, SCALER).write.mode("overwrite").parquet(f"{path}/scaler")
     categories = spark.createDataFrame([], CATEGORIES)
@@ -148,7 +151,8 @@ def load_model(spark: SparkSession, path: str, embed: Embed | None = None) -> Aw
     for row in categories.select("position", "column").distinct().orderBy("position").collect():
         part = categories.where(F.col("position") == row["position"]).select("category", "slot")
         fusion.categories.append(CategorySlots.stored(row["column"], part))
-    forest = IsolationForestModel(nodes, params["samples"], params["offset"], params["threshold"], ForestArrays.collect(nodes))
+    forest = IsolationForestModel(nodes, params["samples"], params["offset"], params["threshold"], ForestArrays.collect(nodes),
+                                 _table(spark, f"{path}/scores", SUMMARY))
     ids = _table(spark, f"{path}/labeled_ids", "piid string")
     size = params["text_size"]
     return AwardModel(fusion, forest, ids, measure(ids), embed or (lambda df: hashing_embedding(df, size=size)), size)
