@@ -50,7 +50,7 @@ def award_rollup_stream(spark, folder):
     landed, out, state = (new_folder(spark, name) for name in ("landed", "rolled", "state"))
     rows = _with_gaps(spark, folder)
     for part in range(2):
-        rows.where(F.pmod(F.xxhash64("piid", *ORDER), F.lit(2)) == part).coalesce(4).write.mode("append").parquet(landed)
+        rows.where(F.pmod(F.xxhash64("piid", *ORDER), F.lit(2)) == part).repartition(4).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landed)
         rollup_stream(stream, out, state, ["piid"], ORDER).awaitTermination()
     rolled = current_awards(spark, out, ["piid"], ORDER)

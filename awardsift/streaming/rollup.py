@@ -1,11 +1,12 @@
 """The award roll-up as a stream: one value of state for each award.
 
-Each micro-batch folds its rows into the state of their awards and gives the awards that changed; whatever the split into
-batches and the order of arrival, the last row of an award is what ``rollup_awards`` gives for all rows. Changed rows are
+Each micro-batch folds its rows into the state of their awards and gives the awards it has rows of; whatever the split into
+batches and the order of arrival, the last row of an award is what ``rollup_awards`` gives for all rows. These rows are
 written to a folder for each batch, which a repeated batch overwrites, and ``current_awards`` keeps the last of each award.
 
-Without a watermark the state of an award is kept for good. With one, an award that no row has come for within ``idle`` of event
-time is closed: its state goes, its last row stays. A row that comes later than the watermark allows is dropped by Spark
+Without a watermark the state of an award is kept for good: a streaming aggregation, which combines the rows of a task before
+they meet the state and needs no Python. With one, an award that no row has come for within ``idle`` of event
+time is closed by a timer: its state goes, its last row stays. A row that comes later than the watermark allows is dropped by Spark
 before the state sees it (``numRowsDroppedByWatermark`` of the query's progress counts them); a row in time for a closed
 award opens it anew, and ``current_awards`` folds the openings together.
 """
@@ -27,7 +28,6 @@ from ..session import ship_package
 TEXTS = ("description", "vendor", "agency")
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FOREVER = 0
 
 
 def _greater(a, b):
@@ -102,26 +102,37 @@ def _shapes(df: DataFrame, keys: list[str], order: list[str]) -> tuple[T.StructT
     return state, T.StructType([*[T.StructField(k, kinds[k]) for k in keys], *folded, T.StructField("opening", T.StringType())])
 
 
+def _folded(known: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The state of each award for good, as an aggregation: every award has one opening."""
+    place = [F.col(o).alias(f"o{k}") for k, o in enumerate(order)]
+    firsts = [F.min(F.when(F.col(t).isNotNull(), F.struct(*place, F.col(t).alias("text")))).alias(t) for t in TEXTS]
+    state = known.groupBy(*keys).agg(F.max("value").alias("value"), F.max("end_date").alias("end_date"), *firsts)
+    texts = [F.col(t)[c].alias(name) for t in TEXTS for c, name in (("text", t), *((f"o{k}", f"{t}_{o}") for k, o in enumerate(order)))]
+    return state.select(*keys, "value", "end_date", *texts, F.lit("").alias("opening"))
+
+
 def rollup_changes(awards: DataFrame, keys: list[str], order: list[str], watermark: tuple[str, str] | None = None, idle: datetime.timedelta | None = None) -> DataFrame:
-    """The awards that each batch changed, with the places of their texts; a streaming frame for update mode.
+    """The awards that each batch has rows of, with the places of their texts; a streaming frame for update mode.
 
-    ``watermark`` is an event-time column and its delay; ``idle`` closes awards and needs it.
+    ``watermark`` is an event-time column and its delay; ``idle`` closes awards and needs it. Then awards that a batch
+    leaves as they were are left out.
     """
     if (idle is None) != (watermark is None):
         raise ValueError("give both a watermark and the idle time after which awards are closed, or neither")
     spark = awards.sparkSession
-    ship_package(spark)
     spark.conf.set(_STORE, _ROCKS)
     known = awards.where(F.col("piid").isNotNull())
-    if watermark:
-        known = known.withColumns({"_event": F.col(watermark[0]), "_at": F.unix_millis(F.col(watermark[0]))}).withWatermark("_event", watermark[1])
+    if not watermark:
+        return _folded(known, keys, order)
+    ship_package(spark)
+    known = known.withColumns({"_event": F.col(watermark[0]), "_at": F.unix_millis(F.col(watermark[0]))}).withWatermark("_event", watermark[1])
     # times are numbers in the state, whatever the time zones of the workers
     times = [f.name for f in awards.schema if isinstance(f.dataType, T.TimestampType) and f.name in ("end_date", *keys, *order)]
-    plain = known.select(*keys, "value", "end_date", *TEXTS, *[c for c in order if c not in keys], *(("_event", "_at") if watermark else ()))
+    plain = known.select(*keys, "value", "end_date", *TEXTS, *[c for c in order if c not in keys], "_event", "_at")
     plain = plain.withColumns({c: F.unix_micros(c) for c in times})
     state, out = _shapes(plain, keys, order)
-    processor = AwardState(keys, order, state, int(idle.total_seconds() * 1000) if idle else FOREVER)
-    changed = plain.groupBy(*keys).transformWithState(processor, out, "Update", "EventTime" if watermark else "None")
+    processor = AwardState(keys, order, state, int(idle.total_seconds() * 1000))
+    changed = plain.groupBy(*keys).transformWithState(processor, out, "Update", "EventTime")
     back = [c for c in changed.columns if c in times or any(c == f"{t}_{o}" for t in TEXTS for o in times)]
     return changed.withColumns({c: F.timestamp_micros(c) for c in back})
 

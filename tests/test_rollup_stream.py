@@ -87,3 +87,11 @@ def test_watermark_closes_awards(spark, tmp_path, few_partitions):
     assert dropped == 1
     with pytest.raises(ValueError):
         rollup.rollup_changes(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "landed")), KEYS, ORDER, watermark=("at", "1 hour"))
+
+
+def test_kept_for_good_without_python(spark, tmp_path):
+    """Without a watermark no row passes a Python worker: the state is an aggregation's."""
+    land(spark, rows(4, 10), str(tmp_path / "landed"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "landed"))
+    plan = rollup.rollup_changes(stream, KEYS, ORDER)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
