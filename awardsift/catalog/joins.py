@@ -116,8 +116,9 @@ FROM events JOIN open ON ts BETWEEN opened AND closed WHERE event_type = 'purcha
 def interval_events(spark, folder):
     """Purchases while a sign-up was open; the ranges overlap."""
     bought = table(spark, folder, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    pairs = containing(bought, "ts", _open(spark, folder), "opened", "closed")
-    return pairs.groupBy("signup_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.sum("user_id").alias("users"))
+    bought = bought.withColumn("one", F.lit(1))
+    return containing(bought, "ts", _open(spark, folder), "opened", "closed", per=["signup_id"],
+                      totals={"n": ("count", "one"), "first_event": ("min", "event_id"), "users": ("sum", "user_id")})
 
 
 @query(f"""

@@ -51,3 +51,34 @@ def test_dates(spark):
     left = spark.createDataFrame([(k, day + datetime.timedelta(days=k)) for k in range(10)], "p long, at date")
     right = spark.createDataFrame([("x", day, day + datetime.timedelta(days=3)), ("y", day + datetime.timedelta(days=2), day + datetime.timedelta(days=40))], "r string, low date, high date")
     assert sorted((x.r, x.p) for x in containing(left, "at", right, "low", "high").collect()) == [("x", k) for k in range(4)] + [("y", k) for k in range(2, 10)]
+
+
+def test_totals_without_pairs(spark, monkeypatch):
+    """Totals over bins and groups of a few rows each are those of the listed pairs, and no pair is in the plan."""
+    from pyspark.sql import functions as F
+
+    from awardsift.operators import intervals
+
+    draw = random.Random(3)
+    a, b = [*ranges_of(draw, 90), (None, 3, 9), (7, 2, 2)], ranges_of(draw, 80)
+    left = spark.createDataFrame([(*row, draw.choice([None, k, -FAR])) for k, row in enumerate(a)], "a long, a1 long, a2 long, av long")
+    right = spark.createDataFrame([(*row, draw.choice([None, k])) for k, row in enumerate(b)], "b long, b1 long, b2 long, bv int")
+    for places, group in ((20_000, 200_000), (5, 7)):
+        monkeypatch.setattr(intervals, "PLACES", places)
+        monkeypatch.setattr(intervals, "GROUP", group)
+        for per, x in (("a", "bv"), ("b", "a")):
+            asked = {"per": [per], "totals": {"n": ("count", "b" if per == "a" else "a1"), "least": ("min", x), "most": ("max", x), "s": ("sum", x)}}
+            for join, args in ((containing, (left, "a1", right, "b1", "b2")), (containing, (right, "b1", left, "a1", "a2", True)), (overlapping, (left, "a1", "a2", right, "b1", "b2"))):
+                listed = join(*args).groupBy(per).agg(F.count("b" if per == "a" else "a1").alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.sum(x).alias("s"))
+                found = join(*args, **asked)
+                assert found.columns == listed.columns and found.dtypes == listed.dtypes
+                assert sorted(map(str, found.collect())) == sorted(map(str, listed.collect()))
+    with pytest.raises(ValueError, match="one side"):
+        containing(left, "a1", right, "b1", "b2", per=["a", "b"], totals={"n": ("count", "bv")})
+
+
+def test_many_pairs(spark):
+    """Every point in every range: 400 million pairs, which nobody lists."""
+    points, ranges = spark.range(20_000).selectExpr("id AS p", "id AS at"), spark.range(20_000).selectExpr("id AS r", "-id AS low", "30000 + id AS high")
+    found = containing(points, "at", ranges, "low", "high", per=["r"], totals={"n": ("count", "p"), "s": ("sum", "p")})
+    assert found.where("n = 20000 AND s = 199990000").count() == 20_000
