@@ -131,8 +131,9 @@ def interval_overlaps(spark, folder):
     began = F.col("ts").cast("timestamp")
     errors = table(spark, folder, "events").where("event_type = 'error'").select(
         F.col("event_id").alias("error_id"), began.alias("began"), F.timestamp_micros(F.unix_micros(began) + F.col("event_id") % 600 * 1000000).alias("ended"))
-    pairs = overlapping(errors, "began", "ended", _open(spark, folder), "opened", "closed")
-    return pairs.groupBy("error_id").agg(F.count(F.lit(1)).alias("n"), F.min("signup_id").alias("first_signup"), F.sum("signup_id").alias("signups"))
+    opened = _open(spark, folder).withColumn("one", F.lit(1))
+    return overlapping(errors, "began", "ended", opened, "opened", "closed", per=["error_id"],
+                       totals={"n": ("count", "one"), "first_signup": ("min", "signup_id"), "signups": ("sum", "signup_id")})
 
 
 def sql_top(column: str, source: str, share: str = "0.2::DOUBLE") -> str:
