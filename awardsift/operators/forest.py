@@ -214,15 +214,16 @@ class ForestArrays:
         """Mean path length of each row of a matrix over ``columns``: all trees descend level by level."""
         trees, width = self.feature.shape
         base = np.arange(trees) * width
-        at = np.broadcast_to(base, (len(x), trees)).copy()
-        rows = np.arange(len(x))[:, None]
+        at = np.broadcast_to(base, (len(x), trees))
         feature, split = self.feature.ravel(), self.split.ravel()
-        left, right = (self.left + base[:, None]).ravel(), (self.right + base[:, None]).ravel()
+        children = np.stack(((self.right + base[:, None]).ravel(), (self.left + base[:, None]).ravel()), axis=1).ravel()
         if not len(self.columns):
             x = np.zeros((len(x), 1))
+        cells, rows = np.ascontiguousarray(x).ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
         for _ in range(self.depth):
-            at = np.where(x[rows, feature[at]] <= split[at], left[at], right[at])
-        return self.path.ravel()[at].mean(axis=1)
+            below = cells.take(feature.take(at) + rows) <= split.take(at)
+            at = children.take(2 * at + below)
+        return self.path.ravel().take(at).mean(axis=1)
 
 
 def mean_path_length(spark: SparkSession, forest: ForestArrays, features: Column, wrapped: bool = True) -> Column:
