@@ -220,7 +220,7 @@ def forest_fit_predict_documents(spark, folder):
 def _explained(spark, folder):
     labeled = labeled_docs(spark, folder)
     model = AwardModel.fit(labeled)
-    rows = model.features(prepare_labeled(labeled).drop("description"))
+    rows = model.features(prepare_labeled(labeled).drop("description"), wrap=False)
     return model, rows.select("doc_id", "features")
 
 

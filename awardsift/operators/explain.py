@@ -23,6 +23,7 @@ from .vectors import parts
 ROWS_AT_A_TIME = 512
 CELLS = 1 << 20  # rows x used features made dense at a time
 TABLE_WIDTH = 9  # longest path for which all patterns of met conditions are tabulated
+TABLE_BYTES = 1 << 26  # of one worker's tables; further trees work out each row
 
 
 class TreePaths:
@@ -50,6 +51,7 @@ class TreePaths:
         for i, (_, path) in enumerate(leaves):
             for j, (feature, (low, high, share)) in enumerate(path.items()):
                 self.feature[i, j], self.low[i, j], self.high[i, j], self.share[i, j] = feature, low, high, share
+        self.tabulated = width <= TABLE_WIDTH
         self.base = float((self.value * self.share.prod(axis=1)).sum())
 
     def contributions(self, met: np.ndarray) -> np.ndarray:
@@ -78,11 +80,11 @@ class TreePaths:
         features, starts = np.unique(self.feature.ravel()[order], return_index=True)
         width = self.feature.shape[1]
         powers = 1 << np.arange(width)
-        step = ROWS_AT_A_TIME if width <= TABLE_WIDTH else max(1, ROWS_AT_A_TIME // 16)
+        step = ROWS_AT_A_TIME if self.tabulated else max(1, ROWS_AT_A_TIME // 16)
         for at in range(0, len(x), step):
             seen = x[at:at + step][:, self.feature]
             met = (seen > self.low) & (seen <= self.high)
-            if width <= TABLE_WIDTH:
+            if self.tabulated:
                 parts = self.table[np.arange(len(self.value)), met @ powers]
             else:
                 parts = self.contributions(met.transpose(1, 0, 2)).transpose(1, 0, 2)
@@ -114,6 +116,11 @@ def tree_paths(forest: ForestArrays) -> list[TreePaths]:
     """Built once for each copy of a forest, that is once per worker."""
     if not hasattr(forest, "_paths"):
         forest._paths = [TreePaths(forest, tree) for tree in range(len(forest.path))]
+        left = TABLE_BYTES
+        for tree in forest._paths:
+            size = 8 * tree.share.size * 2 ** min(tree.share.shape[1], TABLE_WIDTH)
+            tree.tabulated = tree.tabulated and size <= left
+            left -= size if tree.tabulated else 0
     return forest._paths
 
 

@@ -26,6 +26,7 @@ from .prepare import prepare_labeled, prepare_unlabeled
 log = logging.getLogger(__name__)
 Embed = Callable[[DataFrame], DataFrame]
 SCALER = "position int, column string, mean double, std double"
+PARAMS = f"samples int, offset double, threshold double, text_size int, share double, {SUMMARY}"
 CATEGORIES = "position int, column string, category string, slot int"
 
 
@@ -60,8 +61,9 @@ class AwardModel:
         ids = checkpoint(ids)
         return cls(fusion, forest, ids, measure(ids), embed, text_size)
 
-    def features(self, prepared: DataFrame) -> DataFrame:
-        return self.fusion.transform(self.embed(prepared))
+    def features(self, prepared: DataFrame, wrap: bool = True) -> DataFrame:
+        """Add the fused vector, or its bare struct without ``wrap``, which needs no Python worker."""
+        return self.fusion.transform(self.embed(prepared), wrap=wrap)
 
     def score(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         """Unlabeled awards with score and flags, in no order: a map over the rows apart from joins with
@@ -114,11 +116,9 @@ def save_model(model: AwardModel, path: str) -> None:
     """Write the model as small Parquet tables under ``path``."""
     spark = model.forest.nodes.sparkSession
     model.forest.nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
-    params = [(model.forest.samples, model.forest.offset, model.forest.threshold, model.text_size, model.fusion.share)]
-    spark.createDataFrame(params, "samples int, offset double, threshold double, text_size int, share double").write.mode(
-        "overwrite").parquet(f"{path}/params")
-    if model.forest.summary is not None:
-        model.forest.summary.write.mode("overwrite").parquet(f"{path}/scores")
+    summary = None if model.forest.summary is None else model.forest.summary.select("n", "low", "high", "sketch").first()
+    params = [(model.forest.samples, model.forest.offset, model.forest.threshold, model.text_size, model.fusion.share, *(summary or [None] * 4))]
+    spark.createDataFrame(params, PARAMS).write.mode("overwrite").parquet(f"{path}/params")
     numeric = [(i, *row) for i, row in enumerate(model.fusion.numeric)]
     spark.createDataFrame(numeric, SCALER).write.mode("overwrite").parquet(f"{path}/scaler")
     categories = spark.createDataFrame([], CATEGORIES)
@@ -141,7 +141,8 @@ def _table(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def load_model(spark: SparkSession, path: str, embed: Embed | None = None) -> AwardModel:
     """Read a saved model. Raises without a forest; other missing parts are empty."""
     nodes = spark.read.parquet(f"{path}/forest")
-    params = _table(spark, f"{path}/params", "samples int, offset double, threshold double, text_size int, share double").first()
+    stored = _table(spark, f"{path}/params", PARAMS)
+    params = stored.first()
     if params is None:
         raise ValueError(f"no parameters in {path}")
     fusion = FusionModel(share=params["share"])
@@ -152,7 +153,7 @@ def load_model(spark: SparkSession, path: str, embed: Embed | None = None) -> Aw
         part = categories.where(F.col("position") == row["position"]).select("category", "slot")
         fusion.categories.append(CategorySlots.stored(row["column"], part))
     forest = IsolationForestModel(nodes, params["samples"], params["offset"], params["threshold"], ForestArrays.collect(nodes),
-                                 _table(spark, f"{path}/scores", SUMMARY))
+                                 stored.select("n", "low", "high", "sketch").where("n IS NOT NULL"))
     ids = _table(spark, f"{path}/labeled_ids", "piid string")
     size = params["text_size"]
     return AwardModel(fusion, forest, ids, measure(ids), embed or (lambda df: hashing_embedding(df, size=size)), size)

@@ -175,6 +175,21 @@ def test_shapley_values_add_up(spark, model, x):
     assert summary.count() == 100 and {"phi", "x", "mean_abs_phi"} <= set(summary.columns)
 
 
+def test_tables_of_trees_are_bounded(model, x, monkeypatch):
+    """Trees beyond the bound have no table in the worker, and the same values."""
+    used = model.arrays.columns
+    values = []
+    for limit in (1 << 26, 0):
+        monkeypatch.setattr(explain, "TABLE_BYTES", limit)
+        arrays = forest.ForestArrays(**{k: v for k, v in vars(model.arrays).items() if not k.startswith("_")})
+        out = np.zeros((20, len(used)))
+        for tree in explain.tree_paths(arrays):
+            tree.add(x[:20][:, used], out)
+        values.append(out)
+    assert all("table" not in vars(tree) for tree in explain.tree_paths(arrays))
+    assert values[0] == pytest.approx(values[1], abs=1e-9)
+
+
 # --- fit, score, save, load, stream ----------------------------------------------------------
 
 AWARD = "piid string, description string, value string, vendor string, agency string, end_date string"
