@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -94,11 +95,17 @@ def by_values(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple
     if not columns or not table.num_rows:
         yield (), table
         return
-    places: dict[tuple, list[int]] = {}
-    for k, values in enumerate(zip(*(table.column(c).to_pylist() for c in columns))):
-        places.setdefault(values, []).append(k)
-    for values, at in places.items():
-        yield values, table.take(pa.array(at))
+    # one number for each combination, in the order of first rows: values are looked at once each, not row by row
+    code = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        coded = batch.column(c).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    first = np.unique(code, return_index=True)[1]
+    values = table.select(columns).take(pa.array(first)).to_pylist()
+    order = np.argsort(code, kind="stable")
+    stops = np.cumsum(np.bincount(code))
+    for k in np.argsort(first, kind="stable"):
+        yield tuple(values[k][c] for c in columns), table.take(pa.array(order[stops[k - 1] if k else 0:stops[k]]))
 
 
 class _Writer(D.DataSourceArrowWriter):

@@ -9,8 +9,10 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from ..operators.joins import add_acronym
 from ..session import checkpoint, ship_package
 from .paths import open_path
 
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 10_000
 MAX_TASKS = 10_000
 _TYPES = "|".join(AWARD_TYPES)
 
@@ -91,6 +93,14 @@ def decoded(text: str) -> str:
         return text
 
 
+def _decoded(values: pd.Series) -> pa.Array:
+    """``decoded`` for a column: texts that are ASCII throughout are taken as they are."""
+    texts = pa.array(values, pa.string(), from_pandas=True)
+    if texts.null_count == len(texts) or pc.sum(pc.binary_length(texts)).as_py() == pc.sum(pc.utf8_length(texts)).as_py():
+        return texts
+    return pa.array([None if v is None else decoded(v) for v in texts.to_pylist()], pa.string())
+
+
 def _chunks(data, path: str, member: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """A member is inflated once: its bytes are read one per character, and each value is decoded on its own.
 
@@ -112,9 +122,8 @@ def _chunks(data, path: str, member: str, columns: list[str]) -> Iterator[pa.Rec
         for chunk in chunks:
             chunk.columns = [decoded(c).lstrip("\ufeff") for c in chunk.columns]
             n = len(chunk)
-            values = {c: [decoded(v) if isinstance(v, str) else None for v in chunk[c]] for c in columns if c in chunk}
-            texts = [pa.array(values[c], pa.string()) if c in values else pa.nulls(n, pa.string()) for c in columns]
-            place = [pa.array([path] * n), pa.array([member] * n), pa.array(range(at, at + n), pa.int64())]
+            texts = [_decoded(chunk[c]) if c in chunk else pa.nulls(n, pa.string()) for c in columns]
+            place = [pa.repeat(path, n), pa.repeat(member, n), pa.array(np.arange(at, at + n))]
             at += n
             yield pa.RecordBatch.from_arrays([*place, *texts], ["path", "member", "row_no", *columns])
 

@@ -175,7 +175,7 @@ class Archives:
         if name in batch.schema.names:
             return batch.column(name)
         kind = pa.date32() if name in ("period_from", "period_to") else pa.string()
-        return pa.array([archive[name]] * batch.num_rows, kind)
+        return pa.repeat(pa.scalar(archive[name], kind), batch.num_rows)
 
 
 class _Reader(D.DataSourceReader):

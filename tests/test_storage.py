@@ -185,3 +185,25 @@ def test_archives_round_trip(spark, tmp_path):
     assert rows_of(back.select(*rows.columns)) == rows_of(rows)
     with pytest.raises(Exception, match="never replaced"):
         rows.write.format("award_archives").mode("overwrite").save(str(tmp_path / "d"))
+
+
+def test_columns_are_decoded_as_a_whole():
+    """Values that are UTF-8 read as Latin-1, true Latin-1 and nulls; a column without any such letter is not walked through."""
+    import io
+
+    import pandas as pd
+
+    from awardsift.sources import dumps as reader
+
+    data = io.BytesIO('a,b\n"é, ""q""",\nx,1\n'.encode() + b"\xe9t\xe9,2\n")
+    (rows,) = reader._chunks(data, "p", "m", ["a", "b", "c"])
+    assert rows.to_pydict() == {"path": ["p"] * 3, "member": ["m"] * 3, "row_no": [0, 1, 2], "a": ['é, "q"', "x", "été"], "b": [None, "1", "2"], "c": [None] * 3}
+    assert reader._decoded(pd.Series(["a", None, "b"], dtype=object)).to_pylist() == ["a", None, "b"]
+
+
+def test_rows_by_values_keep_their_order():
+    import pyarrow as pa
+
+    day = datetime.date(2024, 1, 1)
+    batch = pa.RecordBatch.from_pydict({"k": ["b", None, "a", "b", None], "d": [day, day, None, day, day], "v": [1, 2, 3, 4, 5]})
+    assert [(values, rows["v"].to_pylist()) for values, rows in commits.by_values(batch, ["k", "d"])] == [(("b", day), [1, 4]), ((None, day), [2, 5]), (("a", None), [3])]
