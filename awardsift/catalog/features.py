@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +16,7 @@ from ..operators.embed import hashing_embedding as embed
 from ..operators.fusion import FusionModel
 from ..operators.vectors import sparse
 from ..plans.prepare import prepare_labeled
-from ..session import broadcast_if_small, checkpoint
+from ..session import broadcast_if_small, checkpoint, ship_package, store
 from ..functions import clean_text
 from .base import AWARDS, DOCS, awards, docs, labeled_docs, query, sql_clean, table
 from .joins import sql_top
@@ -168,19 +173,57 @@ def pca_2d_absolute(spark, folder):
 
 
 WORD_COLUMNS = 65_536
+_WORD = re.compile("[a-z]+")
+# Words whose column a task remembers.
+_WORDS_KEPT = 1 << 19
 _SQL_WORDS = """words AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER AS col, count(*)::DOUBLE AS x
   FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM documents)"""
 
 
+def _count_words(batches):
+    """Column counts of the words of all lower-cased texts of a doc_id, which come one after the other."""
+    columns: dict[str, int] = {}
+
+    def packed(doc, words: Counter) -> tuple:
+        if len(columns) > _WORDS_KEPT:
+            columns.clear()
+        counts: Counter = Counter()
+        for word, n in words.items():
+            col = columns.get(word)
+            if col is None:
+                col = columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+            counts[col] += n
+        at = sorted(counts)
+        return doc, at, [float(counts[col]) for col in at]
+
+    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        docs, at, x = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "at", "x"])
+
+    rows, held, words, kind = [], None, None, None
+    for texts in batches:
+        kind = texts.schema.field(0).type
+        for doc, text in zip(texts.column(0).to_pylist(), texts.column(1)):
+            if words is None or doc != held:
+                if words is not None:
+                    rows.append(packed(held, words))
+                held, words = doc, Counter()
+            words.update(_WORD.findall(text.as_py() or ""))
+            if len(rows) >= 1000:
+                yield batch(rows, kind)
+                rows = []
+    if words is not None:
+        yield batch([*rows, packed(held, words)], kind)
+
+
 def _word_counts(spark, folder) -> DataFrame:
-    """Documents with the counts of their words in 65,536 hashed columns."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    cells = documents.select("doc_id", F.explode_outer(words).alias("w")).groupBy(
-        "doc_id", F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int").alias("col")).agg(F.count("w").cast("double").alias("x"))
-    rows = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "x")))).alias("c"))
-    return rows.select("doc_id", sparse(WORD_COLUMNS, F.col("c.col"), F.col("c.x")).alias("features"))
+    """Documents with the counts of their words in 65,536 hashed columns; the texts go by doc_id once and are counted where they are."""
+    ship_package(spark)
+    documents = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("text"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_count_words, f"doc_id {kind}, at array<int>, x array<double>")
+    return rows.select("doc_id", sparse(WORD_COLUMNS, F.col("at"), F.col("x")).alias("features"))
 
 
 _POWER_STEPS = 30
@@ -225,5 +268,5 @@ pairs AS (SELECT i, j, (d / n - a.m * b.m) / (a.s * b.s) AS r FROM met, n, colum
 SELECT i, j, round(r, 6) AS r FROM pairs WHERE abs(r) > 0.9000001""")
 def wide_correlation_pairs(spark, folder):
     """Word columns that go together in whole documents, out of 65,536."""
-    pairs = analysis.correlation_pairs(_word_counts(spark, folder), limit=0.9)
+    pairs = analysis.correlation_pairs(store(_word_counts(spark, folder)), limit=0.9)
     return pairs.where(F.abs("r") > 0.9000001).withColumn("r", F.round("r", 6))

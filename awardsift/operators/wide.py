@@ -3,7 +3,8 @@
 No matrix of features x features exists anywhere. Components come from randomised block subspace iteration (Halko,
 Martinsson and Tropp, 2011): a block of a few directions is multiplied by the covariance again and again, with the
 centring done implicitly, so zeros stay zeros. Correlated pairs are found from columns that share a row early
-in a common order of rows, where norms bound what the rest of two columns can add; each candidate is then computed exactly.
+in a common order of rows: the products of these heads are added up, norms bound what the rest of two columns can add, and each pair that may
+still pass is then computed exactly.
 
 One pass over the rows multiplies a block. A block of at most ``BLOCK_BYTES`` is sent to the tasks; a larger one stays a
 table and is joined, so the width has no limit.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, checkpoint, ship_package, store
+from ..session import broadcast_if_small, checkpoint, measure, ship_package, store
 from .vectors import parts
 
 # Largest block of directions that is sent to every task, and that the driver holds.
@@ -31,6 +32,11 @@ TINY = 1e-13
 # Columns that meet all others in one pass.
 AT_ONCE = 32
 BANDS = 16
+# Bands of rows in which heads end, if their norms by column and band are sent to the tasks.
+CUTS = 32
+# Columns of a block; a task adds up the products of two blocks at a time, 4 bytes a pair, ``CHUNK`` products at a time.
+TILE = 8192
+CHUNK = 1 << 21
 
 
 @dataclass
@@ -276,7 +282,7 @@ def correlated(df: DataFrame, features: str = "features", limit: float = 0.9, bl
     a fixed share of their places is filled, so a row of average length allows only so many of them. They are multiplied with all columns, ``AT_ONCE``
     in a pass. The others never correlate below ``-limit``; above it the cosine of two of them, uncentred, is at least
     ``limit * cos(a) * cos(b) + sin(a) * sin(b)`` with m = tan(a), and the least value of this over all partners bounds the norm of
-    what may follow the first row that they share (``_heads``).
+    what may follow the first row that they share (``_candidates``).
     """
     if not 0 < limit < 1:
         raise ValueError("the limit must be between 0 and 1")
@@ -288,7 +294,7 @@ def correlated(df: DataFrame, features: str = "features", limit: float = 0.9, bl
     slope = F.abs("mean") / F.sqrt("var")
     varied = store(data.columns.where("var > 0").select("col", "nnz", "mean", F.sqrt("var").alias("dev"), ((F.col("low") < 0) | (slope > most)).alias("full"),
                                                         F.atan(slope).alias("angle")))
-    pairs = _sparse_pairs(data, varied, limit, math.atan(most))
+    pairs = _sparse_pairs(data, varied, limit)
     full = varied.where("full").select("col")
     # column numbers only, in passes: a thousand million of them would not fit, but neither would a row that fills half of its places
     for part in _in_turn(full):
@@ -329,33 +335,197 @@ def _full_pairs(data: Wide, varied: DataFrame, chosen: list[int], limit: float)
     return met.where(F.abs("r") > limit).select(F.greatest("col", "other").alias("i"), F.least("col", "other").alias("j"), "r")
 
 
-def _heads(data: Wide, varied: DataFrame, limit: float, widest: float) -> DataFrame:
-    """(row, col): the cells of sparse columns that come before the rest gets too short to matter.
-
-    Rows are ordered by bands: those with few filled places first, then by hash. Two columns can only pass if the first band they share
-    begins while both still have a norm of at least their bound, so both keep that band. A band is summed before it is ordered: no task holds a column.
-    """
+def _bounds(varied: DataFrame, limit: float) -> DataFrame:
+    """(col, nnz, angle, bound) of the sparse columns: the least cosine, uncentred, with which one can pass together with any other."""
+    sparse = varied.where("NOT full")
+    widest = sparse.agg(F.max("angle")).first()[0] or 0.0
     a, t = F.col("angle"), F.lit(limit)
     bound = F.least(t * F.cos(a), t * F.cos(a) * math.cos(widest) + F.sin(a) * math.sin(widest)) * (1 - 1e-9)
-    own = varied.where("NOT full").select("col", bound.alias("bound"))
-    band = (F.floor(F.log2(F.col("filled").cast("double"))) * BANDS + F.pmod(F.xxhash64("row"), F.lit(BANDS))).cast("int")
-    cells = data.cells().withColumn("band", band)
+    return sparse.select("col", "nnz", "angle", bound.alias("bound"))
+
+
+def _fine(filled: Column) -> Column:
+    """Bands of rows: those with few filled places first, then by hash; ``BANDS`` for each doubling."""
+    return (F.floor(F.log2(filled.cast("double"))) * BANDS + F.pmod(F.xxhash64("row"), F.lit(BANDS))).cast("int")
+
+
+def _candidates(data: Wide, varied: DataFrame, limit: float) -> DataFrame:
+    """(col, col2), col > col2: the pairs of sparse columns that may pass.
+
+    Rows are ordered by bands. Two columns can only pass if the first band they share begins while both still have a norm of at least
+    their bound, so both keep that band in their head. Up to the band that ends the shorter of both heads the product of the columns is that
+    of the heads; what follows adds at most the product of the norms that are left.
+    """
+    own = _bounds(varied, limit)
+    return (_by_tile if data.fits(CUTS) else _by_join)(data, own, limit)
+
+
+def _by_join(data: Wide, own: DataFrame, limit: float) -> DataFrame:
+    """Candidates of any width: heads are joined on the row. A band is summed before it is ordered: no task holds a column."""
+    cells = data.cells().withColumn("band", _fine(F.col("filled")))
     lengths = cells.groupBy("col", "band").agg(F.sum(F.col("x") * F.col("x")).alias("q")).join(own, "col")
-    per = lengths.groupBy("col", "bound").agg(F.sum("q").alias("all"), F.sort_array(F.collect_list(F.struct("band", "q"))).alias("bands"))
+    per = lengths.groupBy("col", "bound", "angle").agg(F.sum("q").alias("all"), F.sort_array(F.collect_list(F.struct("band", "q"))).alias("bands"))
     # at most BANDS entries for each doubling of the width
     before = F.transform("bands", lambda b, k: F.struct(b["band"].alias("band"), F.aggregate(F.slice("bands", 1, k), F.lit(0.0), lambda s, c: s + c["q"]).alias("ahead")))
-    kept = per.select("col", F.filter(before, lambda b: F.sqrt(F.greatest(1.0 - b["ahead"] / F.col("all"), F.lit(0.0))) >= F.col("bound"))["band"].alias("bands"))
-    return cells.join(kept.select("col", F.array_max("bands").alias("last")), "col").where("band <= last").select("row", "col")
-
-
-def _sparse_pairs(data: Wide, varied: DataFrame, limit: float, widest: float) -> DataFrame:
-    heads = store(_heads(data, varied, limit, widest))
-    others = heads.select("row", F.col("col").alias("col2"))
-    own, theirs = [varied.select(F.col("col").alias(c), F.col("mean").alias(m), F.col("dev").alias(d), F.col("nnz").alias(k))
-                   for c, m, d, k in (("col", "m1", "d1", "k1"), ("col2", "m2", "d2", "k2"))]
-    candidates = store(heads.join(others, "row").where("col > col2").select("col", "col2").distinct())
-    cells = data.cells().select("row", "col", "x")
-    sums = (candidates.join(cells, "col").join(cells.select("row", F.col("col").alias("col2"), F.col("x").alias("x2")), ["row", "col2"])
+    kept = F.filter(before, lambda b: F.sqrt(F.greatest(1.0 - b["ahead"] / F.col("all"), F.lit(0.0))) >= F.col("bound"))
+    per = store(per.withColumn("last", F.array_max(F.transform(kept, lambda b: b["band"]))))
+    heads = store(cells.join(per.select("col", "last"), "col").where("band <= last").select("row", "col", "x"))
+    met = heads.join(heads.select("row", F.col("col").alias("col2"), F.col("x").alias("x2")), "row").where("col > col2")
+    dots = met.groupBy("col", "col2").agg(F.sum(F.col("x") * F.col("x2")).alias("dot"))
+    one, two = [per.select(F.col("col").alias(f"col{c}" if c == 2 else "col"), *[F.col(n).alias(f"{n}{c}") for n in ("angle", "all", "bands", "last")]) for c in (1, 2)]
+
+    def left(c: int) -> Column:
+        ahead = F.aggregate(F.filter(f"bands{c}", lambda b: b["band"] <= F.least("last1", "last2")), F.lit(0.0), lambda s, b: s + b["q"])
+        return F.sqrt(F.greatest(1.0 - ahead / F.col(f"all{c}"), F.lit(0.0)))
+
+    least = F.lit(limit) * F.cos("angle1") * F.cos("angle2") + F.sin("angle1") * F.sin("angle2")
+    return dots.join(one, "col").join(two, "col2").where(F.col("dot") / F.sqrt(F.col("all1") * F.col("all2")) + left(1) * left(2) >= least - 1e-9).select("col", "col2")
+
+
+def _by_tile(data: Wide, own: DataFrame, limit: float) -> DataFrame:
+    """Candidates if ``CUTS`` numbers a column fit: the products of two blocks of columns are added up in one task, and no pair is shuffled.
+
+    Each cell of a head goes to as many tasks as there are blocks; the pairs that rows make are never written.
+    """
+    spark, width = data.rows.sparkSession, data.width
+    ship_package(spark)
+    rows = data.rows.where(F.size("at") > 0).withColumn("fine", _fine(F.size("at")))
+    cut, ahead = {}, 0  # bands of about as many cells each; at most BANDS rows come here for each doubling of the width
+    sizes = rows.groupBy("fine").agg(F.sum(F.size("at")).alias("cells")).orderBy("fine").collect()
+    for fine, cells in sizes:
+        cut[fine] = CUTS * ahead // sum(r.cells for r in sizes)
+        ahead += cells
+    if not cut:
+        return spark.createDataFrame([], "col int, col2 int")
+    rows = rows.select(F.element_at(F.create_map(*[F.lit(v) for item in cut.items() for v in item]), F.col("fine")).alias("band"), "at", "x")
+    found = own.toArrow()
+    at = found["col"].to_numpy()
+    count, angle, bound = np.zeros(width), np.zeros(width), np.full(width, 2.0)
+    count[at], angle[at], bound[at] = [found[c].to_numpy() for c in ("nnz", "angle", "bound")]
+    sparse = count > 0
+    shared = spark.sparkContext.broadcast(sparse)
+    kind = "col int, " + ", ".join(f"e{k} double" for k in range(CUTS))
+    sums = rows.mapInArrow(_energies(shared, width), kind).groupBy("col").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(CUTS)]).toArrow()
+    upto = np.zeros((width, CUTS))
+    upto[sums["col"].to_numpy()] = np.column_stack([sums[f"e{k}"].to_numpy() for k in range(CUTS)])
+    shared.destroy()
+    upto = np.cumsum(upto, axis=1)
+    whole = np.where(sparse, upto[:, -1], 1.0)
+    upto /= whole[:, None]
+    left = np.sqrt(np.maximum(1 - np.column_stack((np.zeros(width), upto)), 0))
+    last = (left[:, :-1] >= bound[:, None]).sum(axis=1) - 1
+    norm = np.where(sparse, 1 / np.sqrt(whole), 0.0)
+    shared = spark.sparkContext.broadcast((last.astype(np.int8), left[:, 1:].astype(np.float32), norm, np.cos(angle), np.sin(angle), count))
+    blocks = -(-width // TILE)
+    side = -(-width // blocks)
+    sides = ", ".join(f"row{k} binary, at{k} binary, x{k} binary" for k in (1, 2))
+    dealt = rows.mapInArrow(_deal(shared, blocks), f"tile int, {sides}")
+    # several partitions a tile, since hashes collide
+    tiles = dealt.repartition(2 * blocks * (blocks + 1), "tile").sortWithinPartitions("tile")
+    return tiles.mapInArrow(_add_up(shared, blocks, side, limit), "col int, col2 int")
+
+
+def _cells(at: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.diff(at.offsets.to_numpy())
+    return np.repeat(np.arange(len(counts)), counts), at.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+
+
+def _energies(shared, width: int):
+    def add(batches):
+        sparse, total = shared.value, np.zeros(width * CUTS)
+        for batch in batches:
+            row, cols, x = _cells(batch.column(1), batch.column(2))
+            own = sparse[cols]
+            np.add.at(total, cols[own].astype(np.int64) * CUTS + batch.column(0).to_numpy()[row[own]], x[own] * x[own])
+        total = total.reshape(width, CUTS)
+        found = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(total[found, k]) for k in range(CUTS))],
+                                         names=["col", *(f"e{k}" for k in range(CUTS))])
+    return add
+
+
+def _deal(shared, blocks: int):
+    """Cells of heads by tile: row numbers of the batch, places in the block and values of both blocks; a block with itself has one side."""
+    def deal(batches):
+        last = shared.value[0]
+        for batch in batches:
+            row, cols, x = _cells(batch.column(1), batch.column(2))
+            kept = (x != 0) & (batch.column(0).to_numpy()[row] <= last[cols])
+            row, cols, x = row[kept], cols[kept], x[kept]
+            order = np.argsort(cols % blocks, kind="stable")  # blocks take columns in turn, so neighbours are spread
+            cuts = np.searchsorted((cols % blocks)[order], np.arange(blocks + 1))
+            parts = []
+            for own in (order[s:e] for s, e in zip(cuts, cuts[1:])):
+                parts.append((row[own].astype(np.int32).tobytes(), (cols[own] // blocks).astype(np.uint16).tobytes(), x[own].tobytes()) if len(own) else None)
+            for p in range(blocks):
+                met = [(p * blocks + q, *parts[p], *(parts[q] if p != q else (None,) * 3)) for q in range(p + 1) if parts[p] and parts[q]]
+                if met:
+                    tile, *sides = zip(*met)
+                    yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), *(pa.array(s, pa.binary()) for s in sides)],
+                                                     names=["tile", *(f"{n}{k}" for k in (1, 2) for n in ("row", "at", "x"))])
+    return deal
+
+
+def _add_up(shared, blocks: int, side: int, limit: float):
+    """The pairs of a tile that may pass; rows come sorted by tile. Only products of cells that share a row are computed."""
+    def add(batches):
+        tile, total = None, np.zeros(side * side, np.float32)
+        norm = shared.value[2]
+        for batch in batches:
+            for own, *sides in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != tile:
+                    if tile is not None:
+                        yield from _passing(total, shared.value, tile, blocks, side, limit)
+                        total[:] = 0
+                    tile = own
+                p, q = divmod(tile, blocks)
+                both = sides[:3], sides[3:] if p != q else sides[:3]
+                (row, at, x), (row2, at2, x2) = [[np.frombuffer(v, t) for v, t in zip(s, (np.int32, np.uint16, np.float64))] for s in both]
+                x, x2 = x * norm[at.astype(np.int64) * blocks + p], x2 * norm[at2.astype(np.int64) * blocks + q]
+                begin, end = np.searchsorted(row2, row, "left"), np.searchsorted(row2, row, "right")
+                if p == q:  # each pair of a row once
+                    end = np.arange(len(row))
+                ahead = np.concatenate(([0], np.cumsum(end - begin)))
+                k = 0
+                while k < len(row):
+                    m = max(int(np.searchsorted(ahead, ahead[k] + CHUNK, "right")) - 1, k + 1)
+                    size = end[k:m] - begin[k:m]
+                    one = np.repeat(np.arange(k, m), size)
+                    two = np.arange(len(one)) + np.repeat(begin[k:m] - (ahead[k:m] - ahead[k]), size)
+                    high, low = at[one].astype(np.int64), at2[two].astype(np.int64)
+                    if p == q:
+                        high, low = np.maximum(high, low), np.minimum(high, low)
+                    np.add.at(total, high * side + low, (x[one] * x2[two]).astype(np.float32))
+                    k = m
+        if tile is not None:
+            yield from _passing(total, shared.value, tile, blocks, side, limit)
+    return add
+
+
+def _passing(total: np.ndarray, shared: tuple, tile: int, blocks: int, side: int, limit: float):
+    last, left, _, cos, sin, count = shared
+    p, q = divmod(tile, blocks)
+    for start in range(0, side * side, CHUNK):
+        found = np.flatnonzero(total[start : start + CHUNK]) + start
+        col, col2 = found // side * blocks + p, found % side * blocks + q
+        until = np.minimum(last[col], last[col2])
+        # a sum of that many products in single precision is off by 2 ** -24 a step at most
+        slack = 1e-5 + 2.0**-24 * np.minimum(count[col], count[col2])
+        may = total[found] + left[col, until].astype(float) * left[col2, until] + slack >= limit * cos[col] * cos[col2] + sin[col] * sin[col2]
+        col, col2 = col[may], col2[may]
+        if len(col):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(col, col2), pa.int32()), pa.array(np.minimum(col, col2), pa.int32())], names=["col", "col2"])
+
+
+def _sparse_pairs(data: Wide, varied: DataFrame, limit: float) -> DataFrame:
+    own, theirs = [varied.select(F.col("col").alias(c), F.col("mean").alias(m), F.col("dev").alias(d))
+                   for c, m, d in (("col", "m1", "d1"), ("col2", "m2", "d2"))]
+    candidates = store(_candidates(data, varied, limit))
+    size = measure(candidates)
+    met = broadcast_if_small(candidates, size)
+    wanted = broadcast_if_small(candidates.select(F.explode(F.array("col", "col2")).alias("col")).distinct(), size)
+    cells = data.cells().select("row", "col", "x").join(wanted, "col", "left_semi")
+    sums = (cells.join(met, "col").join(cells.select("row", F.col("col").alias("col2"), F.col("x").alias("x2")), ["row", "col2"])
             .groupBy("col", "col2").agg(F.sum(F.col("x") * F.col("x2")).alias("dot")))
     r = (F.col("dot") / F.lit(float(data.n)) - F.col("m1") * F.col("m2")) / (F.col("d1") * F.col("d2"))
     return sums.join(own, "col").join(theirs, "col2").withColumn("r", r).where(F.col("r") > limit).select(F.col("col").alias("i"), F.col("col2").alias("j"), "r")

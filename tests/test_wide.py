@@ -1,5 +1,8 @@
 """Components and correlated pairs of wide vectors against NumPy, on every path."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -76,6 +79,45 @@ def test_pairs_of_sparse_columns(spark):
     assert set(got) == set(expected) and len(got) > 50
 
 
+@pytest.mark.parametrize("block", [wide.BLOCK_BYTES, 1])
+def test_columns_that_only_meet_are_not_joined(spark, monkeypatch, block):
+    """Columns that share rows but go apart are dropped by the products of their heads; few pairs are left to be joined with all cells."""
+    rng = np.random.default_rng(11)
+    x = (rng.random((300, 200)) < 0.05).astype(float) * rng.integers(1, 4, (300, 200))
+    x[:, 7], x[:, 90] = x[:, 120], x[:, 121] * 2
+    expected, joined, store = _pairs(x, 0.9), [], wide.store
+
+    def watched(df):
+        out = store(df)
+        if set(out.columns) == {"col", "col2"}:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(wide, "store", watched)
+    monkeypatch.setattr(wide, "TILE", 64, raising=False)
+    monkeypatch.setattr(wide, "CHUNK", 500, raising=False)
+    got = {(r.i, r.j): r.r for r in wide.correlated(_frame(spark, x), limit=0.9, block_bytes=block).collect()}
+    assert set(got) == set(expected) and {(120, 7), (121, 90)} <= set(got)
+    assert len(joined) == 1 and joined[0] < 200  # of some 15,000 pairs that share a row
+
+
+def test_word_counts_of_repeated_documents(spark, tmp_path):
+    """One row a doc_id, null included, with the words of all its texts; a document without words has no cells."""
+    from awardsift.catalog.features import WORD_COLUMNS, _word_counts
+
+    texts = [(1, "One two, ONE"), (2, None), (1, "two2three"), (None, "a"), (None, "b a"), (3, " 12 ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.features for r in _word_counts(spark, str(tmp_path)).collect()}
+
+    def of(*words):
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words)
+        return sorted(counts), [float(counts[c]) for c in sorted(counts)]
+
+    wanted = {1: of("one", "two", "one", "two", "three"), 2: of(), 3: of(), None: of("a", "b", "a")}
+    assert {doc: (f.indices, f["values"]) for doc, f in got.items()} == wanted
+    assert {f.size for f in got.values()} == {WORD_COLUMNS} and len(got) == 4
+
+
 def test_very_wide(spark):
     """100,000 columns: the dense matrix would take 80 GB."""
     rng = np.random.default_rng(9)
