@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -176,45 +178,55 @@ WORD_COLUMNS = 65_536
 _WORD = re.compile("[a-z]+")
 # Words whose column a task remembers.
 _WORDS_KEPT = 1 << 19
+# Words of documents that are packed at a time.
+_CELLS = 1 << 18
 _SQL_WORDS = """words AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER AS col, count(*)::DOUBLE AS x
   FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM documents)"""
 
 
+class _Columns(dict):
+    """The column of each word; a word that is not held is hashed."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        col = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+        return col
+
+
+def _packed(docs: list, counts: list[Counter], columns: _Columns, kind: pa.DataType) -> pa.RecordBatch:
+    total = sum(map(len, counts))
+    col = np.fromiter(chain.from_iterable(map(columns.__getitem__, words) for words in counts), np.int64, total)
+    n = np.fromiter(chain.from_iterable(words.values() for words in counts), np.float64, total)
+    key = np.repeat(np.arange(len(docs)), [len(words) for words in counts]) * WORD_COLUMNS + col
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    x = np.add.reduceat(n[order], first) if total else n
+    row, at = np.divmod(key[first], WORD_COLUMNS)
+    bounds = pa.array(np.searchsorted(row, np.arange(len(docs) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (at.astype(np.int32), x)]
+    return pa.RecordBatch.from_arrays([pa.array(docs, kind), *lists], names=["doc_id", "at", "x"])
+
+
 def _count_words(batches):
     """Column counts of the words of all lower-cased texts of a doc_id, which come one after the other."""
-    columns: dict[str, int] = {}
-
-    def packed(doc, words: Counter) -> tuple:
-        if len(columns) > _WORDS_KEPT:
-            columns.clear()
-        counts: Counter = Counter()
-        for word, n in words.items():
-            col = columns.get(word)
-            if col is None:
-                col = columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
-            counts[col] += n
-        at = sorted(counts)
-        return doc, at, [float(counts[col]) for col in at]
-
-    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        docs, at, x = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "at", "x"])
-
-    rows, held, words, kind = [], None, None, None
+    columns, docs, counts, held = _Columns(), [], [], 0
     for texts in batches:
         kind = texts.schema.field(0).type
         for doc, text in zip(texts.column(0).to_pylist(), texts.column(1)):
-            if words is None or doc != held:
-                if words is not None:
-                    rows.append(packed(held, words))
-                held, words = doc, Counter()
-            words.update(_WORD.findall(text.as_py() or ""))
-            if len(rows) >= 1000:
-                yield batch(rows, kind)
-                rows = []
-    if words is not None:
-        yield batch([*rows, packed(held, words)], kind)
+            if not docs or doc != docs[-1]:
+                if held > _CELLS:
+                    yield _packed(docs, counts, columns, kind)
+                    docs, counts, held = [], [], 0
+                docs.append(doc)
+                counts.append(Counter())
+            held -= len(counts[-1])
+            counts[-1].update(_WORD.findall(text.as_py() or ""))
+            held += len(counts[-1])
+    if docs:
+        yield _packed(docs, counts, columns, kind)
 
 
 def _word_counts(spark, folder) -> DataFrame:

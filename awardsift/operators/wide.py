@@ -29,6 +29,8 @@ BLOCK_BYTES = 64 * 1024 * 1024
 EXTRA = 10
 # Eigenvalues below this part of the largest are taken for zero.
 TINY = 1e-13
+# Cells that are multiplied with a block at a time, if a row has no more.
+SLICE = 1 << 17
 # Columns that meet all others in one pass.
 AT_ONCE = 32
 BANDS = 16
@@ -112,22 +114,31 @@ class Wide:
 
 
 def _products(shared, width: int):
+    """Sums of the rows' products by column. Rows go in slices of ``SLICE`` cells, whose directions are read and added up together."""
     def add(batches):
         q, shift = shared.value
         block = q.shape[1]
-        total, touched = np.zeros((width, block)), np.zeros(width, bool)
+        total, touched = np.zeros((block, width)), np.zeros(width, bool)
         for batch in batches:
             at, values = batch.column(0), batch.column(1)
             counts = np.diff(at.offsets.to_numpy())
-            cols, x = at.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(counts)), counts)
-            own, place = np.unique(cols, return_inverse=True)
-            touched[own] = True
-            for k in range(block):
-                y = np.bincount(row, x * q[cols, k], minlength=len(counts)) - shift[k]
-                total[own, k] += np.bincount(place, x * y[row], minlength=len(own))
+            counts = counts[counts > 0]
+            cols, x = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.flatten().to_numpy(zero_copy_only=False)
+            touched[cols] = True
+            ends = np.cumsum(counts)
+            k = 0
+            while k < len(counts):
+                start = ends[k] - counts[k]
+                m = max(int(np.searchsorted(ends, start + SLICE, "right")), k + 1)
+                own, c, v = counts[k:m], cols[start : ends[m - 1]], x[start : ends[m - 1]]
+                part = q[c]
+                part *= v[:, None]
+                y = (np.add.reduceat(part, ends[k:m] - own - start, axis=0) - shift).T.copy()
+                for j in range(block):
+                    total[j] += np.bincount(c, np.repeat(y[j], own) * v, minlength=width)
+                k = m
         found = np.flatnonzero(touched)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(total[found, k]) for k in range(block))],
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(total[k, found]) for k in range(block))],
                                          names=["col", *(f"z{k}" for k in range(block))])
     return add
 

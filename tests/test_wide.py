@@ -79,6 +79,23 @@ def test_pairs_of_sparse_columns(spark):
     assert set(got) == set(expected) and len(got) > 50
 
 
+def test_products_in_slices(spark, monkeypatch):
+    """The covariance times a block, with slices shorter than a row, rows without cells and columns of no row."""
+    monkeypatch.setattr(wide, "SLICE", 5, raising=False)
+    x = _table(n=60, width=80)
+    x[[0, 20, 59]] = 0
+    q = np.random.default_rng(1).normal(size=(80, 3))
+    data = wide.Wide.of(_frame(spark, x))
+    rows, counts = data.rows.select("at", "x").coalesce(1).toArrow().combine_chunks().to_batches()[0], []
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **k: counts.append(len(v)) or bincount(v, *a, **k))
+    (got,) = wide._products(type("Sent", (), {"value": (q, x.mean(0) @ q)}), 80)(iter([rows]))
+    z = np.zeros_like(q)
+    z[got["col"].to_numpy()] = np.column_stack([got[f"z{k}"].to_numpy() for k in range(3)])
+    assert np.allclose(z, x.T @ ((x - x.mean(0)) @ q))
+    assert max(counts) <= max(5, (x != 0).sum(axis=1).max())
+
+
 @pytest.mark.parametrize("block", [wide.BLOCK_BYTES, 1])
 def test_columns_that_only_meet_are_not_joined(spark, monkeypatch, block):
     """Columns that share rows but go apart are dropped by the products of their heads; few pairs are left to be joined with all cells."""
