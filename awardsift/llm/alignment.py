@@ -2,8 +2,8 @@
 
 Two tokenizers cut the same bytes. The ends of their tokens are two rising arrays; where both have an end, a group of
 tokens ends. Most of a text is stretches in which the n-th next tokens of both sides end together, so the ends are
-compared along the current diagonal (the shift between the two indexes): blocks of 1, 2, 4, ... ends are compared at
-once until one differs, whose first difference is found by halving. The stretch is one group a token. What follows is an
+compared along the current diagonal (the shift between the two indexes): a few one by one, as most stretches are short, then
+blocks of 1, 2, 4, ... at once until one differs, whose first difference is found by halving. The stretch is one group a token. What follows is an
 irregular group, walked with two pointers up to the next common end; then the shift is updated.
 
 A link is a pair of tokens that share bytes. ``corpus_links`` counts for each pair of ids how many documents hold it
@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,19 @@ FOLDER = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ends that are aligned at a time, and pairs that are sent at a time.
 WINDOW, PAIRS = 1 << 16, 1 << 18
+#: Equal ends that are compared one by one before blocks are.
+NEAR = 12
+#: Letters of a part of a text that is encoded at once, if a space follows.
+PART = 64
 #: A pair of ids in one number: A's id above these bits.
 SHIFT = 24
 
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+#: Single spaces between letters that no library takes for white space or for parts of another letter.
+_BETWEEN = re.compile("(?<=[!-~]) (?=[!-~])")
+_GOES_ON = re.compile("[^▁]▁")
 
 
 def byte_letters() -> dict[str, int]:
@@ -116,72 +123,99 @@ class Vocabularies:
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
 
+    @cached_property
+    def _apart(self) -> bool:
+        """Whether no piece goes on with a space, so that nothing is merged over the space between two words."""
+        sp = self._processor
+        return not any(_GOES_ON.search(sp.id_to_piece(k)) for k in range(sp.get_piece_size()))
+
+    def _encode_pieces(self, text: str) -> list[int]:
+        """Side B. Long texts are encoded in parts, each from one word to another: the library orders all merges of what it is given."""
+        if not self._apart:
+            return self._processor.encode(text)
+        parts, start = [], 0
+        while between := _BETWEEN.search(text, start + PART):
+            parts.append(text[start : between.start()])
+            start = between.end()
+        parts.append(text[start:])
+        return list(chain.from_iterable(self._processor.encode(parts, num_threads=1)))
+
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of both sides for a space and the text; none if either side does not give the bytes back."""
         if not text:
             return [], []
         spaced = " " + text
-        if _BEYOND_LATIN.search(text):
-            a = self._plain.encode(spaced, add_special_tokens=False).ids
-        else:
-            a = self._fast.encode_ordinary(spaced)
-        b = self._processor.encode(text)
         whole = spaced.encode()
+        b = self._encode_pieces(text)
         try:
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            same = b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            if _BEYOND_LATIN.search(text):
+                a = self._plain.encode(spaced, add_special_tokens=False).ids
+                same = same and b"".join(map(self.bytes_a.__getitem__, a)) == whole
+            else:
+                a = self._fast.encode_ordinary(spaced)  # merged from the bytes themselves, so it gives them back
         except IndexError:
             same = False
         return (a, b) if same else ([], [])
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Links of two arrays of ends, as places in both, up to the last end that they share.
+def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Links of two arrays of ends up to the last end that they share, as stretches: first places in both, and how many tokens.
 
-    On a stretch of equal ends blocks of 1, 2, 4, ... are compared at once at the current shift, and the first that
-    differs is halved; between stretches two pointers walk to the next common end.
+    On a stretch of equal ends the first ``NEAR`` are compared one by one at the current shift, then blocks of 1, 2, 4, ... at once, and
+    the first that differs is halved; between stretches two pointers walk to the next common end.
     """
     left: list[int] = []
     right: list[int] = []
+    count: list[int] = []
     i = j = whole = 0
     n, m = len(a), len(b)
     while i < n and j < m:
         if a[i] == b[j]:
-            x, y, step = i + 1, j + 1, 1
-            while x < n and y < m and a[x : x + step] == b[y : y + step]:
-                x += step
-                y += step
-                step *= 2
-            while step > 1 and x < n and y < m:
-                step //= 2
-                if a[x : x + step] == b[y : y + step]:
+            x, y = i + 1, j + 1
+            near = min(n, x + m - y, i + NEAR)
+            while x < near and a[x] == b[y]:
+                x += 1
+                y += 1
+            if x == i + NEAR:
+                step = 1
+                while x < n and y < m and a[x : x + step] == b[y : y + step]:
                     x += step
                     y += step
-            # equal slices may both reach over the end
-            x, y = min(x, n), min(y, m)
-            left += range(i, x)
-            right += range(j, y)
+                    step *= 2
+                while step > 1 and x < n and y < m:
+                    step //= 2
+                    if a[x : x + step] == b[y : y + step]:
+                        x += step
+                        y += step
+                # equal slices may both reach over the end
+                x, y = min(x, n), min(y, m)
+            left.append(i)
+            right.append(j)
+            count.append(x - i)
             i, j = x, y
         else:
             p, q = a[i], b[j]
             while True:
                 left.append(i)
                 right.append(j)
+                count.append(1)
                 if p < q:
                     i += 1
                     if i == n:
-                        return left[:whole], right[:whole]
+                        return left[:whole], right[:whole], count[:whole]
                     p = a[i]
                 elif p > q:
                     j += 1
                     if j == m:
-                        return left[:whole], right[:whole]
+                        return left[:whole], right[:whole], count[:whole]
                     q = b[j]
                 else:
                     i += 1
                     j += 1
                     break
         whole = len(left)
-    return left, right
+    return left, right, count
 
 
 def links(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,9 +223,11 @@ def links(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> Iterator[tuple[
     i = j = 0
     size = window
     while i < len(a):
-        left, right = align(a[i : i + size].tolist(), b[j : j + size].tolist())
+        left, right, count = align(a[i : i + size].tolist(), b[j : j + size].tolist())
         if left:
-            x, y = np.array(left) + i, np.array(right) + j
+            times = np.array(count)
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            x, y = np.repeat(np.array(left) + i, times) + within, np.repeat(np.array(right) + j, times) + within
             yield x, y
             i, j, size = int(x[-1]) + 1, int(y[-1]) + 1, window
         else:

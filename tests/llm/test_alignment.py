@@ -31,6 +31,15 @@ def test_links_are_all_overlaps():
             assert got == overlaps
 
 
+def test_a_stretch_is_one_entry():
+    """A stretch of equal ends is kept as one entry, however long, not as one a link."""
+    for n in (1, 2, 11, 12, 13, 14, 40, 1000):
+        a = [*range(1, n + 1), n + 3, *range(n + 4, 2 * n + 4)]
+        b = [*range(1, n + 1), n + 1, n + 2, n + 3, *range(n + 4, 2 * n + 4)]
+        left, right, count = alignment.align(a, b)
+        assert sum(count) == 2 * n + 3 and len(left) == len(right) == len(count) <= 5
+
+
 def by_hand(texts, vocabularies):
     """The contract, with the library that belongs to the byte-level file for side A."""
     plain, pieces = vocabularies._plain, vocabularies._processor
@@ -109,6 +118,31 @@ def test_fast_encoding_is_the_files_own(vocabularies):
         assert vocabularies._fast.encode_ordinary(text) == vocabularies._plain.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_give_the_pieces_of_the_whole(monkeypatch):
+    """Side B of a long text is encoded in short parts, with the ids of the whole."""
+    own = alignment.Vocabularies.load()
+    processor, sent = own._processor, []
+
+    class Watched:
+        def encode(self, text, **more):
+            sent.extend([text] if isinstance(text, str) else text)
+            return processor.encode(text, **more)
+
+        def __getattr__(self, name):
+            return getattr(processor, name)
+
+    own.__dict__["_processor"] = Watched()
+    own.encode("the road to the bridge, " * 500)
+    assert max(map(len, sent)) < 200
+    monkeypatch.setattr(alignment, "PART", 1)
+    draw = random.Random(5)
+    parts = ["the ", "road", " ", "  ", "\n", "\t", "'s", "don't ", "<|endoftext|>", "</s>", "▁", "é", "e\u0301", "\u0301", "日本", "\xa0", "\x85", "\x1c", "\u3000", "12", "3.5 ", "!?", "ﬁ", "\x00", "a",
+             "\U0001f600", "\u200d", "\ufeff"]
+    for text in [*filter(None, ODD), *("".join(draw.choice(parts) for _ in range(draw.randrange(1, 40))) for _ in range(1500))]:
+        if text:
+            assert own._encode_pieces(text) == processor.encode(text)
+
+
 def test_groups_of_a_text(spark, vocabularies):
     rows = {r.doc_id: r.groups for r in alignment.token_groups(documents(spark, ["Étion dans the text", None]), vocabularies).collect()}
     sides = [b"".join(names[k] for g in rows[0] for k in g[side]) for side, names in (("a", vocabularies.bytes_a), ("b", vocabularies.bytes_b))]
