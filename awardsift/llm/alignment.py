@@ -170,14 +170,15 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
     count: list[int] = []
     i = j = whole = 0
     n, m = len(a), len(b)
+    a, b = [*a, -1], [*b, -2]  # so that a stretch ends with the shorter array
     while i < n and j < m:
         if a[i] == b[j]:
             x, y = i + 1, j + 1
-            near = min(n, x + m - y, i + NEAR)
-            while x < near and a[x] == b[y]:
+            near = i + NEAR
+            while a[x] == b[y] and x < near:
                 x += 1
                 y += 1
-            if x == i + NEAR:
+            if x == near:
                 step = 1
                 while x < n and y < m and a[x : x + step] == b[y : y + step]:
                     x += step
@@ -188,8 +189,6 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
                     if a[x : x + step] == b[y : y + step]:
                         x += step
                         y += step
-                # equal slices may both reach over the end
-                x, y = min(x, n), min(y, m)
             left.append(i)
             right.append(j)
             count.append(x - i)
@@ -260,7 +259,7 @@ def aligned(vocabularies: Vocabularies, a: list[int], b: list[int], window: int
         shown = _shown(ids, int(x[0]), int(y[0]), x[last] + 1, y[last] + 1)
         digest.update(b";" + shown if parts else shown)
         parts.append((x, y, x[last] + 1, y[last] + 1))
-    x, y, k, m = (np.concatenate(p) for p in zip(*parts))
+    x, y, k, m = parts[0] if len(parts) == 1 else (np.concatenate(p) for p in zip(*parts))
     return Alignment(ids, (x, y), (k, m), digest.hexdigest())
 
 
@@ -275,9 +274,9 @@ def _shown(ids: tuple[np.ndarray, np.ndarray], i: int, j: int, k: np.ndarray, m:
     mark[k[-1] + m - 1] = ord(";")
     digits, sizes = _digits()
     token = np.concatenate((ids[0][i : i + k[-1]], ids[1][j : j + m[-1]]))
-    cells = np.empty((len(token), digits.shape[1]), np.uint8)
-    length = np.empty(len(token), np.int64)
-    cells[place], length[place] = digits[token], sizes[token]
+    shown = np.empty_like(token)
+    shown[place] = token
+    cells, length = np.take(digits, shown, axis=0), np.take(sizes, shown)
     marks = np.empty(len(token), np.uint8)
     marks[place] = mark
     cells[np.arange(len(token)), length] = marks
